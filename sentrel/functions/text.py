@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 # --- Fixed values ------------------------------------------------------------
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029]"
+NOT_A_BREAK = "[^\\n\\r\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029]"
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -39,10 +40,8 @@ def decode_utf8(content: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines of a text as an array; a final line break does not open another line."""
-    without_last = F.regexp_replace(text, f"(?:{LINE_BREAK})\\z", "")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(
-        F.split(without_last, LINE_BREAK, -1)
-    )
+    pieces = F.split(text, LINE_BREAK, -1)
+    return F.when(F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
 
 
 def strip(col: Column) -> Column:
@@ -95,30 +94,25 @@ def strip_code(text: Column, language: Column) -> Column:
     span leaves one blank plus its own line breaks, so later line numbers do not move.
     """
 
-    def blank(col: Column, pattern: str) -> Column:
-        # A span is cut at its line breaks; each piece in turn becomes a blank.
-        return F.regexp_replace(col, pattern, " ")
-
-    def blank_spans(col: Column, opening: str, body: str, closing: str) -> Column:
-        # Multi-line spans: mark the span, then remove its non-break characters.
-        whole = f"{opening}{body}{closing}"
-        pieces = F.regexp_extract_all(col, F.lit(f"({whole})"), F.lit(1))
-        rest = F.split(col, whole, -1)
-        return F.when(F.size(pieces) == 0, col).otherwise(
+    def blank_spans(col: Column, whole: str) -> Column:
+        gone = F.regexp_extract_all(col, F.lit(f"({whole})"), F.lit(1))
+        return F.when(F.size(gone) == 0, col).otherwise(
             F.array_join(
                 F.zip_with(
-                    rest,
-                    F.transform(pieces, lambda p: F.concat(F.lit(" "), F.regexp_replace(p, "[^\\n]", ""))),
-                    lambda keep, gone: F.concat(keep, F.coalesce(gone, F.lit(""))),
+                    F.split(col, whole, -1),
+                    F.transform(gone, lambda span: F.concat(F.lit(" "), F.regexp_replace(span, NOT_A_BREAK, ""))),
+                    lambda kept, filler: F.concat(kept, F.coalesce(filler, F.lit(""))),
                 ),
                 "",
             )
         )
 
-    out = blank_spans(text, "/\\*", "(?s:.*?)", "\\*/")
-    out = blank(out, "(?m)//.*$")
-    out = F.when(language == "php", blank(out, "(?m)#.*$")).otherwise(out)
+    out = blank_spans(text, "/\\*(?s:.*?)\\*/")
+    out = F.regexp_replace(out, "(?m)//.*$", " ")
+    out = F.when(language == "php", F.regexp_replace(out, "(?m)#.*$", " ")).otherwise(out)
     for quote in ("`", "'", '"'):
-        # Possessive repetition: same language as the plain form, no deep recursion on long literals.
-        out = blank_spans(out, quote, f"(?:\\\\.|[^{quote}\\\\])*+", quote)
+        # The literal ends at its first unescaped quote; when there is none, at the last
+        # quote of the text. Possessive loops keep the matcher's stack flat on long literals.
+        closed = f"{quote}(?:[^{quote}\\\\]++|\\\\.|\\\\(?=[\\n\\r]))*+{quote}"
+        out = blank_spans(out, f"{closed}|{quote}(?s:.*){quote}")
     return out
