@@ -277,3 +277,43 @@ def calls_of(line: str | None, language: str | None) -> list[dict]:
 @F.pandas_udf(ArrayType(CALL))
 def split_calls(lines: pd.Series, language: pd.Series) -> pd.Series:
     return pd.Series([calls_of(t, lang) for t, lang in zip(lines, language, strict=True)], dtype=object)
+
+
+def block_end(text: str, start_line: int) -> int | None:
+    """Last line of the handler block that opens at or after a line, null when none opens.
+
+    The block is the first brace after ``=>``, else that of the first unnamed
+    ``function (...) {``. Braces inside quotes do not count.
+    """
+    begin = 0
+    for _ in range(start_line - 1):
+        begin = text.find("\n", begin) + 1
+    arrow = text.find("=>", begin)
+    opening = text.find("{", arrow) if arrow >= 0 else -1
+    if opening < 0:
+        match = re.compile(r"\bfunction\s*\([^)]*\)\s*\{").search(text, begin)
+        opening = match.end() - 1 if match else -1
+    if opening < 0:
+        return None
+    depth, quote, end = 0, "", len(text) - 1
+    for token in re.compile(r"[\"'`{}]").finditer(text, opening):
+        char = token.group()
+        if quote:
+            quote = "" if char == quote else quote
+        elif char not in "{}":
+            quote = char
+        else:
+            depth += 1 if char == "{" else -1
+            if depth == 0:
+                end = token.start()
+                break
+    return start_line + text.count("\n", begin, end)
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def block_ends(texts: pd.Series, starts: pd.Series) -> pd.Series:
+    """Handler block ends for the start lines of each text."""
+    return pd.Series(
+        [[block_end(t, int(s)) for s in lines] if t is not None and lines is not None else None for t, lines in zip(texts, starts, strict=True)],
+        dtype=object,
+    )

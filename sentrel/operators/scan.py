@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sentrel.catalogue import CHECKS, DEFAULT_CONFIDENCE, DEFAULT_REMEDIATION, DEFAULT_SEVERITY, Rule
 from sentrel.functions.parsing import code_events
 from sentrel.functions.prefilter import line_gate, may_match
-from sentrel.functions.text import base_name, finding_id, redact, split_lines
+from sentrel.functions.text import SNIPPET_CHARS, base_name, finding_id, redact, split_lines
 from sentrel.operators.corpus import explode_lines
 from sentrel.sources.rules import rules_frame, to_rules, usable_patterns
 
@@ -19,6 +19,7 @@ FLOW_EVIDENCE = (
     "struct<source:struct<file:string,line:int,kind:string>,"
     "sink:struct<file:string,line:int,kind:string,function:string>,sanitized:boolean,sanitizer:string>"
 )
+SNIPPET = SNIPPET_CHARS
 ROUTE_EVIDENCE = (
     "struct<check:string,route:string,method:string,framework:string,parameter:string,query_line:int,"
     "auth_signals:array<string>>"
