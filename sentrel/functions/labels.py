@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -63,6 +63,15 @@ class LabelTables:
 DEFAULT_LABELS = LabelTables()
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it by name in ``body``.
+
+    A column used twice in an expression is planned and evaluated twice; inside a lambda it
+    is a variable. Keeps nested expressions linear in size.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def first_label(text: Column, table: Labels) -> Column:
     """Label of the first pattern in list order that occurs in the text, else null."""
     chain: Column | None = None
@@ -95,41 +104,44 @@ def call_arguments(text: Column, begin: Column) -> Column:
 
     Without a match the rest of the line counts, and without a ``(`` the text from ``begin``.
     """
-    opening = F.locate_from("(", text, begin) if hasattr(F, "locate_from") else F.call_function("locate", F.lit("("), text, begin)
-    tail = F.substring(text, opening + 1, F.length(text))
-    marks = F.regexp_extract_all(tail, F.lit(r"([^()]*[()]?)"), F.lit(1))
-    state = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("length"))
-
-    def fold(acc: Column, piece: Column) -> Column:
-        depth = (
-            F.when(F.endswith(piece, F.lit("(")), acc["depth"] + 1)
-            .when(F.endswith(piece, F.lit(")")), acc["depth"] - 1)
-            .otherwise(acc["depth"])
-        )
-        return F.when(acc["depth"] == 0, acc).otherwise(
-            F.struct(depth.alias("depth"), (acc["length"] + F.length(piece)).alias("length"))
-        )
 
-    end = F.aggregate(marks, state, fold)
-    closed = F.substring(tail, F.lit(1), end["length"] - 1)
-    return F.when(opening == 0, F.substring(text, begin, F.length(text))).otherwise(
-        F.when(end["depth"] == 0, closed).otherwise(tail)
-    )
+    def closed_part(tail: Column) -> Column:
+        # Pieces that end in a parenthesis; fold them until the depth is back to zero.
+        pieces = F.regexp_extract_all(tail, F.lit(r"([^()]*[()])"), F.lit(1))
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("length"))
+
+        def fold(acc: Column, piece: Column) -> Column:
+            step = F.when(F.endswith(piece, F.lit("(")), F.lit(1)).otherwise(F.lit(-1))
+            return F.when(acc["depth"] == 0, acc).otherwise(
+                F.struct((acc["depth"] + step).alias("depth"), (acc["length"] + F.length(piece)).alias("length"))
+            )
+
+        return let(
+            F.aggregate(pieces, start, fold),
+            lambda end: F.when(end["depth"] == 0, F.substring(tail, F.lit(1), end["length"] - 1)).otherwise(tail),
+        )
 
+    def after(rest: Column) -> Column:
+        # ``rest`` starts at ``begin``; drop everything up to the first parenthesis.
+        inside = F.substring(rest, F.locate("(", rest) + 1, F.length(rest))
+        return F.when(F.contains(rest, F.lit("(")), let(inside, closed_part)).otherwise(rest)
 
-def match_start(text: Column, pattern: str) -> Column:
-    """1-based position of the pattern's first match (0 when there is none)."""
-    return F.regexp_instr(text, F.lit(pattern))
+    return let(F.substring(text, begin, F.length(text)), after)
 
 
 def sink_of(text: Column, table: Labels) -> Column:
     """``struct<label, args>`` of the first sink pattern in list order, else null."""
     chain: Column | None = None
     for pattern, label in table:
-        row = F.struct(F.lit(label).alias("label"), call_arguments(text, match_start(text, pattern)).alias("args"))
+        row = F.struct(F.lit(label).alias("label"), F.regexp_instr(text, F.lit(pattern)).alias("start"))
         test = text.rlike(pattern)
         chain = F.when(test, row) if chain is None else chain.when(test, row)
-    return chain
+    return let(
+        chain,
+        lambda hit: F.when(
+            hit.isNotNull(), F.struct(hit["label"].alias("label"), call_arguments(text, hit["start"]).alias("args"))
+        ),
+    )
 
 
 # Fixed value: an assignment, with declaration words and the PHP sigil left out.
@@ -143,7 +155,7 @@ def assignment_of(line: Column) -> Column:
     """
     rhs = F.btrim(F.rtrim(F.regexp_extract(line, ASSIGNMENT, 2), F.lit(";")))
     row = F.struct(F.regexp_extract(line, ASSIGNMENT, 1).alias("var"), rhs.alias("rhs"))
-    return F.when(line.rlike(ASSIGNMENT) & ~rhs.rlike("^[=><!]"), row)
+    return F.when(line.rlike(ASSIGNMENT), let(row, lambda a: F.when(~a["rhs"].rlike("^[=><!]"), a)))
 
 
 def words(text: Column) -> Column:

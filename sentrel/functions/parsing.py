@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import ast
 import re
+import sys
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -26,6 +28,9 @@ from pyspark.sql.types import (
     StructType,
 )
 
+# Ship these helpers with the job, so workers need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # --- Fixed values ------------------------------------------------------------
 DYNAMIC_CALLS = ("eval", "exec", "compile")
 SHELL_CALLS = ("system", "popen")

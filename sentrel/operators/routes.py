@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentrel.functions.labels import let
 from sentrel.functions.parsing import block_ends
+from sentrel.functions.rows import explode_once, inline_once, settle
 from sentrel.functions.text import finding_id, split_lines, strip
 from sentrel.operators.scan import ROUTE_EVIDENCE, SNIPPET, TAINT_STEP, as_findings
 
@@ -105,12 +107,10 @@ def file_routes(files: DataFrame) -> DataFrame:
 
     Decorators are tried first, since they also contain the plain call form.
     """
-    return (
-        files.filter(F.col("text").rlike(ROUTE_GATE))
-        .select("repo", "path", "text", split_lines(F.col("text")).alias("lines"))
-        .withColumn("routes", F.array_compact(F.transform("lines", _route)))
-        .filter(F.size("routes") > 0)
-    )
+    gated = files.filter(F.col("text").rlike(ROUTE_GATE))
+    split = settle(gated, "repo", "path", "text", lines=split_lines(F.col("text")))
+    found = settle(split, "repo", "path", "text", "lines", routes=F.array_compact(F.transform("lines", _route)))
+    return found.filter(F.size("routes") > 0)
 
 
 def routes(files: DataFrame) -> DataFrame:
@@ -173,36 +173,33 @@ def handler_windows(files: DataFrame) -> DataFrame:
     found = file_routes(files)
     brace_based = F.exists("routes", lambda r: r["framework"] != "laravel")
     normal = F.array_join("lines", "\n")
-    with_ends = found.select(
+    ends = block_ends(F.when(brace_based, normal), F.when(brace_based, F.transform("routes", lambda r: r["line_no"])))
+    with_ends = settle(
+        found.withColumn("ends", ends),
         "repo",
         "path",
         "lines",
         "routes",
-        block_ends(F.when(brace_based, normal), F.when(brace_based, F.transform("routes", lambda r: r["line_no"]))).alias("ends"),
-        F.col("text").rlike(GLOBAL_MIDDLEWARE).alias("global_middleware"),
-        F.col("text").rlike(CONTROLLER_MIDDLEWARE).alias("controller_middleware"),
-        F.transform(
+        ends=F.col("ends"),
+        global_middleware=F.col("text").rlike(GLOBAL_MIDDLEWARE),
+        controller_middleware=F.col("text").rlike(CONTROLLER_MIDDLEWARE),
+        function_names=F.transform(
             "lines",
             lambda line: F.transform(F.regexp_extract_all(line, F.lit(NAMED_FUNCTION), F.lit(1)), F.lower),
-        ).alias("function_names"),
-    )
-    windowed = F.transform(
-        "routes",
-        lambda r, i: F.struct(
-            r.alias("r"), _window(r, F.get("ends", i), F.col("lines"), F.col("function_names")).alias("w")
-        ),
-    )
-    cut = F.transform(
-        "windowed",
-        lambda x: F.struct(
-            x["r"].alias("r"),
-            x["w"].alias("w"),
-            F.slice("lines", x["w"]["window_start"], F.greatest(F.lit(0), x["w"]["window_end"] - x["w"]["window_start"] + 1)).alias("window_lines"),
         ),
     )
+    def windowed(route: Column, index: Column) -> Column:
+        return let(
+            _window(route, F.get("ends", index), F.col("lines"), F.col("function_names")),
+            lambda w: F.struct(
+                route.alias("r"),
+                w.alias("w"),
+                F.slice("lines", w["window_start"], F.greatest(F.lit(0), w["window_end"] - w["window_start"] + 1)).alias("window_lines"),
+            ),
+        )
+
     return (
-        with_ends.withColumn("windowed", windowed)
-        .select("repo", "path", "global_middleware", "controller_middleware", F.explode(cut).alias("x"))
+        explode_once(with_ends, "repo", "path", "global_middleware", "controller_middleware", x=F.transform("routes", windowed))
         .select(
             "repo",
             "path",
@@ -239,7 +236,7 @@ def auth_signals(windows: DataFrame) -> DataFrame:
         "laravel": laravel & text.rlike(LARAVEL_PRINCIPAL),
     }
     found = F.array_compact(F.array(*[F.when(test, F.lit(SIGNALS[key])) for key, test in tests.items()]))
-    return windows.withColumn("signals", found).withColumn("protected", F.size("signals") > 0)
+    return settle(windows, *windows.columns, signals=found).withColumn("protected", F.size("signals") > 0)
 
 
 def ownership_signal(windows: DataFrame) -> DataFrame:
@@ -272,7 +269,7 @@ def param_queries(windows: DataFrame) -> DataFrame:
         ]
     ).cast(f"array<{TAINT_STEP}>")
     has_params = windows.filter(F.size("params") > 0)
-    return has_params.select("*", F.inline(hits)).withColumn("taint_path", path)
+    return inline_once(has_params, *has_params.columns, structs=hits).withColumn("taint_path", path)
 
 
 def _research_finding(df: DataFrame, prefix: str, category: str, rule: Column, description: Column, remediation: Column, **extra: Column) -> DataFrame:
@@ -383,11 +380,8 @@ def business_logic(files: DataFrame) -> DataFrame:
         )
 
     gate = F.col("text").rlike(r"(?i)(?:app|router)\.|req(?:uest)?\.(?:body|query|params|json|form|args)")
-    rows = (
-        files.filter(gate)
-        .select("repo", F.col("path").alias("file"), split_lines(F.col("text")).alias("lines"))
-        .select("repo", "file", F.inline(F.flatten(F.transform("lines", facts))))
-    )
+    split = settle(files.filter(gate), "repo", F.col("path").alias("file"), lines=split_lines(F.col("text")))
+    rows = inline_once(split, "repo", "file", structs=F.flatten(F.transform("lines", facts)))
     sensitive = F.col("rule") == "sensitive-route-without-authorization-signal"
     return _research_finding(
         rows,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sentrel.catalogue import CHECKS, DEFAULT_CONFIDENCE, DEFAULT_REMEDIATION, DEFAULT_SEVERITY, Rule
 from sentrel.functions.parsing import code_events
 from sentrel.functions.prefilter import line_gate, may_match
+from sentrel.functions.rows import explode_once, inline_once, settle
 from sentrel.functions.text import SNIPPET_CHARS, base_name, finding_id, redact, split_lines
 from sentrel.operators.corpus import explode_lines
 from sentrel.sources.rules import rules_frame, to_rules, usable_patterns
@@ -100,11 +101,8 @@ def pattern_scan(lines: DataFrame, rules: DataFrame | Iterable[Rule] = CHECKS) -
     if not hits:
         hits = [F.struct(F.lit("").alias("check_id"), F.lit(None).cast("string").alias("rule"))]
     kept = F.filter(F.array(*hits), lambda h: h["rule"].isNotNull())
-    return (
-        lines.withColumn("lowered", F.lower("line"))
-        .select("repo", "path", "line_no", "line", F.explode(F.when(gate, kept)).alias("hit"))
-        .select("repo", "path", "line_no", "line", "hit.check_id", "hit.rule")
-    )
+    lowered = lines.withColumn("lowered", F.lower("line"))
+    return inline_once(lowered, "repo", "path", "line_no", "line", structs=F.when(gate, kept))
 
 
 def _wanted(events: Column, rule: Rule) -> Column:
@@ -141,7 +139,7 @@ def filename_scan(files: DataFrame, rules: DataFrame | Iterable[Rule] = CHECKS)
         hits.append(F.when(test, F.struct(F.lit(rule.check_id).alias("check_id"), F.lit(rule.rule_id).alias("rule"))))
     if not hits:
         hits = [F.lit(None).cast("struct<check_id:string,rule:string>")]
-    return files.select("repo", "path", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select(
+    return explode_once(files, "repo", "path", hit=F.array(*hits)).select(
         "repo", "path", F.lit(1).alias("line_no"), F.col("path").alias("line"), "hit.check_id", "hit.rule"
     )
 
@@ -152,10 +150,8 @@ def code_event_scan(files: DataFrame, rules: DataFrame | Iterable[Rule] = CHECKS
     A rule with an event list keeps those events, without one it keeps all. The last
     wanted event of a line wins. Files that do not parse give no events.
     """
-    python = files.filter(F.endswith("path", F.lit(".py")))
-    found = python.select(
-        "repo", "path", split_lines(F.col("text")).alias("text_lines"), code_events("text").alias("events")
-    )
+    python = files.filter(F.endswith("path", F.lit(".py"))).select("repo", "path", "text", code_events("text").alias("events"))
+    found = settle(python, "repo", "path", "events", text_lines=split_lines(F.col("text")))
     hits = [F.array().cast("array<struct<check_id:string,line_no:int,line:string,seq:int,rule:string>>")]
     for rule in to_rules(rules):
         if rule.kind == "ast_or_regex":
@@ -171,7 +167,7 @@ def code_event_scan(files: DataFrame, rules: DataFrame | Iterable[Rule] = CHECKS
                     ),
                 )
             )
-    rows = found.select("repo", "path", F.explode(F.concat(*hits)).alias("hit")).select("repo", "path", "hit.*")
+    rows = inline_once(found, "repo", "path", structs=F.concat(*hits))
     return (
         rows.groupBy("repo", "path", "line_no", "line", "check_id")
         .agg(F.max_by("rule", "seq").alias("rule"))

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrel.functions.parsing import CONTROL_WORDS, SIGNATURE_CHARS, function_spans, python_units
+from sentrel.functions.rows import inline_once, settle
 from sentrel.functions.text import detect_language, split_lines, strip, strip_code
+from sentrel.session import cut_lineage
 
 # --- Fixed values ------------------------------------------------------------
 CALL_DEPTH = 2
@@ -104,42 +106,51 @@ def _line_imports(lines: Column, language: Column) -> Column:
     return F.array_compact(F.transform(lines, found)).cast(IMPORT_TYPE)
 
 
-def parse_files(files: DataFrame) -> DataFrame:
+def known_files(files: DataFrame) -> DataFrame:
+    """Files of a supported language."""
+    return files.withColumn("language", detect_language(F.col("path"))).filter(F.col("language").isNotNull())
+
+
+def parse_files(files: DataFrame, keep_text: bool = False) -> DataFrame:
     """Adds ``lines``, ``parsed``, ``functions`` and ``imports`` to files of a known language.
 
     Python is parsed with its own grammar; the other languages by brace structure over
     text without comments and literals. Each text visits a Python worker once.
     """
-    known = files.withColumn("language", detect_language(F.col("path"))).filter(F.col("language").isNotNull())
+    known = known_files(files)
+    text_column = ["text"] if keep_text else []
     python = F.col("language") == "python"
     text, language = F.col("text"), F.col("language")
     shaped = known.select(
         "repo",
         "path",
         "language",
-        split_lines(text).alias("lines"),
+        "text",
         python_units(F.when(python, text)).alias("py"),
         function_spans(F.when(~python, strip_code(text, language)), language).alias("spans"),
     )
-    return shaped.select(
+    split = settle(shaped, "repo", "path", "language", *text_column, "py", "spans", lines=split_lines(text))
+    return settle(
+        split,
         "repo",
         "path",
         "language",
+        *text_column,
         "lines",
-        F.when(python, F.col("py.parsed")).otherwise(F.lit(True)).alias("parsed"),
-        F.when(python, F.col("py.functions"))
-        .otherwise(_structural_functions(F.col("spans"), F.col("lines"), language))
-        .alias("functions"),
-        F.when(python, F.col("py.imports")).otherwise(_line_imports(F.col("lines"), language)).alias("imports"),
+        parsed=F.when(python, F.col("py.parsed")).otherwise(F.lit(True)),
+        functions=F.when(python, F.col("py.functions")).otherwise(
+            _structural_functions(F.col("spans"), F.col("lines"), language)
+        ),
+        imports=F.when(python, F.col("py.imports")).otherwise(_line_imports(F.col("lines"), language)),
     )
 
 
 def functions_of(parsed: DataFrame) -> DataFrame:
-    return parsed.select("repo", "path", "language", F.inline("functions"))
+    return inline_once(parsed, "repo", "path", "language", structs=F.col("functions"))
 
 
 def imports_of(parsed: DataFrame) -> DataFrame:
-    return parsed.select("repo", "path", "language", F.inline("imports"))
+    return inline_once(parsed, "repo", "path", "language", structs=F.col("imports"))
 
 
 def extract_functions(files: DataFrame) -> DataFrame:
@@ -266,7 +277,7 @@ def code_slices(points: DataFrame, files: DataFrame) -> DataFrame:
     asked = points.select("repo", "path", "line_no").distinct()
     wanted = files.join(asked.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
     parsed = parse_files(wanted)
-    functions = functions_of(parsed)
+    functions = cut_lineage(functions_of(parsed))
     edges = call_edges(functions)
     target = enclosing_function(asked, functions)
     around = call_neighbourhood(target.filter(F.col("qualname").isNotNull()), edges)
@@ -288,16 +299,16 @@ def code_slices(points: DataFrame, files: DataFrame) -> DataFrame:
         "members",
         lambda m: F.array_join(F.slice(lines, m["start_line"], m["end_line"] - m["start_line"] + 1), "\n"),
     )
-    tokens = F.array_distinct(F.regexp_extract_all(F.array_join(bodies, "\n"), F.lit(f"({IDENTIFIER})"), F.lit(1)))
+    tokens = F.array_distinct(F.regexp_extract_all(F.array_join("bodies", "\n"), F.lit(f"({IDENTIFIER})"), F.lit(1)))
     kept = F.filter("imports", lambda i: i["side_effect"] | F.arrays_overlap(i["names"], F.col("tokens")))
     reach = F.when(inside, F.lit(WINDOW_INSIDE)).otherwise(F.lit(WINDOW_OUTSIDE))
     first, last = F.greatest(F.lit(1), at - reach), F.least(F.size(lines), at + reach)
     window = F.slice(lines, first, F.greatest(F.lit(0), last - first + 1))
     none = F.array().cast("array<string>")
+    with_bodies = settle(base, *base.columns, bodies=bodies)
+    with_tokens = settle(with_bodies, *with_bodies.columns, tokens=tokens)
     return (
-        base.withColumn("bodies", bodies)
-        .withColumn("tokens", tokens)
-        .withColumn("kept", F.when(inside, kept))
+        settle(with_tokens, *with_tokens.columns, kept=F.when(inside, kept))
         .select(
             "repo",
             "path",

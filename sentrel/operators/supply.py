@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrel.catalogue import AGENTS
+from sentrel.functions.rows import explode_once
 from sentrel.functions.text import base_name, finding_id, redact
 from sentrel.operators.corpus import dependency_inventory, explode_lines, is_manifest
 from sentrel.operators.scan import as_findings
@@ -107,7 +108,7 @@ def audit_supply_chain(files: DataFrame) -> DataFrame:
             F.when(line.rlike(INSTALL_HOOK), F.lit("install-script-network-execution")),
         )
     )
-    rows = lines.select("repo", "path", "line_no", "line", F.explode(hits).alias("rule")).unionByName(
+    rows = explode_once(lines, "repo", "path", "line_no", "line", rule=hits).unionByName(
         dep_scripts(manifests)
     )
 

@@ -21,13 +21,15 @@ from sentrel.functions.labels import (
     assignment_of,
     first_label,
     first_match,
+    let,
     sink_of,
     words,
 )
 from sentrel.functions.parsing import split_calls
-from sentrel.functions.text import SNIPPET_CHARS, finding_id, strip
+from sentrel.functions.rows import explode_once, inline_once, settle
+from sentrel.functions.text import SNIPPET_CHARS, finding_id, split_lines, strip
 from sentrel.operators.scan import FLOW_EVIDENCE, TAINT_STEP, as_findings
-from sentrel.operators.structure import called_names, functions_of, parse_files
+from sentrel.operators.structure import called_names, functions_of, known_files, parse_files
 from sentrel.session import cut_lineage
 
 # --- Fixed values ------------------------------------------------------------
@@ -160,18 +162,27 @@ def parameter_name(param: Column) -> Column:
     return F.regexp_extract(plain, r"([A-Za-z_]\w*)\W*$", 1)
 
 
-def _unit_rows(parsed: DataFrame, labels: LabelTables, only_sources: bool) -> DataFrame:
-    """``(repo, path, language, qualname, name, start_line, params, steps)`` per unit."""
-    rows = parsed
-    if only_sources:
-        # Without a source in the file nothing can be tainted before a call comes in.
-        rows = rows.filter(F.exists("lines", lambda line: any_label(line, labels.sources)))
-    return (
-        rows.select("repo", "path", "language", _units(F.col("functions"), F.size("lines")).alias("units"), _steps(F.col("lines"), labels).alias("all_steps"))
-        .select("repo", "path", "language", "all_steps", F.inline("units"))
-        .withColumn("steps", F.filter("all_steps", lambda s: s["line"].between(F.col("start_line"), F.col("end_line"))))
-        .drop("all_steps")
+def _file_steps(files: DataFrame, labels: LabelTables) -> DataFrame:
+    """``(repo, path, language, line_count, all_steps)``; a step list is built once per file."""
+    split = settle(files, "repo", "path", "language", *[c for c in ("functions",) if c in files.columns], lines=split_lines(F.col("text")))
+    return settle(split, *split.columns, all_steps=_steps(F.col("lines"), labels)).withColumn("line_count", F.size("lines")).drop("lines")
+
+
+def _cut(units: DataFrame) -> DataFrame:
+    """The steps of each unit, out of the steps of its file."""
+    own = F.filter("all_steps", lambda s: s["line"].between(F.col("start_line"), F.col("end_line")))
+    return settle(units, *[c for c in units.columns if c not in ("all_steps", "end_line", "line_count")], steps=own)
+
+
+def _source_units(files: DataFrame, labels: LabelTables) -> DataFrame:
+    """Units of the files that name a source; elsewhere nothing is tainted before a call."""
+    sourced = known_files(files).filter(any_label(F.col("text"), labels.sources))
+    parsed = parse_files(sourced, keep_text=True)
+    with_steps = _file_steps(parsed, labels)
+    units = inline_once(
+        with_steps, "repo", "path", "language", "all_steps", structs=_units(F.col("functions"), F.col("line_count"))
     )
+    return _cut(units).filter(F.exists("steps", lambda s: s["has_source"]))
 
 
 # --- The fold ------------------------------------------------------------------
@@ -244,30 +255,29 @@ def _fold(units: DataFrame, follow_calls: bool) -> DataFrame:
 
     def assign(vars_: Column, s: Column) -> Column:
         target = _mark(file, s["line"], s["var"], F.lit("propagate"))
-        used = earliest(vars_, s["rhs_words"])
         operation = F.when(s["rhs_sanitizer"].isNotNull(), "sanitize").otherwise("propagate")
-        through = _mark(file, s["line"], used["name"], operation)
-        taint = F.when(s["rhs_source"].isNotNull(), _fresh(file, s["line"], s["rhs_source"], target)).when(
-            used.isNotNull(), _carry(used["taint"], s["line"], s["rhs_sanitizer"], through, target)
+        taint = F.when(s["rhs_source"].isNotNull(), _fresh(file, s["line"], s["rhs_source"], target)).otherwise(
+            let(
+                earliest(vars_, s["rhs_words"]),
+                lambda used: F.when(
+                    used.isNotNull(),
+                    _carry(used["taint"], s["line"], s["rhs_sanitizer"], _mark(file, s["line"], used["name"], operation), target),
+                ),
+            )
         )
         others = F.map_filter(vars_, lambda k, _: k != s["var"])
-        return F.when(taint.isNull(), others).otherwise(F.map_concat(others, F.create_map(s["var"], taint)))
+        return let(taint, lambda t: F.when(t.isNull(), others).otherwise(F.map_concat(others, F.create_map(s["var"], t))))
 
     def run(acc: Column, s: Column) -> Column:
         flows = F.when(s["sink_kind"].isNotNull(), F.concat(acc["flows"], sinks(acc["vars"], s))).otherwise(acc["flows"])
-        # The assignment goes through a one-element array so that its result is computed
-        # once and named, not once per use.
-        after = F.transform(
-            F.array(F.when(s["var"].isNotNull(), assign(acc["vars"], s)).otherwise(acc["vars"])),
+        return let(
+            F.when(s["var"].isNotNull(), assign(acc["vars"], s)).otherwise(acc["vars"]),
             lambda vars_: F.struct(
                 vars_.alias("vars"),
                 flows.alias("flows"),
-                (
-                    calls(acc["calls"], vars_, s) if follow_calls else acc["calls"]
-                ).alias("calls"),
+                (calls(acc["calls"], vars_, s) if follow_calls else acc["calls"]).alias("calls"),
             ),
         )
-        return F.element_at(after, 1)
 
     def calls(so_far: Column, vars_: Column, s: Column) -> Column:
         used = F.map_filter(vars_, lambda k, _: F.array_contains(s["words"], k))
@@ -276,8 +286,10 @@ def _fold(units: DataFrame, follow_calls: bool) -> DataFrame:
         return F.when(tainted, F.concat(so_far, F.array(call))).otherwise(so_far)
 
     start = F.struct(F.col("vars").alias("vars"), empty_flows.alias("flows"), empty_calls.alias("calls"))
-    out = F.aggregate("steps", start, run)
-    return units.withColumn("out", out).drop("steps", "vars")
+    # As a generator, the fold is evaluated once and no later filter is pushed into it.
+    out = F.inline(F.array(F.aggregate("steps", start, run)))
+    carried = [c for c in ("repo", "path", "language", "qualname", "name", "stack", "depth") if c in units.columns]
+    return units.select(*carried, out).drop("vars")
 
 
 def _no_vars() -> Column:
@@ -293,27 +305,28 @@ def _tainted_calls(folded: DataFrame, labels: LabelTables) -> DataFrame:
     Adds ``segment`` and ``arguments``: per position the taint it carries, or null.
     """
     rows = folded.select(
-        "repo", "path", "language", "qualname", "stack", "depth", F.explode("out.calls").alias("c")
+        "repo", "path", "language", "qualname", "stack", "depth", F.explode("calls").alias("c")
     ).select("repo", "path", "language", "qualname", "stack", "depth", "c.*")
-    rows = rows.select("*", F.explode(split_calls("text", "language")).alias("call"))
+    rows = rows.withColumn("split", split_calls("text", "language"))
+    rows = explode_once(rows, *[c for c in rows.columns if c != "split"], call=F.col("split"))
     name = F.col("call.name")
     followed = ~any_label(F.concat(name, F.lit("()")), labels.sinks) & ~any_label(
         F.concat(name, F.lit("(")), labels.sanitizers
     )
 
     def argument(text: Column) -> Column:
-        source = first_match(text, labels.sources)
-        return (
-            F.when(text.isin("this", "self"), F.lit(None).cast(TAINT))
+        return let(
+            first_match(text, labels.sources),
+            lambda source: F.when(text.isin("this", "self"), F.lit(None).cast(TAINT))
             .when(source.isNotNull(), _fresh(F.col("path"), F.col("line"), source))
-            .otherwise(earliest(F.col("vars"), words(text))["taint"])
+            .otherwise(earliest(F.col("vars"), words(text))["taint"]),
         )
 
     # The last segment, without the marks a name may end in.
     segment = F.substring_index(F.rtrim(name, F.lit("$")), ".", -1)
-    rows = rows.filter(followed).select(
-        "repo", "path", "qualname", "stack", "depth", "line", segment.alias("segment"),
-        F.transform("call.args", argument).alias("arguments"),
+    rows = settle(
+        rows.filter(followed), "repo", "path", "qualname", "stack", "depth", "line", segment.alias("segment"),
+        arguments=F.transform("call.args", argument),
     )
     # Deeper down, taint that starts in the function itself was followed before.
     carried = F.exists("arguments", lambda a: a.isNotNull() & (a["inherited"] | (F.col("depth") == 0)))
@@ -329,34 +342,33 @@ def _resolve(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """
     callee = functions.select(
         "repo", F.col("path").alias("callee_path"), F.col("qualname").alias("callee"), F.col("name").alias("segment"),
-        "start_line",
+        "start_line", "end_line", F.transform("params", parameter_name).alias("params"),
     )
     callee = callee.join(calls.select("repo", "segment").distinct(), ["repo", "segment"], "left_semi")
 
     def two(*keys: str) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy("callee_path", "start_line", "callee"))
-        return callee.withColumn("rank", rank).filter(F.col("rank") <= MAX_CANDIDATES).drop("rank", "start_line")
+        return callee.withColumn("rank", rank).filter(F.col("rank") <= MAX_CANDIDATES).drop("rank")
 
-    keyed = calls.withColumn("call_key", F.struct("repo", "path", "qualname", "stack", "depth", "line", "segment"))
-    near = two("repo", "callee_path", "segment").withColumnRenamed("callee_path", "path")
-    local = keyed.join(near, ["repo", "path", "segment"], "left").withColumn(
-        "callee_path", F.when(F.col("callee").isNotNull(), F.col("path"))
-    )
+    near = two("repo", "callee_path", "segment").withColumn("path", F.col("callee_path"))
+    local = calls.join(near, ["repo", "path", "segment"], "left")
     resolved = local.filter(F.col("callee").isNotNull())
-    open_calls = local.filter(F.col("callee").isNull()).drop("callee", "callee_path")
-    remote = open_calls.join(two("repo", "segment"), ["repo", "segment"])
-    return resolved.unionByName(remote).drop("call_key")
+    open_calls = local.filter(F.col("callee").isNull()).select(*calls.columns)
+    return resolved.unionByName(open_calls.join(two("repo", "segment"), ["repo", "segment"]))
+
 
+def _enter(resolved: DataFrame, files: DataFrame, labels: LabelTables) -> DataFrame:
+    """Callee units with their tainted parameters as starting variables.
 
-def _enter(resolved: DataFrame, units: DataFrame) -> DataFrame:
-    """Callee units with their tainted parameters as starting variables."""
+    Only the files that hold a callee are split and labelled.
+    """
     entry = F.struct(F.col("callee_path").alias("path"), F.col("callee").alias("qualname"))
     contexts = resolved.filter(~F.array_contains("stack", entry)).select(
-        "repo", F.col("callee_path").alias("path"), F.col("callee").alias("qualname"), "arguments",
+        "repo", F.col("callee_path").alias("path"), F.col("callee").alias("qualname"), F.col("segment").alias("name"),
+        "start_line", "end_line", "params", "arguments",
         F.col("path").alias("call_path"), F.col("line").alias("call_line"),
         F.array_append("stack", entry).alias("stack"), (F.col("depth") + 1).alias("depth"),
     )
-    joined = contexts.join(units, ["repo", "path", "qualname"])
     bound = F.filter(
         F.zip_with("params", "arguments", lambda p, a: F.struct(p.alias("key"), a.alias("value"))),
         lambda kv: kv["key"].isNotNull() & (kv["key"] != "") & kv["value"].isNotNull(),
@@ -382,16 +394,15 @@ def _enter(resolved: DataFrame, units: DataFrame) -> DataFrame:
             .alias("value"),
         ),
     )
-    return (
-        joined.withColumn("bound", moved)
-        .filter(F.size("bound") > 0)
-        .withColumn("vars", F.map_from_entries("bound"))
-        .drop("bound", "arguments", "call_path", "call_line")
-    )
+    keep = [c for c in contexts.columns if c not in ("params", "arguments", "call_path", "call_line")]
+    entered = settle(contexts, *keep, bound=moved).filter(F.size("bound") > 0)
+    called = known_files(files).join(entered.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
+    steps = _file_steps(called.select("repo", "path", "language", "text"), labels)
+    return _cut(entered.join(steps, ["repo", "path"])).withColumn("vars", F.map_from_entries("bound")).drop("bound")
 
 
 def _flows_of(folded: DataFrame) -> DataFrame:
-    flow = folded.select("repo", "path", "qualname", "name", "depth", F.explode("out.flows").alias("f"))
+    flow = folded.select("repo", "path", "qualname", "name", "depth", F.explode("flows").alias("f"))
     # In a called function only taint that came in is new.
     new = flow.filter((F.col("depth") == 0) | F.col("f.taint.inherited"))
     last = _mark(F.col("path"), F.col("f.line"), F.substring_index("name", ".", -1), F.lit("sink"))
@@ -424,34 +435,35 @@ def unique_flows(flows: DataFrame) -> DataFrame:
     return flows.groupBy(*key).agg(best.alias("b")).select(*key, "b.*")
 
 
-def all_flows(files: DataFrame, labels: LabelTables = DEFAULT_LABELS, max_depth: int = MAX_DEPTH, parsed: DataFrame | None = None) -> DataFrame:
+def function_index(files: DataFrame) -> DataFrame:
+    """Every function of the corpus without its text, checkpointed: parsed once, read often."""
+    functions = functions_of(parse_files(files))
+    return cut_lineage(functions.select("repo", "path", "qualname", "name", "start_line", "end_line", "params", "calls"))
+
+
+def all_flows(
+    files: DataFrame,
+    labels: LabelTables = DEFAULT_LABELS,
+    max_depth: int = MAX_DEPTH,
+    functions: DataFrame | None = None,
+) -> DataFrame:
     """Every flow, once per call path that reaches its function.
 
     What a depth leaves behind (folded units, a small part of the corpus) is checkpointed,
     so the next depth and the flows read it instead of folding again.
     """
-    parsed = parse_files(files) if parsed is None else parsed
     stack = F.array().cast("array<struct<path:string,qualname:string>>")
-    units = _unit_rows(parsed, labels, only_sources=True).filter(
-        F.exists("steps", lambda s: s["has_source"])
-    )
-    units = units.withColumns({"vars": _no_vars(), "stack": stack, "depth": F.lit(0)})
+    units = _source_units(files, labels).withColumns({"vars": _no_vars(), "stack": stack, "depth": F.lit(0)})
     folded = _fold(units, follow_calls=max_depth > 0)
-    busy = (F.size("out.flows") > 0) | (F.size("out.calls") > 0)
-    keep = ["repo", "path", "language", "qualname", "name", "stack", "depth", "out"]
+    busy = (F.size("flows") > 0) | (F.size("calls") > 0)
     if max_depth == 0:
-        return _flows_of(folded.select(*keep))
-    folded = cut_lineage(folded.select(*keep).filter(busy))
-    functions = functions_of(parsed)
+        return _flows_of(folded)
+    functions = function_index(files) if functions is None else functions
+    folded = cut_lineage(folded.filter(busy))
     flows = _flows_of(folded)
     for depth in range(1, max_depth + 1):
-        resolved = _resolve(_tainted_calls(folded, labels), functions)
-        resolved = cut_lineage(resolved)
-        called = parsed.join(
-            resolved.select("repo", F.col("callee_path").alias("path")).distinct(), ["repo", "path"], "left_semi"
-        )
-        entered = _enter(resolved, _unit_rows(called, labels, only_sources=False))
-        folded = _fold(entered, follow_calls=depth < max_depth).select(*keep)
+        resolved = cut_lineage(_resolve(_tainted_calls(folded, labels), functions))
+        folded = _fold(_enter(resolved, files, labels), follow_calls=depth < max_depth)
         if depth < max_depth:
             folded = cut_lineage(folded.filter(busy))
         flows = flows.unionByName(_flows_of(folded))
@@ -463,8 +475,10 @@ def taint_intra(files: DataFrame, labels: LabelTables = DEFAULT_LABELS) -> DataF
     return unique_flows(all_flows(files, labels, max_depth=0))
 
 
-def taint_flows(files: DataFrame, labels: LabelTables = DEFAULT_LABELS, parsed: DataFrame | None = None) -> DataFrame:
-    return unique_flows(all_flows(files, labels, parsed=parsed))
+def taint_flows(
+    files: DataFrame, labels: LabelTables = DEFAULT_LABELS, functions: DataFrame | None = None
+) -> DataFrame:
+    return unique_flows(all_flows(files, labels, functions=functions))
 
 
 def taint_inter(files: DataFrame, labels: LabelTables = DEFAULT_LABELS) -> DataFrame:
@@ -520,9 +534,8 @@ def trace_dataflow(files: DataFrame, source_file: str, sink_function: str, label
 
     ``source_file`` may be a literal path; flows keep the file they start in.
     """
-    parsed = parse_files(files)
-    functions = functions_of(parsed)
-    flows = unique_flows(all_flows(files, labels, parsed=parsed))
+    functions = function_index(files)
+    flows = unique_flows(all_flows(files, labels, functions=functions))
     segment = sink_function.rsplit(".", 1)[-1]
     allowed = reachable_names(functions, segment)
     names = allowed.withColumnRenamed("name", "sink_function")
