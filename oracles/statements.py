@@ -98,7 +98,7 @@ SQL: dict[str, str] = {
         from fn f join imp i on i.path = f.path join corpus c on c.path = f.path and c.line_no between f.start_line and f.end_line
         group by f.repo, f.path, f.qualname, i.line_no, i.text, i.names""",
     "build_call_tree": """select f.repo, f.path, f.language, count(distinct n.qualname)::bigint functions,
-        count(distinct i.line_no)::bigint imports, count(distinct (e.caller, e.call_name))::bigint calls, count(distinct (e.caller, e.callee)) filter (where e.callee is not null)::bigint edges
+        count(distinct i.line_no)::bigint imports, count(distinct (e.caller, e.call_name)) filter (where e.caller is not null)::bigint calls, count(distinct (e.caller, e.callee)) filter (where e.callee is not null)::bigint edges
         from files f left join fn n on n.path = f.path left join imp i on i.path = f.path left join edges e on e.path = f.path
         where f.language is not null group by all""",
     "label_sources": "select repo, path, line_no, source, matched from sources",
@@ -160,7 +160,7 @@ SQL: dict[str, str] = {
     "rule_lookup": f"""select c.check_id, coalesce(asked, r.agent, {q(rollups.FALLBACK_AGENT)}) agent,
           case when ok then r.name end as name, case when ok then r.severity end severity, case when ok then r.confidence end confidence,
           case when ok then r.remediation end remediation,
-          case when ok then (select string_agg(pattern, chr(10) order by position) from patterns p where p.check_id = c.check_id) end patterns,
+          case when ok then coalesce((select string_agg(pattern, chr(10) order by position) from patterns p where p.check_id = c.check_id), '') end patterns,
           case when not ok then {q(rollups.NOT_ROUTED)} end note,
           case when not ok then (select string_agg(x.check_id, '|' order by x.check_id) from rules x where x.agent = asked) end available
         from (select q.*, coalesce(r.agent = coalesce(asked, r.agent), false) ok from (

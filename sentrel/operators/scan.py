@@ -144,6 +144,20 @@ def filename_scan(files: DataFrame, rules: DataFrame | Iterable[Rule] = CHECKS)
     )
 
 
+def _event_hits(rule: Rule) -> Column:
+    """The wanted events of one rule with the text of their line."""
+    return F.transform(
+        _wanted(F.col("events"), rule),
+        lambda e: F.struct(
+            F.lit(rule.check_id).alias("check_id"),
+            e["line_no"].alias("line_no"),
+            F.try_element_at("text_lines", e["line_no"]).alias("line"),
+            e["seq"].alias("seq"),
+            e["message"].alias("rule"),
+        ),
+    )
+
+
 def code_event_scan(files: DataFrame, rules: DataFrame | Iterable[Rule] = CHECKS) -> DataFrame:
     """Dangerous calls in Python files, for rules of kind ``ast_or_regex``.
 
@@ -153,20 +167,7 @@ def code_event_scan(files: DataFrame, rules: DataFrame | Iterable[Rule] = CHECKS
     python = files.filter(F.endswith("path", F.lit(".py"))).select("repo", "path", "text", code_events("text").alias("events"))
     found = settle(python, "repo", "path", "events", text_lines=split_lines(F.col("text")))
     hits = [F.array().cast("array<struct<check_id:string,line_no:int,line:string,seq:int,rule:string>>")]
-    for rule in to_rules(rules):
-        if rule.kind == "ast_or_regex":
-            hits.append(
-                F.transform(
-                    _wanted(F.col("events"), rule),
-                    lambda e, check_id=rule.check_id: F.struct(
-                        F.lit(check_id).alias("check_id"),
-                        e["line_no"].alias("line_no"),
-                        F.try_element_at("text_lines", e["line_no"]).alias("line"),
-                        e["seq"].alias("seq"),
-                        e["message"].alias("rule"),
-                    ),
-                )
-            )
+    hits += [_event_hits(rule) for rule in to_rules(rules) if rule.kind == "ast_or_regex"]
     rows = inline_once(found, "repo", "path", structs=F.concat(*hits))
     return (
         rows.groupBy("repo", "path", "line_no", "line", "check_id")

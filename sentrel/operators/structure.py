@@ -35,6 +35,11 @@ SCRIPTED = ("javascript", "typescript")
 IMPORT_TYPE = "array<struct<line_no:int,text:string,names:array<string>,side_effect:boolean>>"
 
 
+def _all_matches(lines: Column, pattern: str) -> Column:
+    """First groups of every match in an array of lines."""
+    return F.flatten(F.transform(lines, lambda line: F.regexp_extract_all(line, F.lit(pattern), F.lit(1))))
+
+
 def _structural_functions(spans: Column, lines: Column, language: Column) -> Column:
     """Function records of JS/TS/PHP from their line ranges."""
 
@@ -45,14 +50,11 @@ def _structural_functions(spans: Column, lines: Column, language: Column) -> Col
         params = F.filter(F.transform(F.split(inside, ","), strip), lambda p: p != "")
         # Both families drop control words from plain calls; only exact names count.
         plain = F.filter(
-            F.flatten(F.transform(body, lambda line: F.regexp_extract_all(line, F.lit(PLAIN_CALL), F.lit(1)))),
-            lambda c: (c != span["name"]) & ~c.isin(*CONTROL_WORDS),
+            _all_matches(body, PLAIN_CALL), lambda c: (c != span["name"]) & ~c.isin(*CONTROL_WORDS)
+        )
+        member = F.when(language == "php", _all_matches(body, MEMBER_CALL["php"])).otherwise(
+            _all_matches(body, MEMBER_CALL["javascript"])
         )
-        member_of = {
-            family: F.flatten(F.transform(body, lambda line, p=p: F.regexp_extract_all(line, F.lit(p), F.lit(1))))
-            for family, p in MEMBER_CALL.items()
-        }
-        member = F.when(language == "php", member_of["php"]).otherwise(member_of["javascript"])
         return F.struct(
             span["name"].alias("qualname"),
             span["name"].alias("name"),

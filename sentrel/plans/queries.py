@@ -138,11 +138,9 @@ over_files("detect_language", lambda f: corpus.with_language(f).select("repo", "
 @query
 def filter_paths(spark, sf):
     documents = spark.read.parquet(f"{sf}/documents.parquet")
-    moved = F.col("doc_id") % 5
     files = files_from_documents(documents)
     number = F.regexp_extract("path", r"_(\d+)", 1).cast("long") % 5
     path = F.when(number == 0, F.concat(F.lit("node_modules/"), "path")).when(number == 1, F.concat(F.lit("lib/.git/"), "path"))
-    del moved
     return corpus.filter_paths(files.withColumn("path", F.coalesce(path, "path"))).select("repo", "path")
 
 
@@ -291,14 +289,8 @@ over_lines("assignments", taint.assignments)
 
 @query
 def call_sites(spark, sf):
-    files = fixture_files(spark, sf).filter(F.col("language").isNotNull())
-    lines = corpus.explode_lines(files).join(F.broadcast(_languages(spark)), F.col("path").rlike(F.col("ending")))
-    return taint.call_sites(lines).withColumn("args", joined("args"))
-
-
-def _languages(spark):
-    rows = [(r"\.py$", "python"), (r"\.js$", "javascript"), (r"\.php$", "php")]
-    return spark.createDataFrame(rows, "ending string, language string")
+    lines = corpus.with_language(corpus.explode_lines(fixture_files(spark, sf)))
+    return taint.call_sites(lines.filter(F.col("language").isNotNull())).withColumn("args", joined("args"))
 
 
 FLOW = [
@@ -499,7 +491,7 @@ def _arriving(spark: SparkSession, sf: str) -> DataFrame:
     """The documents as a stream of files; the event of the same number gives the arrival."""
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
     documents = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    times = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("doc_id"), F.col("ts").alias("arrived"))
+    times = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("arrived"))
     files = files_from_documents(documents)
     number = F.coalesce(F.regexp_extract("path", r"_(\d+)", 1), F.lit("0")).cast("long")
     return files.withColumn("doc_id", number).join(times, "doc_id").drop("doc_id")
@@ -530,4 +522,5 @@ def stream_dedupe(spark, sf):
 
 @query
 def stream_severity(spark, sf):
-    return _drained(spark, streaming.stream_severity(streaming.stream_scan(_arriving(spark, sf))), "stream-severity")
+    counts = _drained(spark, streaming.stream_severity(streaming.stream_scan(_arriving(spark, sf))), "stream-severity")
+    return counts.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
