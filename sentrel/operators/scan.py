@@ -118,7 +118,9 @@ def audit_lines(files: DataFrame) -> DataFrame:
     Keeping the events on the row lets the rule scan prefer them without a join.
     """
     events = code_events("text", where=F.endswith("path", F.lit(".py"))).alias("events")
-    return files.select("repo", "path", events, F.posexplode(split_lines(F.col("text"))).alias("pos", "line")).select(
+    # A projection of its own: in one select with the explode it would run once per line.
+    parsed = files.select("repo", "path", "text", events)
+    return parsed.select("repo", "path", "events", F.posexplode(split_lines(F.col("text"))).alias("pos", "line")).select(
         "repo", "path", "events", (F.col("pos") + 1).alias("line_no"), "line"
     )
 

@@ -492,7 +492,8 @@ def _arriving(spark: SparkSession, sf: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
     documents = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
     times = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("arrived"))
-    files = files_from_documents(documents)
+    # A stream does not tell how many splits a batch has; one large file should use all cores.
+    files = files_from_documents(documents.repartition(spark.sparkContext.defaultParallelism))
     number = F.coalesce(F.regexp_extract("path", r"_(\d+)", 1), F.lit("0")).cast("long")
     return files.withColumn("doc_id", number).join(times, "doc_id").drop("doc_id")
 
