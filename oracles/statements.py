@@ -168,8 +168,9 @@ SQL: dict[str, str] = {
                 union all select distinct 'unknown-' || sid, null from docs) q left join rules r using (check_id)) c left join rules r using (check_id)""",
     "evidence_digest": """select 'web methodology' topic, string_agg('URL: ' || url || chr(10) || substring(html, 1, 2000), chr(10) || chr(10) order by page_id) digest
         from (select * from pages order by page_id limit 5)""",
+    # The word boundary spelled out over Unicode letters; RE2's own is ASCII only.
     "custom_rules": "select 'conversations' repo, 'conversation/' || conv_id || '/' || turn || '.txt' path, line_no::int line_no, 'C1' check_id from ("
-    "select *, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) line_no from conversations) where regexp_matches(line, '(?i)\\b(tion|the|de)\\b')",
+    "select *, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) line_no from conversations) where regexp_matches(line, '(?i)(^|[^\\p{L}\\p{N}_])(tion|the|de)($|[^\\p{L}\\p{N}_])')",
     "custom_labels": """select c.path, c.line_no, regexp_extract(line, '(?i)jwt\\.encode') as matched from corpus c where regexp_matches(line, '(?i)jwt\\.encode')""",
     "audit_report": """select 'severity ' || severity item, count(*)::bigint n from found group by all
         union all select 'check ' || check_id, count(d.id) from rules left join domain d using (check_id) group by all
