@@ -6,6 +6,8 @@ Parsing adds arrays to the file row (no shuffle); everything after it is joins t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -288,57 +290,76 @@ def code_slices(points: DataFrame, files: DataFrame) -> DataFrame:
         .groupBy("repo", "path", F.col("seed").alias("qualname"))
         .agg(F.array_sort(F.collect_list(F.struct("start_line", "qualname", "end_line", "depth"))).alias("members"))
     )
-    reverse = callers(functions, edges)
-    lang = detect_language(F.col("path"))
-    base = (
-        target.join(member, ["repo", "path", "qualname"], "left")
-        .join(reverse, ["repo", "path", "qualname"], "left")
-        .join(parsed.select("repo", "path", "lines", "imports"), ["repo", "path"], "left")
-        .withColumn("language", lang)
+    per_target = (
+        target.groupBy("repo", "path", "qualname")
+        .agg(
+            F.array_sort(F.collect_list("line_no")).alias("points"),
+            *[F.first(c).alias(c) for c in ("start_line", "signature", "calls")],
+        )
+        .join(member, ["repo", "path", "qualname"], "left")
+        .join(callers(functions, edges), ["repo", "path", "qualname"], "left")
     )
-    lines, at, inside = F.col("lines"), F.col("line_no"), F.col("qualname").isNotNull()
-    bodies = F.transform(
-        "members",
-        lambda m: F.array_join(F.slice(lines, m["start_line"], m["end_line"] - m["start_line"] + 1), "\n"),
+    target_row = F.struct("qualname", "start_line", "signature", "calls", "members", "callers", "points")
+    per_file = per_target.groupBy("repo", "path").agg(F.collect_list(target_row).alias("targets"))
+    # One row per file again: its lines are read in place, not copied per point.
+    whole = per_file.join(parsed.select("repo", "path", "lines", "imports"), ["repo", "path"], "left")
+    whole = whole.withColumn("language", detect_language(F.col("path")))
+    # Field by field, so that each lambda stays shallow and nothing is computed twice.
+    rows = whole
+    for name, value in (("bodies", _bodies), ("tokens", _tokens), ("kept", _kept), ("whole", _whole)):
+        added = F.transform("targets", _adding(name, value))
+        rows = settle(rows, "repo", "path", "language", "lines", "imports", targets=added)
+    per_point = F.transform("targets", lambda t: F.transform(t["points"], lambda at: _slice_row(t, at)))
+    return inline_once(rows, "repo", "path", "language", structs=F.flatten(per_point))
+
+
+def _adding(name: str, value: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda target: target.withField(name, value(target))
+
+
+def _bodies(target: Column) -> Column:
+    """Source of the kept functions, by start line; null outside a function."""
+    return F.transform(
+        target["members"],
+        lambda m: F.array_join(F.slice("lines", m["start_line"], m["end_line"] - m["start_line"] + 1), "\n"),
     )
-    tokens = F.array_distinct(F.regexp_extract_all(F.array_join("bodies", "\n"), F.lit(f"({IDENTIFIER})"), F.lit(1)))
-    kept = F.filter("imports", lambda i: i["side_effect"] | F.arrays_overlap(i["names"], F.col("tokens")))
+
+
+def _tokens(target: Column) -> Column:
+    return F.array_distinct(
+        F.regexp_extract_all(F.array_join(target["bodies"], "\n"), F.lit(f"({IDENTIFIER})"), F.lit(1))
+    )
+
+
+def _kept(target: Column) -> Column:
+    used = F.filter("imports", lambda i: i["side_effect"] | F.arrays_overlap(i["names"], target["tokens"]))
+    return F.when(target["qualname"].isNotNull(), used)
+
+
+def _whole(target: Column) -> Column:
+    """Kept imports up to the target's start, then the kept functions."""
+    head = F.filter(target["kept"], lambda i: i["line_no"] <= target["start_line"])
+    return F.array_join(F.concat(F.transform(head, lambda i: i["text"]), target["bodies"]), "\n")
+
+
+def _slice_row(target: Column, at: Column) -> Column:
+    known, inside = F.col("language").isNotNull(), target["qualname"].isNotNull()
+    texts, numbers = F.array().cast("array<string>"), F.array().cast("array<int>")
     reach = F.when(inside, F.lit(WINDOW_INSIDE)).otherwise(F.lit(WINDOW_OUTSIDE))
-    first, last = F.greatest(F.lit(1), at - reach), F.least(F.size(lines), at + reach)
-    window = F.slice(lines, first, F.greatest(F.lit(0), last - first + 1))
-    none = F.array().cast("array<string>")
-    with_bodies = settle(base, *base.columns, bodies=bodies)
-    with_tokens = settle(with_bodies, *with_bodies.columns, tokens=tokens)
-    return (
-        settle(with_tokens, *with_tokens.columns, kept=F.when(inside, kept))
-        .select(
-            "repo",
-            "path",
-            "line_no",
-            "language",
-            F.col("qualname").alias("target_function"),
-            F.col("signature").alias("target_signature"),
-            F.coalesce("callers", none).alias("callers"),
-            F.coalesce("calls", none).alias("callees"),
-            F.coalesce(F.transform("members", lambda m: m["qualname"]), none).alias("functions_included"),
-            F.coalesce(F.transform("members", lambda m: m["depth"]), F.array().cast("array<int>")).alias("functions_depth"),
-            F.coalesce(F.transform("kept", lambda i: i["text"]), none).alias("imports_kept"),
-            (F.size("imports") - F.coalesce(F.size("kept"), F.lit(0))).alias("imports_stripped"),
-            F.when(F.col("language").isNull(), F.lit(""))
-            .when(
-                inside,
-                F.array_join(
-                    F.concat(
-                        F.transform(F.filter("kept", lambda i: i["line_no"] <= F.col("start_line")), lambda i: i["text"]),
-                        F.col("bodies"),
-                    ),
-                    "\n",
-                ),
-            )
-            .otherwise(F.array_join(window, "\n"))
-            .alias("slice"),
-            F.when(F.col("language").isNotNull(), first).alias("focus_start"),
-            F.when(F.col("language").isNotNull(), last).alias("focus_end"),
-            F.coalesce(F.when(inside, window), none).alias("focus_lines"),
-        )
+    first, last = F.greatest(F.lit(1), at - reach), F.least(F.size("lines"), at + reach)
+    window = F.slice("lines", first, F.greatest(F.lit(0), last - first + 1))
+    return F.struct(
+        at.alias("line_no"),
+        target["qualname"].alias("target_function"),
+        target["signature"].alias("target_signature"),
+        F.coalesce(target["callers"], texts).alias("callers"),
+        F.coalesce(target["calls"], texts).alias("callees"),
+        F.coalesce(F.transform(target["members"], lambda m: m["qualname"]), texts).alias("functions_included"),
+        F.coalesce(F.transform(target["members"], lambda m: m["depth"]), numbers).alias("functions_depth"),
+        F.coalesce(F.transform(target["kept"], lambda i: i["text"]), texts).alias("imports_kept"),
+        (F.size("imports") - F.coalesce(F.size(target["kept"]), F.lit(0))).alias("imports_stripped"),
+        F.when(~known, F.lit("")).when(inside, target["whole"]).otherwise(F.array_join(window, "\n")).alias("slice"),
+        F.when(known, first).alias("focus_start"),
+        F.when(known, last).alias("focus_end"),
+        F.coalesce(F.when(inside, window), texts).alias("focus_lines"),
     )

@@ -51,11 +51,11 @@ def joined(column: str | Column, mark: str = "|") -> Column:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder, or a temporary one in local tests."""
     base = spark.conf.get(CHECKPOINT_SETTING, None)
-    if base and "://" not in base:
-        os.makedirs(base, exist_ok=True)
-    if base and "://" in base:
-        return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
+    if not base:
+        return tempfile.mkdtemp(prefix=f"{name}-")
+    if base.startswith("file:"):
+        base = "/" + base[len("file:") :].lstrip("/")
+    return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
 
 
 # --- Scans and sources ---------------------------------------------------------
@@ -72,12 +72,14 @@ def scan_table(spark, sf):
 def _write_tree(files: DataFrame, root: str) -> None:
     """Write the corpus as real files, by the tasks that hold it (tests and demos only)."""
 
+    opener = tree.open_filesystem
+
     def write(rows):
         for row in rows:
-            target = os.path.join(root, row.path)
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(target, "w", encoding="utf-8", newline="") as handle:
-                handle.write(row.text)
+            system, target = opener(f"{root}/{row.path}")
+            system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(target) as handle:
+                handle.write(row.text.encode())
 
     files.select("path", "text").foreachPartition(write)
 

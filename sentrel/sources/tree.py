@@ -33,7 +33,8 @@ BATCH_BYTES = 32 * 1024 * 1024
 LISTED = "parent string, name string, is_dir boolean, size long"
 
 
-def _open_filesystem(location: str):
+def open_filesystem(location: str):
+    """The file system of a path or URI, and the path inside it."""
     from pyarrow import fs
 
     if "://" in location:
@@ -47,7 +48,7 @@ def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 
     for batch in batches:
         for parent in batch["path"]:
-            system, inner = _open_filesystem(parent)
+            system, inner = open_filesystem(parent)
             local = isinstance(system, fs.LocalFileSystem)
             rows = []
             for child in system.get_file_info(fs.FileSelector(inner, recursive=False)):
@@ -64,7 +65,7 @@ def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows, held = [], 0
         for row in batch.itertuples(index=False):
-            system, inner = _open_filesystem(row.location)
+            system, inner = open_filesystem(row.location)
             with system.open_input_stream(inner) as stream:
                 content = stream.read()
             rows.append((row.repo, row.path, row.size, content))
