@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrel.llm import chat, decontamination, exact_dedup, near_dedup, sentencepiece_codec, sharding, token_files
+from sentrel.llm import chat, decontamination, exact_dedup, lm_score, near_dedup, pii, quality, sentencepiece_codec, sharding, token_files
 from sentrel.llm.batches import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def op2_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_VOCABULARY))
 
 
+@query
+def op3_pii(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_exact_dedup(spark, sf_dir):
     found = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -58,6 +63,11 @@ def op5_sharding(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SHARDS)
 
 
+@query
+def op6_lattice_score(spark, sf_dir):
+    return lm_score.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_VOCABULARY))
+
+
 @query
 def op7_decontamination(spark, sf_dir):
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -111,3 +121,8 @@ def op9_chat_windows(spark, sf_dir):
     extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.window_digests(chat.format_windows(rows))
+
+
+@query
+def op10_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
