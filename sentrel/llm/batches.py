@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 from collections.abc import Callable, Iterator
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -133,10 +135,18 @@ class WordHasher:
         return np.concatenate(all_hashes), np.searchsorted(starts, offsets)
 
 
+def kept_in_worker(name: str, make: Callable):
+    """What ``make`` gives, kept for the next tasks of the same Python worker."""
+    module = sys.modules.setdefault("sentrel_worker_cache", ModuleType("sentrel_worker_cache"))
+    if not hasattr(module, name):
+        setattr(module, name, make())
+    return getattr(module, name)
+
+
 class WordTable:
     """Ids of words, computed once per distinct word; forgets all when it holds ``limit`` words."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 700_000):
         """``encode`` gives the ids of all words in a row and the number of ids of each."""
         self.encode, self.limit = encode, limit
         self.clear()

@@ -18,6 +18,7 @@ repeated rows get equal scores; a null ``doc_id`` is training text. Other column
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from pathlib import Path
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentrel.llm.batches import slices, stored, text_of, utf8
+from sentrel.llm.batches import kept_in_worker, slices, stored, text_of, utf8
 from sentrel.llm.pieces import BULK, Vocabulary, by_length
 from sentrel.llm.sentencepiece_codec import long_edges, symbols
 
@@ -76,23 +77,23 @@ def _byte_score(vocabulary: Vocabulary, logs: np.ndarray, code: int) -> float:
 def _short(vocabulary: Vocabulary, logs: np.ndarray, codes: np.ndarray, weights: np.ndarray | None, total: np.ndarray | None):
     """The log probability of each word; with ``weights``, expected counts are added to ``total``."""
     count, size = codes.shape
-    edges = [(s, n, ids, _edge_scores(vocabulary, logs, codes, n, ids, s)) for s, n, ids in vocabulary.edges(codes)]
+    edges = [(s, n, hit, ids, _edge_scores(vocabulary, logs, codes, n, ids, s)) for s, n, hit, ids in vocabulary.edges(codes)]
     forward = np.full((size + 1, count), -np.inf)
     forward[0] = 0
-    for s, n, _, score in edges:
-        forward[s + n] = np.logaddexp(forward[s + n], forward[s] + score)
+    for s, n, hit, _, score in edges:
+        forward[s + n, hit] = np.logaddexp(forward[s + n, hit], forward[s, hit] + score)
     if weights is not None:
         backward = np.full((size + 1, count), -np.inf)
         backward[size] = 0
-        for s, n, ids, score in reversed(edges):
-            through = score + backward[s + n]
-            share = np.exp(forward[s] + through - forward[size]) * weights
+        for s, n, hit, ids, score in reversed(edges):
+            through = score + backward[s + n, hit]
+            share = np.exp(forward[s, hit] + through - forward[size, hit]) * weights[hit]
             known = ids >= 0
             total += np.bincount(ids[known], share[known], len(total))
             if n == 1 and not known.all():
                 for j in np.flatnonzero(~known):
                     _count_bytes(vocabulary, int(codes[j, s]), float(share[j]), total)
-            backward[s] = np.logaddexp(backward[s], through)
+            backward[s, hit] = np.logaddexp(backward[s, hit], through)
     return forward[size]
 
 
@@ -177,7 +178,7 @@ def expected_pieces(counts: DataFrame, model: bytes) -> np.ndarray:
     content = counts.sparkSession.sparkContext.broadcast(model)
 
     def expect(batches):
-        vocabulary = Vocabulary(content.value)
+        vocabulary = kept_in_worker(f"vocabulary_{zlib.crc32(content.value)}", lambda: Vocabulary(content.value))
         logs, total = rank_weights(vocabulary), np.zeros(len(vocabulary.pieces))
         for batch in batches:
             words, own = batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(float)
@@ -205,7 +206,8 @@ def scored_words(counts: DataFrame, model: bytes, logs: np.ndarray, n: int, v: i
     content = counts.sparkSession.sparkContext.broadcast((model, logs))
 
     def run(batches):
-        vocabulary, own_logs = Vocabulary(content.value[0]), content.value[1]
+        data, own_logs = content.value
+        vocabulary = kept_in_worker(f"vocabulary_{zlib.crc32(data)}", lambda: Vocabulary(data))
         for batch in batches:
             words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
             lattice = word_scores(vocabulary, own_logs, [w.decode() for w in words])

@@ -7,14 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import sentencepiece
 
-from sentrel.llm.batches import mixed
-
 SPACE = "▁"
 #: Penalty of a character outside the vocabulary below the lowest score, as the library has it.
 UNKNOWN_PENALTY = 10.0
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BULK = 64
-DIRECTORY_BITS = 18
+DIRECTORY_BITS = 20
 GROUP = 4096
 
 
@@ -45,6 +43,7 @@ class Vocabulary:
         # Where the keys with the same upper bits begin, and the most such keys.
         upper = np.searchsorted(self.keys, np.arange(1 << DIRECTORY_BITS, dtype=np.uint64) << np.uint64(64 - DIRECTORY_BITS))
         self.first = upper.astype(np.int32)
+        self.filled = np.diff(np.append(upper, len(self.keys))) > 0
         self.deep = int(np.diff(np.append(upper, len(self.keys))).max())
         self.keys = np.append(self.keys, np.zeros(self.deep, np.uint64))
         self.ids = np.append(self.ids, np.full(self.deep, -1, np.int32))
@@ -56,7 +55,7 @@ class Vocabulary:
         h = np.zeros(1, np.uint64)
         for c in piece:
             h = step(h, np.array([ord(c)], np.uint64))
-        return int(mixed(h)[0])
+        return int(h[0])
 
     def _spell(self, i: int) -> bytes:
         if len(at := np.flatnonzero(self.bytes == i)):
@@ -65,24 +64,31 @@ class Vocabulary:
 
     def probe(self, hashes: np.ndarray) -> np.ndarray:
         """The id of the piece with each hash, or -1."""
-        keys = mixed(hashes)
-        at = self.first[keys >> np.uint64(64 - DIRECTORY_BITS)]
-        out = np.where(self.keys[at] == keys, self.ids[at], -1)
-        for _ in range(1, self.deep):
+        out = np.full(len(hashes), -1, np.int32)
+        hit = np.flatnonzero(self.filled[hashes >> np.uint64(64 - DIRECTORY_BITS)])
+        keys = hashes[hit]
+        at, found = self.first[keys >> np.uint64(64 - DIRECTORY_BITS)], np.full(len(hit), -1, np.int32)
+        for _ in range(self.deep):
+            found = np.where(self.keys[at] == keys, self.ids[at], found)
             at = at + 1
-            out = np.where(self.keys[at] == keys, self.ids[at], out)
+        out[hit] = found
         return out
 
-    def edges(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """For words of one length (a row each): start, length and the piece ids, by start, then length."""
-        length = codes.shape[1]
+    def edges(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """For words of one length (a row each): start, length, the words that have such a piece, and its ids.
+
+        By start, then length. All words are told for length 1, with id -1 where the character is no piece.
+        """
+        count, length = codes.shape
+        every, columns = np.arange(count), np.ascontiguousarray(codes.T)
         for start in range(length):
-            h = np.zeros(len(codes), np.uint64)
+            h = np.zeros(count, np.uint64)
             for n in range(1, min(self.longest, length - start) + 1):
-                h = step(h, codes[:, start + n - 1])
+                h = step(h, columns[start + n - 1])
                 ids = self.probe(h)
-                if n == 1 or (ids >= 0).any():
-                    yield start, n, ids
+                hit = every if n == 1 else np.flatnonzero(ids >= 0)
+                if len(hit):
+                    yield start, n, hit, ids[hit]
 
     def spell_bytes(self, char: str) -> list[int]:
         """A character outside the vocabulary: its byte pieces, or the unknown piece if there are none."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrel.llm.batches import SLICE_BYTES, WordTable, flattened, slices, spread, utf8
+from sentrel.llm.batches import SLICE_BYTES, WordTable, flattened, kept_in_worker, slices, spread, utf8
 from sentrel.llm.pieces import BULK, UNKNOWN_PENALTY, Vocabulary, by_length, step
 
 UNIT = re.compile(rb" +[^ ]*|[^ ]+")
@@ -71,15 +71,16 @@ def _best_short(vocabulary: Vocabulary, codes: np.ndarray) -> tuple[np.ndarray,
     best = np.full((size + 1, count), -np.inf)
     best[0] = 0
     length, piece = np.zeros((size + 1, count), np.int16), np.full((size + 1, count), -1, np.int32)
-    for start, n, ids in vocabulary.edges(codes):
+    for start, n, hit, ids in vocabulary.edges(codes):
         score = scores[ids]
         if n == 1:
             score = np.where(ids >= 0, score, vocabulary.lowest - UNKNOWN_PENALTY)
-        score = best[start] + score
-        better = score > best[start + n]
-        best[start + n][better] = score[better]
-        length[start + n][better] = n
-        piece[start + n][better] = ids[better]
+        score = best[start, hit] + score
+        better = np.flatnonzero(score > best[start + n, hit])
+        hit = hit[better]
+        best[start + n, hit] = score[better]
+        length[start + n, hit] = n
+        piece[start + n, hit] = ids[better]
     at, every, out = np.full(count, size), np.arange(count), []
     while at.any():
         out.append(np.where(at > 0, piece[at, every], -2))
@@ -93,8 +94,8 @@ def _merged(vocabulary: Vocabulary, codes: np.ndarray) -> list[list[int]]:
     count, size = codes.shape
     longest = min(vocabulary.longest, size)
     table = np.full((size, longest + 1, count), -1, np.int32)
-    for start, n, ids in vocabulary.edges(codes):
-        table[start, n] = ids
+    for start, n, hit, ids in vocabulary.edges(codes):
+        table[start, n, hit] = ids
     scores = np.append(vocabulary.scores, -np.inf)  # the last one for id -1
     end = np.repeat(np.arange(1, size + 1)[:, None], count, axis=1)  # of the piece at each start, or -1
     rows = np.arange(count)
@@ -172,8 +173,9 @@ def encode(df: DataFrame, model: str, text: str = "text", ids: str = "piece_ids"
     df, schema = _added(df, ids, "array<int>")
 
     def run(batches):
-        vocabulary = Vocabulary(content.value)
-        table = WordTable(lambda words: segment(vocabulary, [w.decode() for w in words], merges))
+        vocabulary = kept_in_worker(f"vocabulary_{zlib.crc32(content.value)}", lambda: Vocabulary(content.value))
+        name = f"pieces_{zlib.crc32(content.value)}_{merges}"
+        table = kept_in_worker(name, lambda: WordTable(lambda words: segment(vocabulary, [w.decode() for w in words], merges)))
         for batch in slices(batches, text, 4 * SLICE_BYTES):
             units = [UNIT.findall(b" " + t) if t else [] for t in utf8(batch.column(text))]
             found, counts = table.ids(list(chain.from_iterable(units)))
@@ -190,7 +192,7 @@ def decode(df: DataFrame, model: str, ids: str = "piece_ids", text: str = "decod
     df, schema = _added(df, text, "string")
 
     def run(batches):
-        vocabulary = Vocabulary(content.value)
+        vocabulary = kept_in_worker(f"vocabulary_{zlib.crc32(content.value)}", lambda: Vocabulary(content.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 own = batch.slice(at, 256)

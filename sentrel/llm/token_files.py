@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sentrel.llm.batches import SLICE_BYTES, WordTable, flattened, slices, text_of, utf8
+from sentrel.llm.batches import SLICE_BYTES, WordTable, flattened, kept_in_worker, slices, text_of, utf8
 
 #: A segment is closed once it has so many tokens; a longer document makes a segment of its own.
 SEGMENT_TOKENS = 1 << 18
@@ -147,7 +147,8 @@ def word_encoder(tokenizer_json: str):
 
 def encoded(batches: Iterator[pa.RecordBatch], tokenizer_json: str, end_id: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """Document ids, tokens per document and the tokens of a slice of documents."""
-    table = WordTable(word_encoder(tokenizer_json))
+    name = f"tokens_{zlib.crc32(tokenizer_json.encode())}"
+    table = kept_in_worker(name, lambda: WordTable(word_encoder(tokenizer_json)))
     for batch in slices(batches, "text", 4 * SLICE_BYTES):
         words = [text.split() for text in utf8(batch.column("text"))]
         ids, counts = table.ids(list(chain.from_iterable(words)))
