@@ -133,12 +133,16 @@ def segment(vocabulary: Vocabulary, words: list[str], merges: bool = False) -> t
             flat, n = flattened([_best_long(vocabulary, codes[0])])
         else:
             flat, n = _best_short(vocabulary, codes)
-        if (flat < 0).any():
-            lists = np.split(flat, np.cumsum(n)[:-1])
-            flat, n = flattened([_with_bytes(vocabulary, words[i], ids.tolist()) for i, ids in zip(own.tolist(), lists)])
-        starts[own], counts[own] = size + np.cumsum(n) - n, n
+        begin = np.cumsum(n) - n
+        starts[own], counts[own] = size + begin, n
         parts.append(flat)
         size += len(flat)
+        for j in np.unique(np.repeat(np.arange(len(own)), n)[flat < 0]).tolist():
+            ids = flat[begin[j] : begin[j] + n[j]].tolist()
+            spelled = _with_bytes(vocabulary, words[own[j]], ids)
+            starts[own[j]], counts[own[j]] = size, len(spelled)
+            parts.append(np.array(spelled, np.int32))
+            size += len(spelled)
     flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     return flat[spread(starts, counts)], counts
 
