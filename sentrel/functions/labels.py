@@ -160,4 +160,4 @@ def assignment_of(line: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Distinct identifier-like tokens of a text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\w+)"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"([A-Za-z_0-9][\w$]*)"), F.lit(1)))

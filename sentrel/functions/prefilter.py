@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from re import _constants as op
-from re import _parser as parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+try:  # modules of the interpreter that may move; without them every gate stays open
+    from re import _constants as op
+    from re import _parser as parser
+except ImportError:
+    op = parser = None
+
 MAX_SET = 24  # a larger set of alternatives is not worth testing
 
 
@@ -76,6 +80,8 @@ def _walk(items) -> tuple[frozenset[str] | None, frozenset[str] | None]:
 @lru_cache(maxsize=4096)
 def required_literals(pattern: str) -> tuple[str, ...]:
     """Lower-case strings of which a matching text contains one; empty when none is certain."""
+    if parser is None:
+        return ()
     found = _walk(parser.parse(pattern))[1]
     if not found or min(map(len, found)) < 2:
         return ()

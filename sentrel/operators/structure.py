@@ -47,8 +47,11 @@ def _structural_functions(spans: Column, lines: Column, language: Column) -> Col
 
     def record(span: Column) -> Column:
         body = F.slice(lines, span["start_line"], span["end_line"] - span["start_line"] + 1)
-        signature = F.substring(strip(F.get(lines, span["start_line"] - 1)), 1, SIGNATURE_CHARS)
-        inside = F.regexp_extract(signature, r"\(([^)]*)\)", 1)
+        first = strip(F.get(lines, span["start_line"] - 1))
+        signature = F.substring(first, 1, SIGNATURE_CHARS)
+        # The whole parameter list counts, also one that goes on over the next lines; only the shown signature is cut.
+        whole = F.when(first.rlike(r"\([^)]*$"), F.array_join(body, " ")).otherwise(first)
+        inside = F.regexp_extract(whole, r"\(([^)]*)\)", 1)
         params = F.filter(F.transform(F.split(inside, ","), strip), lambda p: p != "")
         # Both families drop control words from plain calls; only exact names count.
         plain = F.filter(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sentrel.catalogue import AGENTS, CHECKS, Rule
 from sentrel.functions.labels import DEFAULT_LABELS, LabelTables
+from sentrel.functions.parsing import python_units
 from sentrel.operators.blueprints import attach_blueprints, blueprints
 from sentrel.operators.corpus import dependency_inventory
 from sentrel.operators.rollups import (
@@ -26,7 +27,6 @@ from sentrel.operators.scan import audit_agent
 from sentrel.operators.supply import audit_supply_chain, dep_requested_by
 from sentrel.operators.taint import flow_counts, taint_findings, taint_flows
 from sentrel.operators.verdicts import (
-    MAX_VERIFY,
     expected_usage,
     merge_verification,
     static_verdicts,
@@ -73,12 +73,12 @@ def audit(
     with_behaviour: bool = True,
     with_verdicts: bool = True,
     policy: str = "strict",
-    verify_limit: int | None = MAX_VERIFY,
+    verify_limit: int | None = None,
     labels: LabelTables = DEFAULT_LABELS,
 ) -> Audit:
     """Run the analyses, annotate their findings and roll them up.
 
-    Blueprints need the taint and route findings, so asking for them runs both. Findings
+    All findings get a verdict unless ``verify_limit`` asks for the first ones only. Blueprints need the taint and route findings, so asking for them runs both. Findings
     are the small end of the corpus: they are checkpointed once and every annotation and
     roll-up reads that table.
     """
@@ -104,7 +104,7 @@ def audit(
         findings=merged,
         severity_counts=severity_counts(findings),
         check_counts=check_counts(findings, rules),
-        agents=agent_rollup(findings, files, rules),
+        agents=agent_rollup(findings, files, rules, unparsed_files(files)),
         supply_chain=dep_requested_by(files),
         dependency_files=dependency_inventory(files),
         digest=findings_digest(findings),
@@ -119,6 +119,13 @@ def audit(
     return Audit(merged, tables)
 
 
+def unparsed_files(files: DataFrame) -> DataFrame:
+    """``repo, path`` of the Python files that do not parse."""
+    python = files.filter(F.col("language") == "python")
+    told = python.select("repo", "path", python_units(F.col("text"))["parsed"].alias("parsed"))
+    return told.filter("not parsed").select("repo", "path")
+
+
 def report_row(tables: dict[str, DataFrame]) -> DataFrame:
     """The summary document: one row over the bounded roll-ups, not over the findings."""
     now = dt.datetime.now(dt.UTC)

@@ -95,16 +95,31 @@ def to_rules(rules: DataFrame | Iterable[Rule]) -> list[Rule]:
 def usable_patterns(spark: SparkSession, patterns: Iterable[str]) -> list[str]:
     """Patterns that compile; a malformed one is skipped rather than failing the audit.
 
-    Patterns with syntax that differs between regex dialects are also tried in Spark, on
-    a constant that the optimizer folds.
+    All are tried in Spark too, whose dialect differs, in one select on a constant; only if that fails are halves tried.
     """
     good = []
     for pattern in patterns:
         try:
             re.compile(pattern)
-            if re.search(r"\(\?[^:i]|\\[AGNZagkpPxuU]|[+*?}]\+|\[\[|&&", pattern):
-                spark.range(1).select(F.lit("").rlike(pattern)).collect()
-        except (re.error, PySparkException):
+        except re.error:
             continue
         good.append(pattern)
-    return good
+    return _compiling(spark, good)
+
+
+def rejected_patterns(spark: SparkSession, patterns: Iterable[str]) -> DataFrame:
+    """The patterns that ``usable_patterns`` leaves out, a row each."""
+    given = list(patterns)
+    usable = set(usable_patterns(spark, given))
+    return spark.createDataFrame([(p,) for p in given if p not in usable], "pattern string")
+
+
+def _compiling(spark: SparkSession, patterns: list[str]) -> list[str]:
+    if not patterns:
+        return []
+    try:
+        spark.range(1).select(*(F.lit("").rlike(p).alias(str(i)) for i, p in enumerate(patterns))).collect()
+        return patterns
+    except PySparkException:
+        half = len(patterns) // 2
+        return _compiling(spark, patterns[:half]) + _compiling(spark, patterns[half:]) if half else []

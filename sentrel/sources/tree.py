@@ -24,11 +24,6 @@ from sentrel.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# --- Fixed values ------------------------------------------------------------
-MAX_FILE_BYTES = 2 * 1024 * 1024
-MAX_FILES = 3000  # the cap of one run in the original setting; off by default here
-# --- end of fixed values -----------------------------------------------------
-
 BATCH_BYTES = 32 * 1024 * 1024
 LISTED = "parent string, name string, is_dir boolean, size long"
 
@@ -118,33 +113,47 @@ def _contents(listed: DataFrame) -> DataFrame:
 def scan_corpus(
     spark: SparkSession,
     root: str,
-    max_bytes: int = MAX_FILE_BYTES,
+    max_bytes: int | None = None,
     max_files: int | None = None,
     excluded: Iterable[str] = EXCLUDED_DIRECTORIES,
     repos: bool = False,
 ) -> DataFrame:
     """``files(repo, path, size, text, language)`` of a directory tree.
 
-    Symbolic links, excluded names at any depth and files over ``max_bytes`` are skipped.
+    Symbolic links and excluded names at any depth are left out, and files over ``max_bytes`` if it is given;
+    ``skipped`` lists those.
     With ``repos`` the first level below the root names the tree a file belongs to, else
     the root does. ``max_files`` keeps the first files of each tree in path order.
     """
-    listed = list_tree(spark, root, excluded).filter(F.col("size") <= max_bytes)
-    if repos:
-        listed = listed.select(
-            "location",
-            F.substring_index("path", "/", 1).alias("repo"),
-            F.regexp_replace("path", "^[^/]*/", "").alias("path"),
-            "size",
-        )
-    else:
-        listed = listed.select("location", F.lit(os.path.basename(root.rstrip("/"))).alias("repo"), "path", "size")
+    listed = _named(list_tree(spark, root, excluded), root, repos)
+    if max_bytes is not None:
+        listed = listed.filter(F.col("size") <= max_bytes)
     if max_files is not None:
         place = F.row_number().over(Window.partitionBy("repo").orderBy(F.split("path", "/")))
         listed = listed.withColumn("place", place).filter(F.col("place") <= max_files).drop("place")
     return _contents(listed)
 
 
+def skipped(
+    spark: SparkSession, root: str, max_bytes: int, excluded: Iterable[str] = EXCLUDED_DIRECTORIES, repos: bool = False
+) -> DataFrame:
+    """``repo, path, size, reason`` of the files that ``scan_corpus`` leaves out for their size."""
+    listed = _named(list_tree(spark, root, excluded), root, repos).filter(F.col("size") > max_bytes)
+    return listed.select("repo", "path", "size", F.lit(f"over {max_bytes} bytes").alias("reason"))
+
+
+def _named(listed: DataFrame, root: str, repos: bool) -> DataFrame:
+    """The listed files with the tree they belong to."""
+    if not repos:
+        return listed.select("location", F.lit(os.path.basename(root.rstrip("/"))).alias("repo"), "path", "size")
+    return listed.select(
+        "location",
+        F.substring_index("path", "/", 1).alias("repo"),
+        F.regexp_replace("path", "^[^/]*/", "").alias("path"),
+        "size",
+    )
+
+
 def scan_patches(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """Patches or single source files as plain text: added and removed lines both count.
 

@@ -4,6 +4,7 @@ The default run takes one query per family; ``SENTREL_ALL_QUERIES=1`` takes ever
 """
 
 import os
+import re
 
 import pytest
 
@@ -19,7 +20,7 @@ SAMPLE = (
     "auth_signals", "missing_authorization", "idor", "business_logic_report", "agent_rollup", "rule_lookup",
     "evidence_digest", "custom_rules", "stream_dedupe", "stream_severity", "audit_report",
 )
-KEYS = sorted(entry.oracle_sql()) if os.environ.get("SENTREL_ALL_QUERIES") else SAMPLE
+KEYS = sorted(k for k in entry.oracle_sql() if not re.match(r"op\d+_", k)) if os.environ.get("SENTREL_ALL_QUERIES") else SAMPLE
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
@@ -36,5 +37,6 @@ def test_equals_duckdb(spark, con, key):
 
 
 def test_every_key_has_a_statement():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"call_sites"}
+    own = {key for key in entry.queries() if not re.match(r"op\d+_|pipeline$", key)}
+    assert own - set(entry.oracle_sql()) == {"call_sites"}
     assert set(entry.oracle_sql()) <= set(entry.queries())

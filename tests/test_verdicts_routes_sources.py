@@ -148,3 +148,38 @@ def test_late_files_are_dropped_from_windows(spark, tmp_path):
     drain(stream_dedupe(found).select("id", "file", "check_id"), str(tmp_path / "d"))
     kept = spark.read.parquet(str(tmp_path / "d/rows"))
     assert kept.filter("file = 'a.py' and check_id = '30'").count() == 1
+
+
+def test_every_finding_has_a_verdict_by_default(files_of):
+    from sentrel.plans.audit import audit
+
+    text = "\n".join(f"eval(x{i})" for i in range(150))
+    done = audit(files_of({"a.py": text, "b.py": "def broken(:\n"}), with_taint=False, with_logic=False, with_blueprints=False)
+    found = done.findings.collect()
+    assert len(found) >= 150 and all(r["verification_verdict"] for r in found)
+    assert {r["status"] for r in done.tables["agents"].collect()} == {"completed_with_errors"}
+
+
+def test_long_and_broken_parameter_lists_are_whole(files_of):
+    from sentrel.operators.structure import extract_functions
+
+    names = [f"a_rather_long_parameter_name_{i}" for i in range(20)]
+    one, two = f"function wide({', '.join(names)}) {{\n  return 1;\n}}\n", "function tall(a,\n  b,\n  c) {\n  return 1;\n}\n"
+    rows = extract_functions(files_of({"a.js": one + two})).collect()
+    assert {r["name"]: list(r["params"]) for r in rows} == {"wide": names, "tall": ["a", "b", "c"]}
+
+
+def test_patterns_the_engine_rejects_are_told(spark):
+    from sentrel.sources.rules import rejected_patterns, usable_patterns
+
+    given = [r"function \w+ {", "a{,3}b", "eval", "(", "x+"]
+    usable = usable_patterns(spark, given)
+    assert "eval" in usable and "x+" in usable and "(" not in usable
+    assert {r["pattern"] for r in rejected_patterns(spark, given).collect()} == set(given) - set(usable)
+    assert spark.range(1).select(*[F.lit("eval").rlike(p) for p in usable]).count() == 1
+
+
+def test_names_with_a_dollar_are_one_word(spark):
+    from sentrel.functions.labels import words
+
+    assert spark.range(1).select(words(F.lit("'x' + user$id + b")).alias("w")).first()["w"] == ["x", "user$id", "b"]
