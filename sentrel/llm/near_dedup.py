@@ -7,9 +7,10 @@ shingle and level, so that two documents draw alike with a chance equal to their
 ``ROWS`` draws give candidates; a candidate pair counts only if its exact weighted Jaccard similarity is at least the
 threshold.
 
-Equal texts share a node, so copies make no pairs. In a bucket nodes are compared with leaders only, ``ROUNDS`` one
-after the other, so the work grows with the members of a bucket, whatever its size; no bucket is capped. Nodes that no
-leader is similar to may still be joined through their other bands.
+Equal texts share a node, so copies make no pairs. Each bucket has one leader, which all its nodes are compared with.
+What that leaves open, nodes of a bucket in different components, is compared in blocks of ``BLOCK_NODES``: a pair in its
+first open bucket only, and not if the components have met by then, if the weights differ too much, or if the distances to
+the leader do (1 - similarity is a metric). So every pair of nodes that share a bucket is decided; none is capped.
 
 Defined cases: null text is empty; documents without words are equal only if their texts are; documents of fewer than
 five words are one shingle; null ``doc_id`` is the smallest; repeated rows are in one group. A group's ``class_id`` is
@@ -18,6 +19,8 @@ the smallest ``doc_id`` in it. Only ``doc_id`` and the text are read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -30,8 +33,8 @@ BANDS, ROWS = 18, 5
 IDF_CELLS = 1 << 18
 #: Members of a bucket that meet one copy of their leader in one task.
 LEADER_SHARE = 256
-#: Leaders that a bucket has one after the other.
-ROUNDS = 3
+#: Nodes and bytes of text that a block of an open bucket holds on average.
+BLOCK_NODES, BLOCK_BYTES = 256, 1 << 23
 QUANTILES = 1 << 12
 CHUNK = 1 << 15
 
@@ -210,41 +213,100 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return dealt.mapInArrow(compare, "member binary, leader binary, similarity double")
 
 
-def links(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float, rounds: int = ROUNDS) -> DataFrame:
+def links(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float, block: int = BLOCK_NODES) -> DataFrame:
     """Components (``node``, ``root``) of the similar nodes that share a bucket; ``members`` has ``bucket`` and ``node``.
 
-    In each round every bucket has one leader, the node that meets most others over all its buckets, which of an
-    original and its variants is the original. Members similar to the leader are done, the others go on together.
+    A bucket's leader is the node that meets most others over all its buckets, which of an original and its variants is
+    the original. A bucket is open while the nodes that it led are of several components.
     """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
     scores = members.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("score"))
-    work, roots, known = stored(members.join(scores, "node"), "scored"), None, None
-    for turn in range(rounds):
-        chosen = work.groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("leader"))
-        led = stored(work.join(chosen, "bucket").filter("node != leader"), "led")
-        pairs = led.select(F.col("node").alias("member"), "leader").distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["member", "leader"], "left_anti")
-        sims = stored(verified(pairs, texts, idf), "similarities")
-        known = sims if known is None else known.unionByName(sims)
-        roots = rooted(roots, sims.filter(F.col("similarity") >= threshold).select("member", "leader"))
-        if turn + 1 == rounds:
-            break
-        told = led.withColumnRenamed("node", "member").join(known, ["member", "leader"])
-        rest = told.filter(F.col("similarity") < threshold).select("bucket", F.col("member").alias("node"), "score")
-        # A bucket goes on while it has nodes of several components.
-        placed = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-        work = stored(rest.join(several.select("bucket"), "bucket", "left_semi").select(*work.columns), "open")
-        if work.isEmpty():
-            break
-    return roots
-
-
-def rooted(roots: DataFrame | None, found: DataFrame) -> DataFrame:
+    work = stored(members.join(scores, "node"), "scored")
+    chosen = work.groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("leader"))
+    led = stored(work.join(chosen, "bucket").filter("node != leader").select("bucket", F.col("node").alias("member"), "leader"), "led")
+    sims = stored(verified(led.select("member", "leader").distinct(), texts, idf), "similarities")
+    roots = smallest_labels(sims.filter(F.col("similarity") >= threshold).select("member", "leader"))
+    told = led.join(sims, ["member", "leader"]).select("bucket", F.col("member").alias("node"), (1 - F.col("similarity")).alias("far"))
+    placed = told.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+    rest = stored(placed.join(several.select("bucket"), "bucket", "left_semi"), "open")
+    if rest.isEmpty():
+        return roots
+    return rooted(roots, stored(linked_in_blocks(rest, texts, idf, threshold, block), "links"))
+
+
+class Block:
+    """Nodes of a block in one task: those of its first part are held, and every later one is compared with them."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.numbers = threshold, {}
+        self.nodes, self.vectors, self.buckets = [], [], []
+        self.roots, self.far, self.weights = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+
+    def met(self, root: bytes, far: float, bucket: int, buckets: set[int], vector: tuple[np.ndarray, np.ndarray]) -> Iterator[bytes]:
+        """One similar node of each component that ``root`` is not yet known to be one with."""
+        own, weight = self.number(root), float(vector[1].sum(dtype=np.float64))
+        low, high = np.minimum(self.weights, weight), np.maximum(self.weights, weight)
+        slack = 1 - self.threshold + 1e-6
+        for i in np.flatnonzero((self.roots != own) & (np.abs(self.far - far) <= slack) & (low >= high * (self.threshold - 1e-6))):
+            if self.roots[i] == own or min(self.buckets[i] & buckets) != bucket:
+                continue
+            if weighted_jaccard(self.vectors[i], vector) >= self.threshold:
+                old = self.roots[i]
+                self.roots[self.roots == old] = own
+                self.numbers = {k: own if v == old else v for k, v in self.numbers.items()}
+                yield self.nodes[i]
+
+    def number(self, root: bytes) -> int:
+        return self.numbers.setdefault(root, len(self.numbers) + len(self.nodes))
+
+    def hold(self, node: bytes, root: bytes, far: float, buckets: set[int], vector: tuple[np.ndarray, np.ndarray]) -> None:
+        self.roots = np.append(self.roots, self.number(root))
+        self.far, self.weights = np.append(self.far, far), np.append(self.weights, vector[1].sum(dtype=np.float64))
+        self.nodes.append(node)
+        self.buckets.append(buckets)
+        self.vectors.append((vector[0].copy(), vector[1].copy()))
+
+
+def linked_in_blocks(rest: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float, block: int = BLOCK_NODES) -> DataFrame:
+    """``member`` and ``leader``: links that join the components of each open bucket. Two blocks at a time meet in a task."""
+    shared = rest.sparkSession.sparkContext.broadcast(idf)
+    own = rest.groupBy("node").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))  # one per band at most
+    sized = rest.join(own, "node").join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
+    blocks = sized.groupBy("bucket").agg(
+        F.ceil(F.greatest(F.count("*") / block, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
+    )
+    dealt = sized.drop("bytes").join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    dealt = dealt.withColumn("part", F.when(F.col("block") == F.col("low"), 0).otherwise(1))
+    rows = dealt.select("bucket", "low", "high", "part", "node", "root", "far", "buckets").join(texts, "node")
+    rows = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "part")
+
+    def compare(batches):
+        hasher, current, held = WordHasher(), None, Block(threshold)
+        for batch in slices(batches, "text"):
+            hashes, bounds = hasher.hashes(batch.column("text"))
+            keys, weights, found = shingles(hashes, bounds, shared.value)
+            out = {"member": [], "leader": []}
+            names = ("bucket", "low", "high", "part", "node", "root", "far", "buckets")
+            for i, (bucket, low, high, part, node, root, far, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in names))):
+                if current != (bucket, low, high):
+                    current, held = (bucket, low, high), Block(threshold)
+                vector, own = (keys[found[i] : found[i + 1]], weights[found[i] : found[i + 1]]), set(own)
+                if part or low == high:
+                    for leader in held.met(root, far, bucket, own, vector):
+                        out["member"].append(node)
+                        out["leader"].append(leader)
+                if not part:
+                    held.hold(node, root, far, own, vector)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in out.values()], names=list(out))
+
+    return rows.mapInArrow(compare, "member binary, leader binary")
+
+
+def rooted(roots: DataFrame, found: DataFrame) -> DataFrame:
     """``node`` and ``root`` of the components, with the new links taken in."""
-    if roots is None:
-        return smallest_labels(found)
     for side in ("member", "leader"):
         own = roots.select(F.col("node").alias(side), "root")
         found = found.join(own, side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
@@ -278,7 +340,12 @@ def smallest_labels(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(
-    documents: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, per_band: int = ROWS, text: str = "text"
+    documents: DataFrame,
+    threshold: float = THRESHOLD,
+    bands: int = BANDS,
+    per_band: int = ROWS,
+    text: str = "text",
+    block: int = BLOCK_NODES,
 ) -> DataFrame:
     """Per row of the documents: ``doc_id``, ``class_id``, ``class_size`` and ``node``, the digest of its text."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("text"))
@@ -292,7 +359,7 @@ def near_groups(
     wanted = members.select("node").distinct().join(nodes, "node").select("node", F.xxhash64("doc_id").alias("key"))
     texts = rows.withColumn("key", F.xxhash64("doc_id")).join(wanted, ["node", "key"])
     texts = texts.dropDuplicates(["node", "key"]).select("node", "text")
-    roots = links(members, stored(texts, "texts"), idf, threshold)
+    roots = links(members, stored(texts, "texts"), idf, threshold, block)
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = placed.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"].alias("class_id"), F.sum("n").alias("class_size")

@@ -292,8 +292,8 @@ def test_draws_agree_as_weighted_jaccard():
     assert abs((draws[0] == draws[1]).mean() - near_dedup.weighted_jaccard((keys, a), (keys, b))) < 0.03
 
 
-def test_near_groups_equal_brute_force(spark, odd, none):
-    documents = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+def near_classes(documents):
+    """The smallest id of each document's group, from all pairs."""
     rows = documents.orderBy("doc_id").collect()
     idf = near_dedup.inverse_frequencies(documents)
     hashes, bounds = WordHasher().hashes(pa.array([r["text"] for r in rows]))
@@ -307,8 +307,13 @@ def test_near_groups_equal_brute_force(spark, odd, none):
     least = {}
     for r, g in zip(rows, group):
         least[g] = min(least.get(g, r["doc_id"]), r["doc_id"])
+    return {r["doc_id"]: least[g] for r, g in zip(rows, group)}
+
+
+def test_near_groups_equal_brute_force(spark, odd, none):
+    documents = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_groups(documents).collect()}
-    assert got == {r["doc_id"]: least[g] for r, g in zip(rows, group)}
+    assert got == near_classes(documents)
     assert len(set(got.values())) < len(got)
     classes = Counter((r["doc_id"], r["class_id"]) for r in near_dedup.near_groups(odd).collect())
     assert classes == Counter([(1, 1), (2, 1), (3, 3), (4, 4), (4, 4), (5, 4), (6, 6), (7, 7), (None, None), (4, 4), (8, 8)])
@@ -316,6 +321,25 @@ def test_near_groups_equal_brute_force(spark, odd, none):
     assert near_dedup.near_groups(none).count() == 0
 
 
+def test_near_links_that_no_leader_has(spark):
+    """Chains whose ends share nothing, and variants of which many pairs are just above or below the threshold."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(words[5 * k : 5 * k + 200]) for k in range(60)]
+    for base in range(3):
+        first = rng.choice(words, 300).tolist()
+        for _ in range(40):
+            own = list(first)
+            for at in rng.choice(300, rng.integers(4, 12), replace=False):
+                own[at] = f"x{rng.integers(10**9)}"
+            texts.append(" ".join(own))
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = near_classes(documents)
+    assert all(want[k] == 0 for k in range(60)) and len(set(want.values())) > 3
+    for block in (7, 1000):
+        assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_groups(documents, block=block).collect()} == want
+
+
 def test_chat_windows_read_back(spark):
     probe = "</s>[INST] ok [/INST]"
     hard = [
