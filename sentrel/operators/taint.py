@@ -34,6 +34,7 @@ from sentrel.session import cut_lineage
 
 # --- Fixed values ------------------------------------------------------------
 MAX_DEPTH = 2
+#: Callees that a call resolves to by definition; ``None`` as an argument follows all.
 MAX_CANDIDATES = 2
 MODULE = "<module>"
 # --- end of fixed values -----------------------------------------------------
@@ -333,12 +334,12 @@ def _tainted_calls(folded: DataFrame, labels: LabelTables) -> DataFrame:
     return rows.filter(carried)
 
 
-def _resolve(calls: DataFrame, functions: DataFrame) -> DataFrame:
-    """Callees of each call: up to two of the same file, else up to two of other files.
+def _resolve(calls: DataFrame, functions: DataFrame, max_candidates: int | None) -> DataFrame:
+    """Callees of each call: those of the same file, else those of other files, ``max_candidates`` at most.
 
-    Two per name is the definition of the analysis. Functions are first cut to the called
-    names, and the ranking keeps two rows per key before it shuffles, so a name defined in
-    a million files costs no more than a rare one.
+    Functions are first cut to the called names, and the ranking keeps that many rows per
+    key before it shuffles, so a name defined in a million files costs no more than a rare
+    one. Without a limit every callee is followed, and such a name costs calls times files.
     """
     callee = functions.select(
         "repo", F.col("path").alias("callee_path"), F.col("qualname").alias("callee"), F.col("name").alias("segment"),
@@ -346,15 +347,17 @@ def _resolve(calls: DataFrame, functions: DataFrame) -> DataFrame:
     )
     callee = callee.join(calls.select("repo", "segment").distinct(), ["repo", "segment"], "left_semi")
 
-    def two(*keys: str) -> DataFrame:
+    def first(*keys: str) -> DataFrame:
+        if max_candidates is None:
+            return callee
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy("callee_path", "start_line", "callee"))
-        return callee.withColumn("rank", rank).filter(F.col("rank") <= MAX_CANDIDATES).drop("rank")
+        return callee.withColumn("rank", rank).filter(F.col("rank") <= max_candidates).drop("rank")
 
-    near = two("repo", "callee_path", "segment").withColumn("path", F.col("callee_path"))
+    near = first("repo", "callee_path", "segment").withColumn("path", F.col("callee_path"))
     local = calls.join(near, ["repo", "path", "segment"], "left")
     resolved = local.filter(F.col("callee").isNotNull())
     open_calls = local.filter(F.col("callee").isNull()).select(*calls.columns)
-    return resolved.unionByName(open_calls.join(two("repo", "segment"), ["repo", "segment"]))
+    return resolved.unionByName(open_calls.join(first("repo", "segment"), ["repo", "segment"]))
 
 
 def _enter(resolved: DataFrame, files: DataFrame, labels: LabelTables) -> DataFrame:
@@ -446,6 +449,7 @@ def all_flows(
     labels: LabelTables = DEFAULT_LABELS,
     max_depth: int = MAX_DEPTH,
     functions: DataFrame | None = None,
+    max_candidates: int | None = MAX_CANDIDATES,
 ) -> DataFrame:
     """Every flow, once per call path that reaches its function.
 
@@ -462,7 +466,7 @@ def all_flows(
     folded = cut_lineage(folded.filter(busy))
     flows = _flows_of(folded)
     for depth in range(1, max_depth + 1):
-        resolved = cut_lineage(_resolve(_tainted_calls(folded, labels), functions))
+        resolved = cut_lineage(_resolve(_tainted_calls(folded, labels), functions, max_candidates))
         folded = _fold(_enter(resolved, files, labels), follow_calls=depth < max_depth)
         if depth < max_depth:
             folded = cut_lineage(folded.filter(busy))
@@ -476,9 +480,12 @@ def taint_intra(files: DataFrame, labels: LabelTables = DEFAULT_LABELS) -> DataF
 
 
 def taint_flows(
-    files: DataFrame, labels: LabelTables = DEFAULT_LABELS, functions: DataFrame | None = None
+    files: DataFrame,
+    labels: LabelTables = DEFAULT_LABELS,
+    functions: DataFrame | None = None,
+    max_candidates: int | None = MAX_CANDIDATES,
 ) -> DataFrame:
-    return unique_flows(all_flows(files, labels, functions=functions))
+    return unique_flows(all_flows(files, labels, functions=functions, max_candidates=max_candidates))
 
 
 def taint_inter(files: DataFrame, labels: LabelTables = DEFAULT_LABELS) -> DataFrame:
