@@ -180,13 +180,10 @@ SQL: dict[str, str] = {
         union all select 'blueprints', count(*) from plan union all select 'flows', count(*) from flows union all select 'routes', count(*) from route
         union all select 'total', count(*) from found""",
     "write_report": "select agent, count(*)::bigint findings, count(distinct file)::bigint files from domain group by agent",
-    "stream_scan": """select d.repo, d.id, d.check_id, d.severity, d.file, d.line::int line, d.snippet, d.rule from domain d
-        where d.rule not in ('dynamic execution via eval', 'unsafe pickle deserialization')""",
-    "stream_dedupe": """select d.repo, d.id, d.check_id, d.file, d.line::int line from domain d
-        where d.rule not in ('dynamic execution via eval', 'unsafe pickle deserialization')""",
+    "stream_scan": """select d.repo, d.id, d.check_id, d.severity, d.file, d.line::int line, d.snippet, d.rule from domain d""",
+    "stream_dedupe": """select d.repo, d.id, d.check_id, d.file, d.line::int line from domain d""",
     "stream_severity": """select w::timestamp window_start, (w + interval 1 hour)::timestamp window_end, severity, count(*)::bigint findings from (
-          select date_trunc('hour', a.arrived) w, severity from domain d join arrivals a on a.path = d.file
-          where d.rule not in ('dynamic execution via eval', 'unsafe pickle deserialization'))
+          select date_trunc('hour', a.arrived) w, severity from domain d join arrivals a on a.path = d.file)
         where w + interval 1 hour <= (select max(arrived) - interval 1 hour from arrivals a join domain d on d.file = a.path) group by all""",
 }
 

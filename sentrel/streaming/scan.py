@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentrel.catalogue import CHECKS, Rule
-from sentrel.operators.scan import filename_scan, pattern_scan, project_finding
-from sentrel.operators.corpus import explode_lines
+from sentrel.operators.scan import audit_lines, filename_scan, pattern_scan, project_finding
 
 ARRIVED = "arrived"
 
@@ -24,12 +23,12 @@ def _carrying(files: DataFrame) -> DataFrame:
 
 
 def stream_scan(files: DataFrame, rules: DataFrame | Iterable[Rule] = CHECKS, delay: str = "1 hour") -> DataFrame:
-    """Findings of arriving files, with ``arrived``; line and file-name checks, no state.
+    """Findings of arriving files, with ``arrived``: line, code-event and file-name checks, no state.
 
     ``delay`` is how late a file may be for the stateful operators behind this one.
     """
     carried = _carrying(files)
-    hits = pattern_scan(explode_lines(carried), rules).unionByName(filename_scan(carried, rules))
+    hits = pattern_scan(audit_lines(carried), rules).unionByName(filename_scan(carried, rules))
     found = project_finding(hits, rules)
     rest = [c for c in found.columns if c != "repo"]
     named = found.select(F.col("repo.name").alias("repo"), F.col(f"repo.{ARRIVED}").alias(ARRIVED), *rest)
