@@ -6,7 +6,7 @@ import re
 
 from sentrel.catalogue import AGENTS, CHECKS
 from sentrel.fixtures import SKELETONS
-from sentrel.functions import labels, text
+from sentrel.functions import calls, labels, text
 from sentrel.operators import routes, supply, verdicts
 
 
@@ -205,6 +205,34 @@ PARTS: dict[str, str] = {
       select repo, doc_id, path, line_no, regexp_extract(line, {q(labels.ASSIGNMENT)}, 1) var,
              trim(rtrim(regexp_extract(line, {q(labels.ASSIGNMENT)}, 2), ';')) rhs
       from corpus where regexp_matches(line, {q(labels.ASSIGNMENT)}) and not regexp_matches(rhs, '^[=><!]')""",
+    # --- calls: tokens of the line, then of each argument text, with positions and depths as running sums ---
+    "line_tokens": f"""
+      select *, sum(length(token)) over (partition by path, line_no order by k) upto from (
+        select *, unnest(tokens) token, generate_subscripts(tokens, 1) k from (
+          select c.repo, c.path, line_no, line, case when language = 'php' then regexp_extract_all(line, {q(calls.CALLS['php'] + '|' + calls.BETWEEN)})
+              when language in ('javascript', 'typescript') then regexp_extract_all(line, {q(calls.CALLS['javascript'] + '|' + calls.BETWEEN)})
+              else regexp_extract_all(line, {q(calls.CALLS['python'] + '|' + calls.BETWEEN)}) end tokens
+          from corpus c join files on files.path = c.path where language is not null and contains(line, '(')))""",
+    "line_calls": f"""
+      select repo, path, line_no, row_number() over (partition by path, line_no order by k) as position, substring(line, upto::int + 1) rest,
+             regexp_replace({strip_sql('left(token, length(token) - 1)')}, {q(calls.NAME_JOINT)}, '.', 'g') as name
+      from line_tokens where suffix(token, '(') and regexp_matches(token, '^[A-Za-z_$]')""",
+    "call_ends": """
+      select path, line_no, position, min(upto)::int stop from (
+        select *, 1 + sum(case when suffix(p, '(') then 1 else -1 end) over w depth, sum(length(p)) over w upto from (
+          select path, line_no, position, unnest(pieces) p, generate_subscripts(pieces, 1) j
+          from (select *, regexp_extract_all(rest, '[^()]*[()]') pieces from line_calls))
+        window w as (partition by path, line_no, position order by j))
+      where depth = 0 group by all""",
+    "call_parts": f"""
+      select path, line_no, position, part, {strip_sql("string_agg(case when cut then '' else token end, '' order by i)")} as argument from (
+        select *, sum(cut::int) over (partition by path, line_no, position order by i) part from (
+          select *, token = ',' and sum(case when token in ('(', '[', '{{') then 1 when token in (')', ']', '}}') then -1 else 0 end)
+                    over (partition by path, line_no, position order by i) = 0 cut from (
+            select path, line_no, position, unnest(tokens) token, generate_subscripts(tokens, 1) i from (
+              select c.*, regexp_extract_all(case when stop is null then rest else left(rest, stop - 1) end, {q(calls.ARGUMENT_TOKEN)}) tokens
+              from line_calls c left join call_ends e using (path, line_no, position)))))
+      group by all""",
     # --- taint: nodes are definitions (variable, line), propagated edge by edge ---
     "unit": """
       select repo, doc_id, path, qualname, start_line, end_line, params from fn

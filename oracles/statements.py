@@ -105,6 +105,8 @@ SQL: dict[str, str] = {
     "label_sinks": "select repo, path, line_no, sink, args from sinks",
     "label_sanitizers": f"select repo, path, line_no, {first_of('line', labels.SANITIZERS)} sanitizer from corpus where sanitizer is not null",
     "assignments": "select repo, path, line_no, var, rhs from assigned",
+    "call_sites": """select c.repo, c.path, c.line_no, c.position::int as position, c.name, coalesce(string_agg(argument, '|' order by part) filter (where argument <> ''), '') args
+        from line_calls c left join call_parts p using (path, line_no, position) group by all""",
     "taint_intra": "select source_file, source_line, source_kind, sink_file, sink_line, sink_kind, value, sanitized, sanitizer, sink_function, taint_path from flows where depth = 0",
     "taint_inter": "select source_file, source_line, source_kind, sink_file, sink_line, sink_kind, value, sanitized, sanitizer, sink_function, taint_path from flows where depth > 0",
     "taint_flows": "select source_file, source_line, source_kind, sink_file, sink_line, sink_kind, value, sanitized, sanitizer, sink_function, taint_path from flows",
@@ -220,8 +222,6 @@ PARTS["enc"] = """select p.repo, p.path, p.line_no, arg_min(f.qualname, f.end_li
   from points p left join fn f on f.path = p.path and p.line_no between f.start_line and f.end_line group by all"""
 SQL["code_slice"] = _code_slice()
 
-ROWS_ONLY = ("call_sites",)
-
 
 def oracle_sql() -> dict[str, str]:
     return {key: assemble(sql) for key, sql in SQL.items()}

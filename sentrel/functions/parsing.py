@@ -52,16 +52,9 @@ PHP_FUNCTIONS = (
     r"\bfunction\s*(?:&\s*)?([A-Za-z_][\w]*)\s*\(",
     r"\b([A-Za-z_$][\w$]*)\s*=\s*function\s*\(",
 )
-# A call: a dotted name up to its opening parenthesis.
-CALLS = {
-    "php": r"\$?[A-Za-z_][\w$]*(?:\s*(?:->|::)\s*\$?[A-Za-z_][\w$]*)*\s*\(",
-    "javascript": r"[A-Za-z_$][\w$]*(?:\s*(?:\.|\?\.)\s*[A-Za-z_$][\w$]*)*\s*\(",
-    "python": r"[A-Za-z_][\w$]*(?:\s*\.\s*[A-Za-z_][\w$]*)*\s*\(",
-}
 # --- end of fixed values -----------------------------------------------------
 
 
-
 def _struct(**fields: DataType) -> StructType:
     return StructType([StructField(name, kind) for name, kind in fields.items()])
 
@@ -75,7 +68,6 @@ FUNCTION = _struct(
 IMPORT = _struct(line_no=_INT, text=_TEXT, names=_TEXTS, side_effect=_FLAG)
 PYTHON_UNIT = _struct(parsed=_FLAG, functions=ArrayType(FUNCTION), imports=ArrayType(IMPORT))
 SPAN = _struct(name=_TEXT, start_line=_INT, end_line=_INT)
-CALL = _struct(name=_TEXT, args=_TEXTS)
 
 
 def parse_or_none(text: str | None) -> ast.Module | None:
@@ -237,53 +229,6 @@ def function_spans(stripped: pd.Series, language: pd.Series) -> pd.Series:
     return pd.Series([brace_spans(t, lang) for t, lang in zip(stripped, language, strict=True)], dtype=object)
 
 
-def split_arguments(text: str) -> list[str]:
-    """Split on commas outside quotes and brackets; empty parts are dropped."""
-    parts, depth, quote, start = [], 0, "", 0
-    for at, char in enumerate(text):
-        if quote:
-            quote = "" if char == quote else quote
-        elif char in "'\"`":
-            quote = char
-        elif char in "([{":
-            depth += 1
-        elif char in ")]}":
-            depth -= 1
-        elif char == "," and depth == 0:
-            parts.append(text[start:at])
-            start = at + 1
-    parts.append(text[start:])
-    return [p.strip() for p in parts if p.strip()]
-
-
-def calls_of(line: str | None, language: str | None) -> list[dict]:
-    """Calls of one line: dotted name and argument texts.
-
-    An argument list that does not close on the line runs to the end of the line.
-    """
-    if not line:
-        return []
-    family = "javascript" if language in ("javascript", "typescript") else language
-    close: dict[int, int] = {}
-    opened: list[int] = []
-    for paren in re.finditer(r"[()]", line):
-        if paren.group() == "(":
-            opened.append(paren.start())
-        elif opened:
-            close[opened.pop()] = paren.start()
-    found = []
-    for match in re.finditer(CALLS.get(family, CALLS["python"]), line):
-        name = re.sub(r"\s*(?:->|::|\?\.|\.)\s*", ".", match.group()[:-1].strip())
-        opening = match.end() - 1
-        found.append({"name": name, "args": split_arguments(line[opening + 1 : close.get(opening, len(line))])})
-    return found
-
-
-@F.pandas_udf(ArrayType(CALL))
-def split_calls(lines: pd.Series, language: pd.Series) -> pd.Series:
-    return pd.Series([calls_of(t, lang) for t, lang in zip(lines, language, strict=True)], dtype=object)
-
-
 def block_end(text: str, start_line: int) -> int | None:
     """Last line of the handler block that opens at or after a line, null when none opens.
 

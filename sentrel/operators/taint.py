@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentrel.functions.calls import split_calls
 from sentrel.functions.labels import (
     DEFAULT_LABELS,
     LabelTables,
@@ -25,7 +26,6 @@ from sentrel.functions.labels import (
     sink_of,
     words,
 )
-from sentrel.functions.parsing import split_calls
 from sentrel.functions.rows import explode_once, inline_once, settle
 from sentrel.functions.text import SNIPPET_CHARS, finding_id, split_lines, strip
 from sentrel.operators.scan import FLOW_EVIDENCE, TAINT_STEP, as_findings
@@ -86,7 +86,7 @@ def assignments(lines: DataFrame) -> DataFrame:
 def call_sites(lines: DataFrame) -> DataFrame:
     """Calls of each line with dotted name and argument list (``lines`` has ``language``)."""
     return (
-        lines.filter(F.col("line").rlike(CALL_GATE))
+        lines.filter(F.col("line").contains("("))
         .select("repo", "path", "line_no", F.posexplode(split_calls("line", "language")).alias("at", "call"))
         .select("repo", "path", "line_no", (F.col("at") + 1).alias("position"), F.col("call.name").alias("name"), F.col("call.args").alias("args"))
     )

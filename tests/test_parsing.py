@@ -1,4 +1,8 @@
-from sentrel.functions.parsing import block_end, brace_spans, calls_of, events_of, python_unit, split_arguments
+import pytest
+from pyspark.sql import functions as F
+
+from sentrel.functions.calls import split_arguments, split_calls
+from sentrel.functions.parsing import block_end, brace_spans, events_of, python_unit
 
 SOURCE = '''import os.path as p, sys
 from a.b import c as d, e
@@ -55,11 +59,34 @@ def test_brace_spans():
     assert brace_spans(js, "python") == []
 
 
-def test_calls_and_arguments():
-    assert split_arguments("a, f(b, c), 'x,y', [1, 2],") == ["a", "f(b, c)", "'x,y'", "[1, 2]"]
-    got = calls_of("r = this.db?.find (a, g(b))", "javascript")
-    assert [(c["name"], c["args"]) for c in got] == [("this.db.find", ["a", "g(b)"]), ("g", ["b"])]
-    assert calls_of("$this->run($x", "php")[0] == {"name": "$this.run", "args": ["$x"]}
+CALL_LINES = [
+    ("r = this.db?.find (a, g(b))", "javascript", [("this.db.find", ["a", "g(b)"]), ("g", ["b"])]),
+    ("$this->run($x", "php", [("$this.run", ["$x"])]),
+    ("$$abc(1, [2, 3])", "php", [("$abc", ["1", "[2, 3]"])]),
+    ("A::b($c, 'x,y')", "php", [("A.b", ["$c", "'x,y'"])]),
+    ("$('p', x$(1))", "typescript", [("$", ["'p'", "x$(1)"]), ("x$", ["1"])]),
+    ("a.b c . d(e)) f()", "python", [("c.d", ["e"]), ("f", [])]),
+    ("9x(\"open, (q\", 'z)", "python", [("x", ["\"open, (q\"", "'z)"])]),
+    ("é𝒳 = f(𝒳, {1, 2}, `a,b`)", None, [("f", ["𝒳", "{1, 2}", "`a,b`"])]),
+    ("no call", "python", []),
+    ("", "php", []),
+    (None, "python", None),
+]
+
+
+def test_calls_of_lines(spark):
+    rows = spark.createDataFrame([(i, line, lang) for i, (line, lang, _) in enumerate(CALL_LINES)], "i int, line string, lang string")
+    got = {r["i"]: r["c"] for r in rows.select("i", split_calls("line", "lang").alias("c")).collect()}
+    for i, (line, _, want) in enumerate(CALL_LINES):
+        assert (None if got[i] is None else [(c["name"], c["args"]) for c in got[i]]) == want, line
+
+
+@pytest.mark.parametrize(
+    ("text", "parts"),
+    [("a, f(b, c), 'x,y', [1, 2],", ["a", "f(b, c)", "'x,y'", "[1, 2]"]), ("a), b", ["a), b"]), (" , ", []), ("", []), ("'a, b", ["'a, b"])],
+)
+def test_arguments(spark, text, parts):
+    assert spark.range(1).select(split_arguments(F.lit(text)).alias("p")).first()["p"] == parts
 
 
 def test_block_end():
