@@ -3,7 +3,8 @@
 Base identifiers are matched in the text as it is. Then transducers rewrite a copy: look-alike characters become ASCII
 and invisible ones go, spelled digits become digits, ``plus``, at and dot disguises become signs. Each rewrites the
 output of the one before and carries, for every character, the source characters it stands for. Identifiers found in
-the rewritten text that hold a rewritten character and overlap no base identifier are added, as spans of the source.
+the rewritten text that hold a rewritten character are added, as spans of the source, unless a base identifier of the
+same kind covers them wholly: a base identifier may be no more than the undisguised rest of a longer one.
 
 A disguise by plain words (``name at host dot org``) counts only with both words, and spelled digits only in runs of
 three or more, so that prose stays as it is.
@@ -214,13 +215,13 @@ def spans(text: str, folds: Folds) -> tuple[list[Span], list[Span]]:
     base = identifiers(text)
     if (other := rewritten(text, folds)) is None:
         return base, []
-    taken = sorted((s, e) for _, s, e in base)
-    begins, reach = [s for s, _ in taken], np.maximum.accumulate([e for _, e in taken]) if taken else []
+    # Those of one kind do not overlap, so the last that begins in time is the one that may cover.
+    taken = {kind: sorted((s, e) for k, s, e in base if k == kind) for kind in KINDS}
     added = []
     for kind, start, end in identifiers(other.text):
         s, e = int(other.starts[start:end].min()), int(other.ends[start:end].max())
-        before = bisect_right(begins, e - 1)
-        if other.changed[start:end].any() and not (before and reach[before - 1] > s):
+        before = bisect_right(taken[kind], s, key=lambda x: x[0])
+        if other.changed[start:end].any() and not (before and taken[kind][before - 1][1] >= e):
             added.append((kind, s, e))
     return base, added
 

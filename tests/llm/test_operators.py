@@ -169,6 +169,26 @@ def test_disguises_map_back_to_the_source(text, kind, found):
     assert not base and [(k, text[s:e]) for k, s, e in added] == [(kind, found)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("to jоhn.doe@example.com now", "email", "jоhn.doe@example.com"),
+        ("to user@mail.exаmple.com now", "email", "user@mail.exаmple.com"),
+        ("call +1 555 123 45 six seven eight now", "phone", "+1 555 123 45 six seven eight"),
+        ("to bob [at] 10.0.0.1.example.com now", "email", "bob [at] 10.0.0.1.example.com"),
+    ],
+)
+def test_a_base_span_does_not_hide_a_longer_disguise(text, kind, found):
+    base, added = pii.spans(text, pii.Folds())
+    assert base and base == pii.identifiers(text)
+    assert [(k, text[s:e]) for k, s, e in added] == [(kind, found)]
+    assert pii.masked(text, base + added) == text.replace(found, f"[{kind}]")
+
+
+def test_a_covered_disguise_is_not_told_again():
+    assert pii.spans("to a@b.de, c (at) d.org", pii.Folds()) == ([("email", 3, 9)], [("email", 11, 23)])
+
+
 def test_prose_and_odd_rows_have_no_added_identifiers(spark, texts, odd, none):
     assert not any(pii.spans(t, pii.Folds())[1] for t in [*texts, "look at example.com dot", "one two three, at home"])
     assert pii.find(odd).count() == len(ODD) and pii.find(none).count() == 0
