@@ -19,10 +19,17 @@ a null ``conv_id`` is a conversation; a conversation without assistant turns has
 
 from __future__ import annotations
 
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentrel.llm.batches import stored
+
 BUDGET, HISTORY = 512, 128
+#: Windows of a conversation to which one row carries the system turn.
+BLOCK = 1024
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: The template's own marks and control strings of common vocabularies and templates.
 CONTROL = (
@@ -44,62 +51,101 @@ def n_tokens(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).cast("long")
 
 
-def placed_turns(conversations: DataFrame, budget: int, history: int) -> DataFrame:
-    """Each turn with its window, by running sums over its conversation."""
+def ordered_turns(conversations: DataFrame) -> DataFrame:
+    """The turns with ``pos``, which numbers them in their order, stored.
+
+    They are dealt by ranges of their sort keys, so a conversation may lie in many parts; of a text only its beginning
+    takes part, as the bounds of the ranges go through the driver.
+    """
     rows = conversations.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
+    keys = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role").asc()]
+    rows = rows.repartitionByRange(*keys, F.substring("text", 1, 32).asc()).sortWithinPartitions(*keys, F.col("text").asc())
+    tokens = n_tokens(F.col("text")) + 4  # three marks and the role
+    return stored(rows.select("conv_id", F.monotonically_increasing_id().alias("pos"), "role", "text", tokens.alias("tokens")), "turns")
+
+
+def placed_turns(turns: DataFrame, budget: int, history: int) -> DataFrame:
+    """Each turn, without its text, with its window: running sums in chunks of a conversation, then the chunks' offsets.
+
+    ``span`` numbers the windows of a conversation from 1 to ``last``; ``opens`` marks the first turn of each.
+    """
     own = Window.partitionBy("conv_id")
-    ordered = own.orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    rows = rows.withColumn("tokens", n_tokens(F.col("text")) + 4)  # three marks and the role
-    rows = rows.withColumn("n", F.row_number().over(ordered))
-    rows = rows.withColumn("system", (F.col("n") == 1) & (F.col("role") == "system"))
-    rows = rows.withColumns(
-        {
-            "done": F.sum("tokens").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-            "system_tokens": F.max(F.when(F.col("system"), F.col("tokens")).otherwise(0)).over(own),
-            "longest": F.max(F.when(F.col("system"), 0).otherwise(F.col("tokens"))).over(own),
-        }
+    before = own.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("conv_id", "chunk").orderBy("pos")
+    up_to = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chunk = F.shiftright("pos", 33).alias("chunk")  # the part of the stored turns
+    rows = turns.select("conv_id", "pos", chunk, (F.col("role") == "system").alias("system"), "tokens")
+    rows = rows.withColumns({"n": F.row_number().over(inside).cast("long"), "done": F.sum("tokens").over(up_to)})
+    head = F.col("n") == 1
+    chunks = rows.groupBy("conv_id", "chunk").agg(
+        F.count("*").alias("rows"),
+        F.sum("tokens").alias("total"),
+        F.max("tokens").alias("longest"),
+        F.max(F.when(head, 0).otherwise(F.col("tokens"))).alias("rest"),
+        F.max(F.when(head & F.col("system"), F.col("tokens")).otherwise(0)).alias("system_head"),
+    )
+    chunks = chunks.withColumns(
+        {"n_before": F.coalesce(F.sum("rows").over(before), F.lit(0)), "done_before": F.coalesce(F.sum("total").over(before), F.lit(0))}
     )
+    led = (F.col("n_before") == 0) & (F.col("system_head") > 0)
+    chunks = chunks.select(
+        "conv_id", "chunk", "n_before", "done_before",
+        F.max(F.when(led, F.col("system_head")).otherwise(0)).over(own).alias("system_tokens"),
+        F.max(F.when(led, F.col("rest")).otherwise(F.col("longest"))).over(own).alias("longest"),
+    )
     room = F.greatest(F.lit(budget) - history - F.col("system_tokens"), F.lit(2))
     step = F.greatest(room - F.col("longest") + 1, F.floor((room + 1) / 2))
-    rows = rows.withColumn("done", F.col("done") - F.col("system_tokens")).withColumn("step", step)
-    place = F.floor((F.col("done") - 1) / F.col("step"))
-    return rows.withColumn("place", F.when(F.col("system"), F.lit(0)).otherwise(place).cast("long"))
+    rows = _same(rows, chunks.withColumn("step", step), "conv_id", "chunk")
+    rows = rows.withColumns(
+        {"n": F.col("n") + F.col("n_before"), "done": F.col("done") + F.col("done_before") - F.col("system_tokens")}
+    ).withColumn("system", F.col("system") & (F.col("n") == 1))
+    # Sums grow from turn to turn, so the place of the turn before follows from this turn's start.
+    place = lambda done: F.greatest(F.floor((done - 1) / F.col("step")), F.lit(0))
+    opens = (F.col("n") == 1) | (place(F.col("done")) != place(F.col("done") - F.col("tokens")))
+    rows = rows.select("conv_id", "pos", "chunk", "n", "system", "tokens", "done", opens.alias("opens"))
+    rows = rows.withColumn("span", F.sum(F.col("opens").cast("long")).over(up_to))
+    counts = rows.groupBy("conv_id", "chunk").agg(F.max("span").alias("spans"))
+    counts = counts.select(
+        "conv_id", "chunk", F.coalesce(F.sum("spans").over(before), F.lit(0)).alias("span_before"), F.sum("spans").over(own).alias("last")
+    )
+    rows = _same(rows, counts, "conv_id", "chunk").withColumn("span", F.col("span") + F.col("span_before"))
+    return rows.select("conv_id", "pos", "n", "system", "tokens", "done", "opens", "span", "last")
 
 
 def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """The windows of all conversations."""
-    turns = placed_turns(conversations, budget, history)
+    turns = ordered_turns(conversations)
+    placed = stored(placed_turns(turns, budget, history), "places")
+    texts = turns.select("pos", "role", "text")
+    shown = ["conv_id", "pos", "n", "tokens"]
+    new = placed.select(*shown, "span", F.lit(False).alias("repeated"))
     # A turn is repeated in later windows as long as the tokens from its start to the window's first turn fit the history.
-    spans = turns.groupBy("conv_id", "place").agg(F.min(F.col("done") - F.col("tokens")).alias("first"))
-    after = Window.partitionBy("conv_id").orderBy("place")
-    spans = spans.select("conv_id", F.col("place").alias("window"), "first", F.row_number().over(after).alias("span"))
-    span_of = F.dense_rank().over(Window.partitionBy("conv_id").orderBy("place"))
-    turns = turns.withColumn("span", span_of)
-    new = turns.withColumn("repeated", F.lit(False))
-    # Candidates for a repeat: the system turn everywhere, others while within the history; spans are few per turn,
-    # as each later span is at least one turn of four tokens.
-    later = turns.filter(~F.col("system")).withColumn("left", F.lit(history) - F.col("tokens")).filter("left >= 0")
-    reach = F.least(F.col("span") + F.lit(1) + F.floor(F.col("left") / 4).cast("int"), F.col("last"))
-    last = spans.groupBy("conv_id").agg(F.max("span").alias("last"))
-    later = _same(later, last, "conv_id").withColumn("last", reach).filter(F.col("last") > F.col("span"))
-    later = later.withColumn("target_span", F.explode(F.sequence(F.col("span") + 1, F.col("last")))).drop("last", "left")
-    system = _same(turns.filter("system"), last, "conv_id").filter("last > 1")
-    system = system.withColumn("target_span", F.explode(F.sequence(F.lit(2), F.col("last")))).drop("last")
-    repeats = later.unionByName(system)
-    targets = spans.select(F.col("conv_id").alias("c"), F.col("span").alias("target_span"), "first")
-    repeats = repeats.join(targets, F.col("conv_id").eqNullSafe(F.col("c")) & (repeats.target_span == targets.target_span))
-    fits = F.col("system") | (F.col("first") - (F.col("done") - F.col("tokens")) <= history)
-    repeats = repeats.filter(fits).select(*turns.columns[:-1], targets.target_span.alias("span"), F.lit(True).alias("repeated"))
-    every = new.select(*turns.columns, "repeated").unionByName(repeats.select(*turns.columns, "repeated"))
-    return _rendered(every, budget)
-
-
-def _same(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """A join in which a null key equals a null key."""
-    renamed = right.withColumnRenamed(key, "__key")
-    return left.join(renamed, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
+    # Spans are few per turn, as each later span is at least one turn of four tokens.
+    later = placed.filter(~F.col("system")).withColumn("left", F.lit(history) - F.col("tokens")).filter("left >= 0")
+    reach = F.least(F.col("span") + 1 + F.floor(F.col("left") / 4), F.col("last"))
+    later = later.withColumn("last", reach).filter(F.col("last") > F.col("span"))
+    later = later.withColumn("target_span", F.explode(F.sequence(F.col("span") + 1, F.col("last")))).drop("span")
+    first = (F.col("done") - F.col("tokens")).alias("first")
+    later = _same(later, placed.filter("opens").select("conv_id", F.col("span").alias("target_span"), first), "conv_id", "target_span")
+    later = later.filter(F.col("first") - (F.col("done") - F.col("tokens")) <= history)
+    later = later.select(*shown, F.col("target_span").alias("span"), F.lit(True).alias("repeated"))
+    every = new.unionByName(later).join(texts, "pos")
+    # The system turn is in every window; blocks of windows deal out those of one conversation.
+    system = placed.filter("system and last > 1").select(*shown, "last").join(texts, "pos")
+    system = system.withColumn("block", F.explode(F.sequence(F.lit(2).cast("long"), F.col("last"), F.lit(BLOCK).cast("long"))))
+    system = system.repartition("conv_id", "block")
+    span = F.explode(F.sequence(F.col("block"), F.least(F.col("block") + BLOCK - 1, F.col("last"))))
+    system = system.withColumn("span", span).withColumn("repeated", F.lit(True))
+    return _rendered(every.unionByName(system.select(*every.columns)), budget)
+
+
+def _same(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:
+    """An inner join in which a null key equals a null key."""
+    renamed = right.withColumnRenamed(key, "__key").withColumnRenamed(other, "__other")
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col(other) == F.col("__other"))
+    return left.join(renamed, same).drop("__key", "__other")
 
 
 def _rendered(turns: DataFrame, budget: int) -> DataFrame:
@@ -138,15 +184,24 @@ def _rendered(turns: DataFrame, budget: int) -> DataFrame:
     )
 
 
+def _parts() -> Column:
+    return F.slice(F.split("text", r"\Q" + TURN + r"\E"), 2, F.lit(2**30))
+
+
+def _role_of(part: Column) -> Column:
+    return unescape(F.substring_index(part, TEXT, 1))
+
+
+def _text_of(part: Column) -> Column:
+    body = F.substring_index(part, TEXT, -1)
+    return unescape(body.substr(F.lit(1), F.length(body) - len(END)))
+
+
 def parse_windows(windows: DataFrame) -> DataFrame:
     """The turns of windows, read from their text: ``conv_id``, ``window``, ``n``, ``role``, ``text``, ``repeated``."""
-    parts = F.slice(F.split("text", r"\Q" + TURN + r"\E"), 2, F.lit(2**31 - 1))
-    rows = windows.select("conv_id", "window", "n_repeated", F.posexplode(parts).alias("n", "part"))
-    body = F.substring_index(F.col("part"), TEXT, -1)
+    rows = windows.select("conv_id", "window", "n_repeated", F.posexplode(_parts()).alias("n", "part"))
     return rows.select(
-        "conv_id", "window", "n",
-        unescape(F.substring_index(F.col("part"), TEXT, 1)).alias("role"),
-        unescape(body.substr(F.lit(1), F.length(body) - len(END))).alias("text"),
+        "conv_id", "window", "n", _role_of(F.col("part")).alias("role"), _text_of(F.col("part")).alias("text"),
         (F.col("n") < F.col("n_repeated")).alias("repeated"),
     )
 
@@ -154,23 +209,53 @@ def parse_windows(windows: DataFrame) -> DataFrame:
 def window_digests(windows: DataFrame) -> DataFrame:
     """Per conversation, read back from its windows: turns, their digest, the text under the loss mask and its digest.
 
-    A digest of a whole conversation needs its texts in one row, as the contract of the query has it; the windows
-    themselves are built without.
+    A digest takes its texts in order, so those of a conversation stream through one task, sorted and row by row; no row
+    holds more than one turn or one window's targets. Engines have no running digest, so this part is not native.
     """
-    turns = parse_windows(windows).filter(~F.col("repeated"))
-    turn = F.struct("window", "n", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("line"))
-    told = turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sort_array(F.collect_list(turn)).alias("lines"))
-    told = told.select(
-        "conv_id", "n_turns", F.sha2(F.concat_ws("", F.transform("lines", lambda x: x.line)), 256).alias("turns_sha256")
-    )
     under = F.concat_ws("", F.transform("targets", lambda t: unescape(F.col("text").substr(t.start + 1, t.end - t.start))))
-    loss = windows.select("conv_id", "window", F.length("text").cast("long").alias("chars"), under.alias("loss"))
-    loss = loss.groupBy("conv_id").agg(
-        F.sum("chars").alias("formatted_chars"), F.sort_array(F.collect_list(F.struct("window", "loss"))).alias("parts")
-    )
-    loss = loss.withColumn("loss", F.concat_ws("", F.transform("parts", lambda x: x.loss)))
-    loss = loss.select(
-        F.col("conv_id").alias("c"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars"
-    )
-    joined = told.join(loss, F.col("conv_id").eqNullSafe(F.col("c")))
-    return joined.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    entry = lambda n, line: F.struct(n.cast("int").alias("n"), line.alias("line"))
+    own = F.slice(_parts(), F.col("n_repeated") + 1, F.lit(2**30))
+    lines = F.transform(own, lambda p, i: entry(i, F.concat(_role_of(p), F.lit("\n"), _text_of(p), F.lit("\n"))))
+    rows = windows.select(
+        "conv_id", "window", F.length("text").cast("long").alias("chars"),
+        F.explode(F.concat(F.array(entry(F.lit(-1), under)), lines)).alias("e"),
+    )
+    line = F.col("e.line")
+    rows = rows.select("conv_id", "window", "e.n", "chars", F.length(line).cast("long").alias("size"), line.cast("binary").alias("line"))
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "window", "n")
+    kind = windows.schema["conv_id"].dataType.simpleString()
+    schema = f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+    return rows.mapInArrow(_digests, schema)
+
+
+def _digests(batches):
+    """Digests of rows that are sorted by ``conv_id``, ``window`` and ``n``; the row -1 of a window holds its targets."""
+    at = None
+
+    def told(done: list[list], kind: pa.DataType) -> pa.RecordBatch:
+        ids, n, turns, chars, loss, formatted = zip(*done)
+        numbers = [pa.array(x, pa.int64()) for x in (n, chars, formatted)]
+        texts = [pa.array([d.hexdigest() for d in x], pa.string()) for x in (turns, loss)]
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        return pa.RecordBatch.from_arrays([pa.array(ids, kind), numbers[0], texts[0], numbers[1], texts[1], numbers[2]], names=names)
+
+    kind = None
+    for batch in batches:
+        kind, done = batch.column("conv_id").type, []
+        columns = (batch.column(c).to_pylist() for c in ("conv_id", "n", "chars", "size", "line"))
+        for conv_id, n, chars, size, line in zip(*columns):
+            if at is None or at[0] != conv_id:
+                if at is not None:
+                    done.append(at)
+                at = [conv_id, 0, sha256(), 0, sha256(), 0]
+            if n < 0:
+                at[3] += size
+                at[4].update(line)
+                at[5] += chars
+            else:
+                at[1] += 1
+                at[2].update(line)
+        if done:
+            yield told(done, kind)
+    if at is not None:
+        yield told([at], kind)

@@ -385,6 +385,26 @@ def test_chat_windows_read_back(spark):
     assert chat.window_digests(chat.format_windows(rows.filter("false"))).count() == 0
 
 
+def test_a_long_conversation_lies_in_many_parts(spark):
+    turns = [(1, 0, "system", "be kind")] + [(1, i, ("assistant", "user")[i % 2], f"w{i} " * (i % 37)) for i in range(1, 600)]
+    rows = spark.createDataFrame([*turns, (2, 0, "user", "a"), (None, 0, "user", "b")], "conv_id long, turn long, role string, text string")
+    one = chat.format_windows(rows, budget=120, history=30).collect()
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        parts = chat.ordered_turns(rows).filter("conv_id = 1").select(F.shiftright("pos", 33)).distinct().count()
+        many = chat.format_windows(rows, budget=120, history=30)
+        assert parts > 1 and sorted(many.collect(), key=str) == sorted(one, key=str)
+        digests = chat.window_digests(many.filter("conv_id = 1"))
+        assert "collect_list" not in chat.window_digests(spark.createDataFrame(one, many.schema))._jdf.queryExecution().toString()
+        got = digests.collect()
+    finally:
+        spark.conf.unset(setting)
+    loss = "".join(t for *_, role, t in turns if role == "assistant")
+    want = hashlib.sha256("".join(f"{role}\n{t}\n" for *_, role, t in turns).encode()).hexdigest()
+    assert [(r["n_turns"], r["turns_sha256"], r["loss_chars"]) for r in got] == [(600, want, len(loss))]
+
+
 def test_chat_query_equals_plain_reading(spark):
     con = connect(SF)
     turns = con.execute("select conv_id, role, coalesce(text, '') from conversations order by conv_id, turn").fetchall()
