@@ -34,8 +34,11 @@ from sentrel.session import cut_lineage
 
 # --- Fixed values ------------------------------------------------------------
 MAX_DEPTH = 2
-#: Callees that a call resolves to by definition; ``None`` as an argument follows all.
+#: Callees that a call resolves to in ``all_flows`` and ``taint_flows`` unless told otherwise; plans and queries pass
+#: ``None``, which follows all.
 MAX_CANDIDATES = 2
+#: Calls or definitions of one name that are joined in one part.
+HOT_NAME = 1000
 MODULE = "<module>"
 # --- end of fixed values -----------------------------------------------------
 
@@ -339,7 +342,8 @@ def _resolve(calls: DataFrame, functions: DataFrame, max_candidates: int | None)
 
     Functions are first cut to the called names, and the ranking keeps that many rows per
     key before it shuffles, so a name defined in a million files costs no more than a rare
-    one. Without a limit every callee is followed, and such a name costs calls times files.
+    one. Without a limit every callee is followed, and such a name costs calls times files,
+    dealt over parts.
     """
     callee = functions.select(
         "repo", F.col("path").alias("callee_path"), F.col("qualname").alias("callee"), F.col("name").alias("segment"),
@@ -355,11 +359,35 @@ def _resolve(calls: DataFrame, functions: DataFrame, max_candidates: int | None)
 
     near = first("repo", "callee_path", "segment").withColumn("path", F.col("callee_path"))
     local = calls.join(near, ["repo", "path", "segment"], "left")
+    local = cut_lineage(local) if max_candidates is None else local
     resolved = local.filter(F.col("callee").isNotNull())
     open_calls = local.filter(F.col("callee").isNull()).select(*calls.columns)
+    if max_candidates is None:
+        return resolved.unionByName(_join_by_name(open_calls, callee))
     return resolved.unionByName(open_calls.join(first("repo", "segment"), ["repo", "segment"]))
 
 
+def _join_by_name(calls: DataFrame, callee: DataFrame) -> DataFrame:
+    """All pairs of call and callee of one name; those of a hot name are dealt over parts of ``HOT_NAME`` a side.
+
+    Only names with more calls or definitions than that are broadcast, so at most one per so many rows.
+    """
+    key = ["repo", "segment"]
+    n = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count("*") / HOT_NAME).alias(name))
+    hot = n(calls, "call_parts").join(n(callee, "defined_parts"), key).filter("call_parts > 1 or defined_parts > 1")
+    hot = F.broadcast(cut_lineage(hot))
+
+    def dealt(df: DataFrame, own: str, other: str, *by: str) -> DataFrame:
+        parts = lambda name: F.coalesce(f"{name}_parts", F.lit(1))
+        df = df.join(hot, key, "left").withColumn(own, F.pmod(F.xxhash64(*by), parts(own)))
+        df = df.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), parts(other) - 1)))
+        return df.drop("call_parts", "defined_parts")
+
+    left = dealt(calls, "call", "defined", "path", "qualname", "line")
+    right = dealt(callee, "defined", "call", "callee_path", "callee", "start_line")
+    return left.join(right, [*key, "call", "defined"]).drop("call", "defined")
+
+
 def _enter(resolved: DataFrame, files: DataFrame, labels: LabelTables) -> DataFrame:
     """Callee units with their tainted parameters as starting variables.
 
@@ -488,9 +516,9 @@ def taint_flows(
     return unique_flows(all_flows(files, labels, functions=functions, max_candidates=max_candidates))
 
 
-def taint_inter(files: DataFrame, labels: LabelTables = DEFAULT_LABELS) -> DataFrame:
+def taint_inter(files: DataFrame, labels: LabelTables = DEFAULT_LABELS, max_candidates: int | None = None) -> DataFrame:
     """Flows that cross at least one call."""
-    return unique_flows(all_flows(files, labels)).filter(F.col("depth") > 0)
+    return unique_flows(all_flows(files, labels, max_candidates=max_candidates)).filter(F.col("depth") > 0)
 
 
 def flow_counts(flows: DataFrame) -> DataFrame:
@@ -536,13 +564,19 @@ def taint_findings(flows: DataFrame) -> DataFrame:
     return as_findings(rows.groupBy("repo", "id").agg(best.alias("b")).select("repo", "id", "b.*"))
 
 
-def trace_dataflow(files: DataFrame, source_file: str, sink_function: str, labels: LabelTables = DEFAULT_LABELS) -> DataFrame:
+def trace_dataflow(
+    files: DataFrame,
+    source_file: str,
+    sink_function: str,
+    labels: LabelTables = DEFAULT_LABELS,
+    max_candidates: int | None = None,
+) -> DataFrame:
     """Flows from one file whose sink lies in the named function or within two calls of it.
 
     ``source_file`` may be a literal path; flows keep the file they start in.
     """
     functions = function_index(files)
-    flows = unique_flows(all_flows(files, labels, functions=functions))
+    flows = unique_flows(all_flows(files, labels, functions=functions, max_candidates=max_candidates))
     segment = sink_function.rsplit(".", 1)[-1]
     allowed = reachable_names(functions, segment)
     names = allowed.withColumnRenamed("name", "sink_function")

@@ -57,7 +57,7 @@ def collect_findings(
     parts = [audit_agent(files, rules), audit_supply_chain(files)]
     flows = None
     if with_taint:
-        flows = cut_lineage(taint_flows(files, labels))
+        flows = cut_lineage(taint_flows(files, labels, max_candidates=None))
         parts.append(taint_findings(flows))
     if with_logic:
         parts += [logic_findings(files), business_logic(files)]

@@ -310,9 +310,9 @@ def _path_text(path: str = "taint_path") -> Column:
 
 over_files("taint_intra", lambda f: taint.taint_intra(f).filter(F.col("depth") == 0).select(*FLOW, _path_text()))
 over_files("taint_inter", lambda f: taint.taint_inter(f).select(*FLOW, _path_text()))
-over_files("taint_flows", lambda f: taint.taint_flows(f).select(*FLOW, _path_text()))
-over_files("taint_findings", lambda f: taint.taint_findings(taint.taint_flows(f)).select(*FINDING, _path_text()))
-over_files("taint_counts", lambda f: taint.flow_counts(taint.taint_flows(f)))
+over_files("taint_flows", lambda f: taint.taint_flows(f, max_candidates=None).select(*FLOW, _path_text()))
+over_files("taint_findings", lambda f: taint.taint_findings(taint.taint_flows(f, max_candidates=None)).select(*FINDING, _path_text()))
+over_files("taint_counts", lambda f: taint.flow_counts(taint.taint_flows(f, max_candidates=None)))
 over_files(
     "trace_dataflow",
     lambda f: taint.trace_dataflow(f, "src/flow_17.py", "run_17").select(
@@ -366,7 +366,7 @@ over_files("business_logic_report", routes.business_logic_report)
 
 
 def _research(files: DataFrame) -> DataFrame:
-    return taint.taint_findings(taint.taint_flows(files)).unionByName(routes.logic_findings(files))
+    return taint.taint_findings(taint.taint_flows(files, max_candidates=None)).unionByName(routes.logic_findings(files))
 
 
 def _all(files: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 from sentrel.functions.labels import DEFAULT_LABELS
-from sentrel.operators.taint import taint_findings, taint_flows, trace_dataflow
+from sentrel.operators import taint
+from sentrel.operators.taint import taint_findings, taint_flows, taint_inter, trace_dataflow
 
 
 def flows(files, labels=DEFAULT_LABELS):
@@ -48,6 +49,15 @@ def test_same_file_callee_wins_else_two_others(files_of):
     assert elsewhere == set()
 
 
+def test_every_candidate_is_followed_in_parts(files_of, monkeypatch):
+    monkeypatch.setattr(taint, "HOT_NAME", 2)
+    caller = "def go(request):\n    q = request.args['q']\n    save(q)\n"
+    callee = "def save(v):\n    cursor.execute(v)\n"
+    files = files_of({f"a{i}.py": caller for i in range(3)} | {f"b{i}.py": callee for i in range(5)})
+    rows = [(r.source_file, r.sink_file) for r in taint_inter(files).collect()]
+    assert sorted(rows) == [(f"a{i}.py", f"b{j}.py") for i in range(3) for j in range(5)]
+
+
 def test_depth_and_recursion_are_bounded(files_of):
     text = (
         "def a(request):\n    x = request.args['q']\n    b(x)\n"
