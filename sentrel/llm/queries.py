@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrel.llm import chat, decontamination, exact_dedup, lm_score, near_dedup, pii, quality, sentencepiece_codec, sharding, token_files
+from sentrel.llm import chat, conversation_repair, decontamination, exact_dedup, lm_score, near_dedup, pii, quality, sentencepiece_codec, sharding, token_files
 from sentrel.llm.batches import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +126,30 @@ def op9_chat_windows(spark, sf_dir):
 @query
 def op10_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The fixed damage that op11 repairs: dropped, emptied, cut, repeated and renamed turns, by a checksum of their key."""
+    own = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    kind = F.crc32(F.concat_ws(":", *own)) % 20
+    rows = conversations.select("conv_id", "turn", "role", "text", kind.alias("kind")).filter("kind != 0")
+    text, role = (F.coalesce(F.col(c), F.lit(" ")) for c in ("text", "role"))
+    copies = F.sequence(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1))
+    return rows.select(
+        "conv_id",
+        "turn",
+        F.when(F.col("kind") == 4, "user").otherwise(role).alias("role"),
+        F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(copies).alias("copy"),
+    ).drop("copy")
+
+
+@query
+def op11_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    report = conversation_repair.report(damaged(rows))
+    every = rows.select("conv_id", conversation_repair.conv_key().alias("conv")).distinct()
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    empty = F.sha2(F.lit(""), 256)
+    digest = F.coalesce("repaired_sha256", empty).alias("repaired_sha256")
+    return every.join(report, "conv", "left").select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), digest)
