@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrel.llm import chat, conversation_repair, decontamination, exact_dedup, lm_score, near_dedup, pii, quality, sentencepiece_codec, sharding, token_files
+from sentrel.llm import chat, conversation_repair, decontamination, exact_dedup, lm_score, near_dedup, periodic_runs, pii, quality, sentencepiece_codec, sharding, token_files
 from sentrel.llm.batches import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,3 +154,33 @@ def op11_conversation_repair(spark, sf_dir):
     empty = F.sha2(F.lit(""), 256)
     digest = F.coalesce("repaired_sha256", empty).alias("repaired_sha256")
     return every.join(report, "conv", "left").select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), digest)
+
+
+def periodic_damage(words: list[bytes], doc_id: int | None) -> list[bytes]:
+    """The fixed damage of op12: from some word on, a tenth of the documents repeat their words with a period."""
+    if doc_id is None or not words or (h := zlib.crc32(str(doc_id).encode())) % 10:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.collapse(documents, rewrite=periodic_damage).select("doc_id", "runs", "collapsed")
+    # The greatest length / period, compared without rounding; of equal ones the first.
+    better = lambda a, b: b["length"] * a["period"] > a["length"] * b["period"]
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda a, b: F.when(better(a, b), b).otherwise(a))
+    best = F.when(F.size("runs") > 0, best)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
