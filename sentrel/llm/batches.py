@@ -73,6 +73,13 @@ def utf8(texts: pa.Array) -> list[bytes]:
     return texts.cast(pa.binary()).to_pylist()
 
 
+def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where the bytes of each text begin, counted from the first (one bound more than texts), and the bytes of all."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return offsets - offsets[0], data
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * MIX_A
@@ -99,8 +106,8 @@ class WordHasher:
     def __init__(self):
         self.powers = _powers(2 * PIECE_BYTES)
 
-    def _piece(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and hash of each word of ``data``; no word goes over a position in ``cuts``."""
+    def _piece(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of each word of ``data``, and the prefix sums; no word goes over a position in ``cuts``."""
         if len(data) > len(self.powers[0]):
             self.powers = _powers(1 << int(len(data)).bit_length())
         low = WORD_BYTES[data]
@@ -114,25 +121,32 @@ class WordHasher:
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(BYTE_CODES[low] * self.powers[0][: len(data)], out=sums[1:])
-        return starts, mixed((sums[ends] - sums[starts]) * self.powers[1][starts])
+        return starts, ends, sums
 
-    def hashes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of all words in order, and where each text's words begin (one bound more than texts)."""
-        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-        offsets = offsets - offsets[0]
-        all_starts, all_hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    def spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The hash of each span of a piece."""
+        return mixed((sums[ends] - sums[starts]) * self.powers[1][starts])
+
+    def pieces(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Place, starts, ends and prefix sums of the pieces of texts; starts and ends count from the piece's place."""
+        offsets, data = joined(texts)
+        at = 0
         while at < len(data):
             end = min(len(data), at + PIECE_BYTES)
             while end < len(data) and WORD_BYTES[data[end]] and end not in offsets:  # a word ends before the cut
                 gap = np.flatnonzero(WORD_BYTES[data[end : end + 4096]] == 0)
                 end += int(gap[0]) if len(gap) else min(4096, len(data) - end)
-            starts, found = self._piece(data[at:end], offsets - at)
-            all_starts.append(starts + at)
-            all_hashes.append(found)
+            yield at, *self._piece(data[at:end], offsets - at)
             at = end
+
+    def hashes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all words in order, and where each text's words begin (one bound more than texts)."""
+        all_starts, all_hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for at, starts, ends, sums in self.pieces(texts):
+            all_starts.append(starts + at)
+            all_hashes.append(self.spans(sums, starts, ends))
         starts = np.concatenate(all_starts)
-        return np.concatenate(all_hashes), np.searchsorted(starts, offsets)
+        return np.concatenate(all_hashes), np.searchsorted(starts, joined(texts)[0])
 
 
 def kept_in_worker(name: str, make: Callable):

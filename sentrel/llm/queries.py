@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrel.llm import chat, conversation_repair, decontamination, exact_dedup, lm_score, near_dedup, periodic_runs, pii, quality, sentencepiece_codec, sharding, token_files
+from sentrel.llm import chat, conversation_repair, decontamination, exact_dedup, lm_score, near_dedup, periodic_runs, pii, quality, sentencepiece_codec, sharding, token_files, toxicity
 from sentrel.llm.batches import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,3 +184,8 @@ def op12_periodic_runs(spark, sf_dir):
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op13_toxicity(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
