@@ -39,7 +39,7 @@ CELLS = 1 << 20
 PREFIXES = (4, 6)
 SAMPLE = 200_000
 #: Total of the Dirichlet prior, in words; standard deviations taken off; loss per word.
-PRIOR, FLAT, BOUND, COST = 500.0, 0.0, 1.64, 0.25
+PRIOR, BOUND, COST = 5000.0, 1.64, 1.0
 #: The best passages of a text that are summed; all that have a positive normalised score are told.
 MOST = 16
 #: Steps and greatest value of the histogram of word scores.
@@ -123,7 +123,7 @@ def columns() -> dict[str, int]:
 
 def cell_scores(everywhere: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
     """The lower bound of the difference of log odds of each cell, zero where it is below; the last cell counts all words."""
-    prior = FLAT + PRIOR * everywhere[:-1] / max(everywhere[-1], 1)
+    prior = PRIOR * everywhere[:-1] / max(everywhere[-1], 1)
     total = PRIOR
     a, b = toxic[:-1] + prior, clean[:-1] + prior
     with np.errstate(divide="ignore", invalid="ignore"):
