@@ -37,10 +37,9 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as piece ids, and whether these give the text back."""
-    model = public_tokenizers.path(PIECE_VOCABULARY)
-    rows = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, model), model)
-    exact = F.coalesce("text", F.lit("")) == F.col("decoded")
-    return rows.select("doc_id", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), exact.alias("exact"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = sentencepiece_codec.round_trip(rows, public_tokenizers.path(PIECE_VOCABULARY))
+    return rows.select("doc_id", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "exact")
 
 
 STAGES = [

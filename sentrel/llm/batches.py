@@ -6,7 +6,7 @@ import os
 import sys
 import tempfile
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 from types import ModuleType
 
 import numpy as np
@@ -158,30 +158,51 @@ def kept_in_worker(name: str, make: Callable):
 
 
 class WordTable:
-    """Ids of words, computed once per distinct word; forgets all when it holds ``limit`` words."""
+    """Ids of words, computed once per distinct word; forgets all when its words and ids take more than ``limit`` bytes.
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 700_000):
+    Words of more than ``longest`` bytes are encoded anew each time, so that few of them cannot fill it.
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 96 << 20, longest: int = 64):
         """``encode`` gives the ids of all words in a row and the number of ids of each."""
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.longest = encode, limit, longest
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.flat, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.flat, self.bounds, self.size = np.zeros(0, np.int32), np.zeros(1, np.int64), 0
+
+    def _add(self, words: list[bytes]) -> None:
+        flat, counts = self.encode(words)
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(counts)])
+        self.flat = np.concatenate([self.flat, flat])
+        # A dictionary entry and a bytes object take about 140 bytes besides the word itself.
+        self.size += 140 * len(words) + sum(map(len, words)) + 4 * len(flat)
 
     def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and the number of ids of each word."""
-        if len(self.index) > self.limit:
+        if self.size > self.limit:
             self.clear()
-        known = self.index
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            flat, counts = self.encode(new)
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(counts)])
-            self.flat = np.concatenate([self.flat, flat])
-        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        long: list[bytes] = []
+        if len(missing := np.flatnonzero(at < 0)):
+            missing = missing.tolist()
+            new = dict.fromkeys(map(words.__getitem__, missing))
+            long = [w for w in new if len(w) > self.longest]
+            if short := [w for w in new if len(w) <= self.longest]:
+                self._add(short)
+            kept = len(self.index), len(self.flat), self.size
+            if long:
+                self._add(long)
+            at[missing] = [self.index[words[i]] for i in missing]
         starts, counts = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
-        return self.flat[spread(starts, counts)], counts
+        found = self.flat[spread(starts, counts)]
+        if long:
+            for w in long:
+                del self.index[w]
+            self.bounds, self.flat, self.size = self.bounds[: kept[0] + 1], self.flat[: kept[1]], kept[2]
+        return found, counts
 
 
 def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sentrel.llm.batches import SLICE_BYTES, WordTable, flattened, kept_in_worker, slices, spread, utf8
 from sentrel.llm.pieces import BULK, UNKNOWN_PENALTY, Vocabulary, by_length, step
@@ -161,10 +162,43 @@ def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str:
     return joined.removeprefix(b" ").decode("utf-8", "replace")
 
 
-def _added(df: DataFrame, column: str, kind: str) -> tuple[DataFrame, str]:
-    kept = [c for c in df.columns if c != column]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema), f"`{column}` {kind}"])
-    return df, schema
+class Codec:
+    """Encoding and decoding of slices of texts with one vocabulary, which the Python worker keeps for its next tasks."""
+
+    def __init__(self, model: bytes, merges: bool = False):
+        name = f"pieces_{zlib.crc32(model)}"
+        self.vocabulary = kept_in_worker(name, lambda: Vocabulary(model))
+        words = lambda found: segment(self.vocabulary, [w.decode() for w in found], merges)
+        self.table = kept_in_worker(f"{name}_{merges}", lambda: WordTable(words))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where those of each begin (one bound more than texts)."""
+        units = [UNIT.findall(b" " + t) if t else [] for t in utf8(texts)]
+        found, counts = self.table.ids(list(chain.from_iterable(units)))
+        return found, np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum([len(u) for u in units])])]
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        return [decode_ids(self.vocabulary, ids[a:b].tolist()) for a, b in zip(bounds, bounds[1:])]
+
+
+def _with(df: DataFrame, columns: dict[str, str], values, without: str = "") -> DataFrame:
+    """``df`` with new columns of the given types, which ``values`` gives for each slice of a batch; ``values`` is called
+    once in a task for the function that does so. The column ``without`` is read, but not returned."""
+    kept = [f for f in df.schema if f.name not in columns and f.name != without]
+    added = [T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in columns.items()]
+    names = [f.name for f in [*kept, *added]]
+
+    def run(batches):
+        of = values()
+        for batch in batches:
+            for own, new in of(batch):
+                yield pa.RecordBatch.from_arrays([*(own.column(f.name) for f in kept), *new], names=names)
+
+    return df.mapInArrow(run, T.StructType([*kept, *added]))
+
+
+def _lists(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
 
 
 def encode(df: DataFrame, model: str, text: str = "text", ids: str = "piece_ids", merges: bool = False) -> DataFrame:
@@ -174,62 +208,75 @@ def encode(df: DataFrame, model: str, text: str = "text", ids: str = "piece_ids"
     a list of merges rather than a unigram vocabulary.
     """
     content = df.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
-    df, schema = _added(df, ids, "array<int>")
 
-    def run(batches):
-        vocabulary = kept_in_worker(f"vocabulary_{zlib.crc32(content.value)}", lambda: Vocabulary(content.value))
-        name = f"pieces_{zlib.crc32(content.value)}_{merges}"
-        table = kept_in_worker(name, lambda: WordTable(lambda words: segment(vocabulary, [w.decode() for w in words], merges)))
-        for batch in slices(batches, text, 4 * SLICE_BYTES):
-            units = [UNIT.findall(b" " + t) if t else [] for t in utf8(batch.column(text))]
-            found, counts = table.ids(list(chain.from_iterable(units)))
-            bounds = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum([len(u) for u in units])])]
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found, pa.int32()))
-            yield _with_column(batch, ids, lists)
+    def values():
+        codec = Codec(content.value, merges)
 
-    return df.mapInArrow(run, schema)
+        def of(batch):
+            for own in slices(iter([batch]), text, SLICE_BYTES):
+                yield own, [_lists(*codec.encode(own.column(text)))]
+
+        return of
+
+    return _with(df, {ids: "array<int>"}, values)
 
 
 def decode(df: DataFrame, model: str, ids: str = "piece_ids", text: str = "decoded") -> DataFrame:
     """``df`` with the text of its piece ids; null ids give an empty text."""
     content = df.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
-    df, schema = _added(df, text, "string")
 
-    def run(batches):
-        vocabulary = kept_in_worker(f"vocabulary_{zlib.crc32(content.value)}", lambda: Vocabulary(content.value))
-        for batch in batches:
+    def values():
+        codec = Codec(content.value)
+
+        def of(batch):
             for at in range(0, batch.num_rows, 256):
                 own = batch.slice(at, 256)
-                texts = [decode_ids(vocabulary, x or []) for x in own.column(ids).to_pylist()]
-                yield _with_column(own, text, pa.array(texts, pa.string()))
+                yield own, [pa.array([decode_ids(codec.vocabulary, x or []) for x in own.column(ids).to_pylist()], pa.string())]
+
+        return of
+
+    return _with(df, {text: "string"}, values)
+
+
+def round_trip(df: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """``df`` with ``piece_ids`` of ``text``, ``decoded``, the text that these give, and ``exact``, whether it is the same;
+    encoding and decoding of a slice share one task."""
+    content = df.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
 
-    return df.mapInArrow(run, schema)
+    def values():
+        codec = Codec(content.value)
 
+        def of(batch):
+            for own in slices(iter([batch]), text, SLICE_BYTES):
+                flat, bounds = codec.encode(own.column(text))
+                decoded = codec.decode(flat, bounds)
+                exact = [a == b for a, b in zip(own.column(text).to_pylist(), decoded)]
+                yield own, [_lists(flat, bounds), pa.array(decoded, pa.string()), pa.array(exact)]
 
-def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
-    names = [c for c in batch.schema.names if c != name]
-    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), values], names=[*names, name])
+        return of
+
+    return _with(df, {"piece_ids": "array<int>", "decoded": "string", "exact": "boolean"}, values)
 
 
 def piece_digests(df: DataFrame, model: str) -> DataFrame:
     """Per document: the number of pieces, the crc32 of the ids (little-endian, 32 bits), the sha256 of the decoded
     text and whether it is the text itself."""
     whole = df.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = decode(encode(whole, model), model)
+    content = df.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
 
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("piece_ids")
-            bounds = np.asarray(ids.offsets, np.int64)
-            flat = np.asarray(ids.values).astype("<u4")
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "n_pieces": pa.array(np.diff(bounds)),
-                    "ids_crc32": pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])], pa.int64()),
-                    "decoded_sha256": pa.array([sha256(t.encode()).hexdigest() for t in batch.column("decoded").to_pylist()]),
-                    "exact": pa.array([a == b for a, b in zip(batch.column("text").to_pylist(), batch.column("decoded").to_pylist())]),
-                }
-            )
-
-    return rows.mapInArrow(run, "doc_id bigint, n_pieces bigint, ids_crc32 bigint, decoded_sha256 string, exact boolean")
+    def values():
+        codec = Codec(content.value)
+
+        def of(batch):
+            for own in slices(iter([batch]), "text", SLICE_BYTES):
+                flat, bounds = codec.encode(own.column("text"))
+                decoded, little = codec.decode(flat, bounds), flat.astype("<u4")
+                crc = [zlib.crc32(little[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])]
+                digests = [sha256(t.encode()).hexdigest() for t in decoded]
+                exact = [a == b for a, b in zip(own.column("text").to_pylist(), decoded)]
+                yield own, [pa.array(np.diff(bounds)), pa.array(crc, pa.int64()), pa.array(digests), pa.array(exact)]
+
+        return of
+
+    kinds = {"n_pieces": "bigint", "ids_crc32": "bigint", "decoded_sha256": "string", "exact": "boolean"}
+    return _with(whole, kinds, values, without="text")
