@@ -15,6 +15,7 @@ not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sentrel.llm.batches import SLICE_BYTES, WordTable, flattened, kept_in_worker, slices, text_of, utf8
+from sentrel.llm.batches import SLICE_BYTES, WordTable, flattened, kept_in_worker, slices, spread, text_of, utf8
 
 #: A segment is closed once it has so many tokens; a longer document makes a segment of its own.
 SEGMENT_TOKENS = 1 << 18
@@ -87,18 +88,30 @@ class Codes:
 # --- Writing -------------------------------------------------------------------
 
 
-#: Trailing marks that the vocabulary's pattern always cuts from a letter or digit before them.
-TAIL = b".,;:!?#$%&*)\""
+#: Marks that the vocabulary's pattern always cuts from a letter or digit before them, at the end of a word.
+TAIL = rb"[.,;:!?#$%&*)\x22]+"
+CUT = re.compile(rb"(?<=[a-z0-9])" + TAIL + rb"(?!\S)")
+MARKS = re.compile(TAIL)
 LATIN_END = "\u0250"
 JOINED = 1000
 
 
+def units(text: bytes) -> list[bytes]:
+    """The words of a text in lower case, marks at their ends apart: forms of a word share their ids.
+
+    A word with ``<`` may hold a special token, whose case counts, and stays as it is.
+    """
+    if b"<" not in text:
+        return CUT.sub(rb" \g<0>", text.lower()).split()
+    return list(chain.from_iterable([w] if b"<" in w else units(w) for w in text.split()))
+
+
 def word_encoder(tokenizer_json: str):
-    """Encodes words by the tokenizers library.
+    """Encodes units by the tokenizers library.
 
     Its vocabulary drops white space and joins nothing across it, so the ids of a text are those of its words. Words
-    that differ in case or trailing marks share parts. Parts that make one unit each are encoded many at a time in
-    one text and told apart by the ids that end a unit; all others are encoded alone.
+    that the library does not cut are encoded many at a time in one text and told apart by the ids that end a word; all
+    others are encoded alone.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -106,41 +119,33 @@ def word_encoder(tokenizer_json: str):
     tokenizer = Tokenizer.from_str(tokenizer_json)
     size = tokenizer.get_vocab_size()
     ends_unit = np.array([(tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-    known: dict[bytes, list[int]] = {}
-
-    def parts_of(word: bytes) -> list[bytes]:
-        if b"<" in word:  # may hold a special token, whose case counts
-            return [word]
-        head = word.rstrip(TAIL)
-        if not head or not head[-1:].isalnum():
-            return [word.lower()]
-        return [head.lower(), word[len(head) :]] if len(head) < len(word) else [head.lower()]
-
-    def single_unit(part: str) -> bool:
-        return part.isalpha() and max(part) < LATIN_END or not part.encode().strip(TAIL)
-
-    def together(texts: list[str]) -> list[list[int]]:
-        ids = np.array(tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids)
-        cuts = np.flatnonzero(ends_unit[ids]) + 1
-        if len(cuts) != len(texts):
-            return alone(texts)
-        ids, cuts = ids.tolist(), cuts.tolist()
-        return [ids[a:b] for a, b in zip([0, *cuts], cuts)]
-
-    def alone(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def uncut(word: bytes) -> bool:
+        if word.isascii():
+            return word.isalpha() or MARKS.fullmatch(word) is not None
+        text = word.decode()
+        return text.isalpha() and max(text) < LATIN_END
+
+    def alone(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return flattened([e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)])
+
+    def together(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.flatnonzero(ends_unit[ids]) + 1
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(words) else alone(words)
 
     def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(known) > 500_000:
-            known.clear()
-        split = [parts_of(w) for w in words]
-        new = [p for p in dict.fromkeys(chain.from_iterable(split)) if p not in known]
-        joint = [p for p in new if single_unit(p.decode())]
-        for at in range(0, len(joint), JOINED):
-            known.update(zip(joint[at : at + JOINED], together([p.decode() for p in joint[at : at + JOINED]])))
-        rest = [p for p in new if p not in known]
-        known.update(zip(rest, alone([p.decode() for p in rest])))
-        return flattened([known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]] for p in split])
+        joint = np.fromiter(map(uncut, words), bool, len(words))
+        flat, counts, at = [np.zeros(0, np.int32)], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        done = 0
+        for own, how in ((np.flatnonzero(joint), together), (np.flatnonzero(~joint), alone)):
+            for i in range(0, len(own), JOINED):
+                some = own[i : i + JOINED]
+                ids, n = how([words[j] for j in some.tolist()])
+                flat.append(ids)
+                counts[some], at[some] = n, done + np.cumsum(n) - n
+                done += len(ids)
+        return np.concatenate(flat)[spread(at, counts)], counts
 
     return encode
 
@@ -150,7 +155,7 @@ def encoded(batches: Iterator[pa.RecordBatch], tokenizer_json: str, end_id: int)
     name = f"tokens_{zlib.crc32(tokenizer_json.encode())}"
     table = kept_in_worker(name, lambda: WordTable(word_encoder(tokenizer_json)))
     for batch in slices(batches, "text", 4 * SLICE_BYTES):
-        words = [text.split() for text in utf8(batch.column("text"))]
+        words = [units(text) for text in utf8(batch.column("text"))]
         ids, counts = table.ids(list(chain.from_iterable(words)))
         bounds = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum([len(w) for w in words])])]
         lengths = np.diff(bounds) + 1
