@@ -30,6 +30,8 @@ from sentrel.llm.batches import stored
 BUDGET, HISTORY = 512, 128
 #: Windows of a conversation to which one row carries the system turn.
 BLOCK = 1024
+#: Characters of a conversation's windows that are put together in one value; a character takes up to four bytes of 2 GB.
+ONE_VALUE = 1 << 28
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: The template's own marks and control strings of common vocabularies and templates.
 CONTROL = (
@@ -206,19 +208,52 @@ def parse_windows(windows: DataFrame) -> DataFrame:
     )
 
 
-def window_digests(windows: DataFrame) -> DataFrame:
+def window_digests(windows: DataFrame, limit: int = ONE_VALUE) -> DataFrame:
     """Per conversation, read back from its windows: turns, their digest, the text under the loss mask and its digest.
 
-    A digest takes its texts in order, so those of a conversation stream through one task, sorted and row by row; no row
-    holds more than one turn or one window's targets. Engines have no running digest, so this part is not native.
+    A digest takes its texts in order. The pieces of a conversation, one for each window, are put together in the engine. A
+    conversation of more than ``limit`` characters of windows could exceed what one value holds: its pieces stream
+    through a task, sorted, row by row, through a running digest, which engines have not, in Python. Without such a
+    conversation that part is not in the plan.
     """
-    under = F.concat_ws("", F.transform("targets", lambda t: unescape(F.col("text").substr(t.start + 1, t.end - t.start))))
-    entry = lambda n, line: F.struct(n.cast("int").alias("n"), line.alias("line"))
+    windows = stored(windows, "windows")
+    sizes = windows.groupBy("conv_id").agg(F.sum(F.length("text").cast("long")).alias("chars"))
+    large = stored(sizes.filter(F.col("chars") > limit).select("conv_id"), "large")
+    if large.isEmpty():
+        return _joined_digests(windows)
+    same = windows["conv_id"].eqNullSafe(large["conv_id"])
+    small = windows.join(large, same, "left_anti")
+    return _joined_digests(small).unionByName(streamed_digests(windows.join(large, same, "left_semi")))
+
+
+def _own_lines() -> Column:
+    """The turns of a window that are no repeats, as lines."""
     own = F.slice(_parts(), F.col("n_repeated") + 1, F.lit(2**30))
-    lines = F.transform(own, lambda p, i: entry(i, F.concat(_role_of(p), F.lit("\n"), _text_of(p), F.lit("\n"))))
+    return F.transform(own, lambda p: F.concat(_role_of(p), F.lit("\n"), _text_of(p), F.lit("\n")))
+
+
+def _under_mask() -> Column:
+    return F.concat_ws("", F.transform("targets", lambda t: unescape(F.col("text").substr(t.start + 1, t.end - t.start))))
+
+
+def _joined_digests(windows: DataFrame) -> DataFrame:
+    rows = windows.select("conv_id", "window", F.length("text").cast("long").alias("chars"), _own_lines().alias("lines"), _under_mask().alias("under"))
+    rows = rows.select("conv_id", "chars", F.size("lines").cast("long").alias("n"), F.struct("window", F.array_join("lines", "").alias("lines"), "under").alias("piece"))
+    whole = rows.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.array_sort(F.collect_list("piece")).alias("pieces"))
+    turns, loss = F.array_join("pieces.lines", ""), F.array_join("pieces.under", "")
+    return whole.select(
+        "conv_id", "n_turns", F.sha2(turns, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+def streamed_digests(windows: DataFrame) -> DataFrame:
+    """The same for conversations of any length; no row holds more than one turn or one window's targets."""
+    entry = lambda n, line: F.struct(n.cast("int").alias("n"), line.alias("line"))
+    lines = F.transform(_own_lines(), lambda line, i: entry(i, line))
     rows = windows.select(
         "conv_id", "window", F.length("text").cast("long").alias("chars"),
-        F.explode(F.concat(F.array(entry(F.lit(-1), under)), lines)).alias("e"),
+        F.explode(F.concat(F.array(entry(F.lit(-1), _under_mask())), lines)).alias("e"),
     )
     line = F.col("e.line")
     rows = rows.select("conv_id", "window", "e.n", "chars", F.length(line).cast("long").alias("size"), line.cast("binary").alias("line"))
