@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sentrel.llm.batches import slices, text_of
 
@@ -42,6 +43,12 @@ class Network:
     def parameters(self) -> list[np.ndarray]:
         return [self.tables, self.bias, self.weights, self.offset]
 
+    @classmethod
+    def of(cls, parameters: list[np.ndarray]) -> Network:
+        network = cls.__new__(cls)
+        network.tables, network.bias, network.weights, network.offset = parameters
+        return network
+
     def blocks(self, data: np.ndarray, with_places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """The maximum of each filter in each block of ``data`` (whole blocks and ``WIDTH`` more bytes), and where it is."""
         n = (len(data) - WIDTH) // BLOCK
@@ -87,7 +94,10 @@ class Network:
         to_mean = error[:, None] * self.weights[:FILTERS] / used[:, None]
         to_top = error[:, None] * self.weights[FILTERS:]
         row = np.repeat(np.arange(len(used)), used)
-        to_chunk = to_mean[row] + np.where(chunks == top[row], to_top[row], 0)
+        # Chunks that share the maximum, as in repeated text, share its slope.
+        highest = chunks == top[row]
+        to_top /= np.add.reduceat(highest.astype(np.float32), starts, axis=0)
+        to_chunk = to_mean[row] + np.where(highest, to_top[row], 0)
         at = np.flatnonzero(inside)
         from_next = best[following[at]] > best[at]
         source = np.where(from_next, following[at][:, None], at[:, None])
@@ -158,30 +168,60 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Netw
 
 
 def score(documents: DataFrame, network: Network, column: str = "score") -> DataFrame:
-    """``documents`` with the probability that a row's text is good."""
-    shared = documents.sparkSession.sparkContext.broadcast(network)
-    kept = [f for f in documents.schema if f.name != column]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{column}` double"])
+    """``documents`` with the probability that a row's text is good; a column of that name is replaced."""
+    kept = [f for f in documents.schema if f.name.lower() != column.lower()]
+    scored = _scored(documents.select(F.struct(*(F.col(f"`{f.name}`") for f in kept)).alias("row"), text_of().alias("text")), network)
+    return scored.select("row.*", F.col("probability").alias(column))
+
+
+def _scored(rows: DataFrame, network: Network) -> DataFrame:
+    """``rows`` without ``text``, with the ``probability`` of it."""
+    # Plain arrays travel, as a class would be looked for by its module on the workers.
+    shared = rows.sparkSession.sparkContext.broadcast(network.parameters())
+    kept = [f for f in rows.schema if f.name != "text"]
+    schema = T.StructType([*kept, T.StructField("probability", T.DoubleType())])
 
     def run(batches):
+        own = Network.of(shared.value)
         for batch in slices(batches, "text"):
             data, counts = padded(batch.column("text"))
-            values = pa.array(shared.value.scores(data, counts).astype(np.float64))
-            names = [f.name for f in kept]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), values], names=[*names, column])
+            values = pa.array(own.scores(data, counts).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), values], names=[f.name for f in schema])
 
-    return documents.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def classify(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Per row: ``doc_id``, ``held_out``, ``score`` and ``predicted``."""
     network = train(documents, labels, sample)
-    scored = score(documents.select("doc_id", text_of().alias("text")), network).drop("text")
-    held = F.coalesce(held_out(), F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    held = F.coalesce(held_out(), F.lit(False)).alias("held_out")
+    scored = _scored(documents.select("doc_id", held, text_of().alias("text")), network)
+    predicted = (F.col("probability") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", "held_out", F.col("probability").alias("score"), predicted)
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows whose score is 0.5 or more, all columns as they were; a null text stays null."""
-    scored = score(documents.withColumn("__text", F.col("text")).withColumn("text", text_of()), train(documents, labels, sample), "__score")
-    return scored.filter("__score >= 0.5").withColumn("text", F.col("__text")).select(*documents.columns)
+    """The rows whose score is 0.5 or more, all columns as they were, whatever their names; a null text stays null.
+
+    A text crosses to Python once: what goes through beside it is the row without its text, which is put back there.
+    """
+    network = train(documents, labels, sample)
+    others = [c for c in documents.columns if c != "text"]
+    row = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.struct(F.lit(None).alias("none"))
+    rows = documents.select(row.alias("row"), F.col("text").isNull().alias("gone"), text_of().alias("text"))
+    scored = _kept(rows, network)
+    text = F.when(~F.col("gone"), F.col("text"))
+    return scored.select(*(text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in documents.columns))
+
+
+def _kept(rows: DataFrame, network: Network) -> DataFrame:
+    """Those of ``rows`` whose ``text`` is good."""
+    shared = rows.sparkSession.sparkContext.broadcast(network.parameters())
+
+    def run(batches):
+        own = Network.of(shared.value)
+        for batch in slices(batches, "text"):
+            data, counts = padded(batch.column("text"))
+            yield batch.filter(pa.array(own.scores(data, counts) >= 0.5))
+
+    return rows.mapInArrow(run, rows.schema)
