@@ -283,10 +283,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, s
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """The documents that hold no window of the benchmark, all columns as they were."""
-    hit = matches(documents, benchmark, n).select("row_key").distinct()
-    rows = documents.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), text_of()))
-    hit = stored(hit, "contaminated").withColumnRenamed("row_key", "__key")
-    return rows.join(hit, "__key", "left_anti").select(*documents.columns)
-
-
+    """The documents that hold no window of the benchmark, all columns as they were, whatever their names."""
+    hit = stored(matches(documents, benchmark, n).select("row_key").distinct(), "contaminated")
+    key = F.xxhash64(F.col("doc_id").cast("long"), text_of()).alias("row_key")
+    rows = documents.select(F.struct("*").alias("row"), key)
+    return rows.join(hit, "row_key", "left_anti").select("row.*")

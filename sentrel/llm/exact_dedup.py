@@ -60,19 +60,17 @@ def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id", digest=
 
 
 def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", digest=content_digest, salts: int = SALTS) -> DataFrame:
-    """``df`` with one row of each text, all columns as they were."""
+    """``df`` with one row of each text, all columns as they were, whatever their names."""
     winners = stored(groups(df, text, key, digest, salts), "exact")
-    rows = df.withColumns({"__digest": digest(text_of(text)), "__key": F.xxhash64(key)})
-    single = winners.filter("n_texts = 1").select(F.col("digest").alias("__digest"), F.xxhash64("keep_id").alias("__key"), "keep_id")
-    kept = rows.join(single.withColumnRenamed("keep_id", "__keep"), ["__digest", "__key"])
-    kept = kept.filter(F.col(key).eqNullSafe(F.col("__keep"))).drop("__keep")
+    own = [digest(text_of(text)).alias("digest"), F.col(key).alias("key"), F.xxhash64(key).alias("hash")]
+    rows = df.select(F.struct("*").alias("row"), *own, text_of(text).alias("content"))
+    winner = [F.col("digest"), F.xxhash64("keep_id").alias("hash"), F.col("keep_id")]
+    kept = rows.join(winners.filter("n_texts = 1").select(*winner), ["digest", "hash"])
+    same = ["digest", "hash"]
     if not winners.filter("n_texts > 1").isEmpty():
-        several = _collided(df, winners, text, key, digest, salts)
-        several = several.select(F.col("digest").alias("__digest"), F.col("content").alias("__text"), F.col("keep_id").alias("__keep"))
-        matched = rows.withColumn("__text", text_of(text)).join(several, ["__digest", "__text"])
-        matched = matched.filter(F.col(key).eqNullSafe(F.col("__keep"))).select(*rows.columns)
-        own = Window.partitionBy("__digest", "__key", text).orderBy(F.lit(1))
-        kept = kept.select(*rows.columns).unionByName(matched)
-    else:
-        own = Window.partitionBy("__digest", "__key").orderBy(F.lit(1))
-    return kept.withColumn("__n", F.row_number().over(own)).filter("__n = 1").select(*df.columns)
+        several = _collided(df, winners, text, key, digest, salts).select(*winner, "content")
+        kept = kept.unionByName(rows.join(several, ["digest", "hash", "content"]))
+        same.append("content")
+    kept = kept.filter(F.col("key").eqNullSafe(F.col("keep_id")))
+    numbered = kept.withColumn("n", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1))))
+    return numbered.filter("n = 1").select("row.*")

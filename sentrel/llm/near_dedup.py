@@ -369,11 +369,11 @@ def near_groups(
 
 
 def deduplicate(documents: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """``documents`` with the row of the smallest ``doc_id`` of each group, all columns as they were."""
+    """``documents`` with the row of the smallest ``doc_id`` of each group, all columns as they were, whatever their names."""
     kept = near_groups(documents, threshold, text=text).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = stored(kept.select(F.xxhash64("doc_id").alias("__key"), F.col("node").alias("__node")).distinct(), "kept")
-    node = F.unhex(F.substring(F.sha2(text_of(text), 256), 1, 32))
-    rows = documents.withColumns({"__key": F.xxhash64(F.col("doc_id").cast("long")), "__node": node})
-    rows = rows.join(kept, ["__key", "__node"], "left_semi")
-    own = Window.partitionBy("__key", "__node").orderBy(F.lit(1))
-    return rows.withColumn("__n", F.row_number().over(own)).filter("__n = 1").select(*documents.columns)
+    kept = stored(kept.select(F.xxhash64("doc_id").alias("key"), "node").distinct(), "kept")
+    node = F.unhex(F.substring(F.sha2(text_of(text), 256), 1, 32)).alias("node")
+    rows = documents.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id").cast("long")).alias("key"), node)
+    rows = rows.join(kept, ["key", "node"], "left_semi")
+    own = Window.partitionBy("key", "node").orderBy(F.lit(1))
+    return rows.withColumn("n", F.row_number().over(own)).filter("n = 1").select("row.*")

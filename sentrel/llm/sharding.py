@@ -61,9 +61,10 @@ def table_frame(spark: SparkSession, shards: list[str], slots: int = SLOTS) -> D
 
 def assign(df: DataFrame, keys: list[str], shards: list[str], slots: int = SLOTS) -> DataFrame:
     """``df`` with the ``slot`` and ``shard`` of its key; no rows are moved."""
-    kept = [c for c in df.columns if c not in ("slot", "shard")]
-    rows = df.select(*kept, slot_of(keys, slots).alias("slot"))
-    return rows.join(F.broadcast(table_frame(df.sparkSession, shards, slots)), "slot").select(*kept, "slot", "shard")
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("slot", "shard")]
+    rows = df.select(F.struct(*kept).alias("row") if kept else F.lit(None).alias("row"), slot_of(keys, slots).alias("slot"))
+    found = rows.join(F.broadcast(table_frame(df.sparkSession, shards, slots)), "slot")
+    return found.select(*(["row.*"] if kept else []), "slot", "shard")
 
 
 def write_shards(df: DataFrame, path: str, keys: list[str], shards: list[str], slots: int = SLOTS, files_per_shard: int = 1) -> None:

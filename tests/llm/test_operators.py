@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentrel.llm import chat, decontamination, exact_dedup, lm_score, near_dedup, pii, quality, queries, sentencepiece_codec, sharding, token_files
-from sentrel.llm.batches import WORD_SPACES, WordHasher, shared_folder
+from sentrel.llm.batches import WORD_SPACES, WordHasher, WordTable, shared_folder
 from sentrel.llm.pieces import Vocabulary
 from tests.compare import compare, connect
 
@@ -122,6 +122,36 @@ def test_pieces_equal_brute_force_and_library(texts):
         assert ids.tolist() == library.encode(word[1:]), word
 
 
+def test_word_table_forgets_and_never_keeps_long_words():
+    calls = []
+
+    def encode(words):
+        calls.append(list(words))
+        return np.concatenate([np.full(len(w), len(w), np.int32) for w in words]), np.array([len(w) for w in words])
+
+    table = WordTable(encode, limit=1000, longest=8)
+    words = [b"a", b"bb", b"x" * 9, b"a", b"y" * 20, b"x" * 9]
+    for _ in range(3):
+        ids, counts = table.ids(words)
+        assert counts.tolist() == [len(w) for w in words] and ids.tolist() == [len(w) for w in words for _ in w]
+    assert set(table.index) == {b"a", b"bb"} and calls[0] == [b"a", b"bb"] and [b"x" * 9, b"y" * 20] in calls[1:]
+    for i in range(40):
+        assert table.ids([b"w%d" % i])[1].tolist() == [len(b"w%d" % i)]
+    assert len(table.index) < 20
+
+
+def test_units_of_words_have_the_ids_of_the_whole_text():
+    from tokenizers import Tokenizer
+
+    tokenizer, encode = Tokenizer.from_file(WORDS), token_files.word_encoder(Path(WORDS).read_text())
+    for text in (
+        "Hello, World!! it's a.b, <|endoftext|>. Foo<|ENDOFTEXT|>!", 'ÉTÉ. Größe."x', "don't. 'S 's. I'LL,", "a×b. ×. 12.5%, (abc).",
+        "…, ‘quoted’. 中文。字. 🎉! a🎉.", "\x00a.\x1cb, \x85 c", "", "A.B.C. ...a.. .5.", "x" * 300 + ". " + "y" * 200 + ",!",
+    ):
+        ids, _ = encode(token_files.units(text.encode()))
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_pieces_give_the_text_back(spark, odd, none):
     assert queries.QUERIES["op2_sentencepiece"](spark, SF).filter("not exact").isEmpty()
     rows = sentencepiece_codec.decode(sentencepiece_codec.encode(odd, MODEL, ids="salt"), MODEL, ids="salt", text="score")
@@ -395,9 +425,14 @@ def test_a_long_conversation_lies_in_many_parts(spark):
         parts = chat.ordered_turns(rows).filter("conv_id = 1").select(F.shiftright("pos", 33)).distinct().count()
         many = chat.format_windows(rows, budget=120, history=30)
         assert parts > 1 and sorted(many.collect(), key=str) == sorted(one, key=str)
-        digests = chat.window_digests(many.filter("conv_id = 1"))
-        assert "collect_list" not in chat.window_digests(spark.createDataFrame(one, many.schema))._jdf.queryExecution().toString()
-        got = digests.collect()
+        streamed = chat.streamed_digests(spark.createDataFrame(one, many.schema))
+        assert "collect_list" not in streamed._jdf.queryExecution().toString()
+        whole = chat.window_digests(many)
+        assert "Arrow" not in whole._jdf.queryExecution().executedPlan().toString()
+        every = sorted(whole.collect(), key=str)
+        assert every == sorted(streamed.collect(), key=str)
+        assert every == sorted(chat.window_digests(many, limit=100).collect(), key=str)
+        got = [r for r in every if r["conv_id"] == 1]
     finally:
         spark.conf.unset(setting)
     loss = "".join(t for *_, role, t in turns if role == "assistant")
@@ -438,6 +473,28 @@ def test_quality_gradients_and_held_out_accuracy(spark, odd, none):
             slope = (up - loss()) / 2e-2
             parameter[at] = before
             assert abs(slope - gradient[at]) < 2e-3
+    # The convolution: the score by plain loops over filters, places and chunks, and slopes of table entries and biases.
+    tables, bias, weights, offset = network.parameters()
+    text = ("some text here | and more ### " * 20).encode()
+    blocks = -(-(len(text) + quality.WIDTH) // quality.BLOCK)
+    padded = text + bytes(blocks * quality.BLOCK + quality.WIDTH - len(text))
+    out = [
+        max(sum(float(tables[i, padded[p + i], f]) for i in range(quality.WIDTH)) for p in range(b * quality.BLOCK, (b + 1) * quality.BLOCK, quality.STEP))
+        for b in range(blocks) for f in range(0, quality.FILTERS)
+    ]
+    best = np.maximum(np.array(out).reshape(blocks, quality.FILTERS) + bias, 0)
+    chunks = np.maximum(best[:-1], best[1:])
+    plain = 1 / (1 + np.exp(-(np.concatenate([chunks.mean(axis=0), chunks.max(axis=0)]) @ weights + offset[0])))
+    assert abs(float(network.scores(data, counts)[0]) - plain) < 1e-5
+    for parameter, gradient, places in ((tables, gradients[0], [(i, b"s| "[i % 3], f) for i in range(8) for f in (0, 7, 31)]), (bias, gradients[1], range(0, 48, 5))):
+        for at in places:
+            before = parameter[at]
+            parameter[at] = before + 1e-3
+            up = loss()
+            parameter[at] = before - 1e-3
+            slope = (up - loss()) / 2e-3
+            parameter[at] = before
+            assert abs(slope - gradient[at]) < 5e-3
     rows = queries.QUERIES["op10_quality"](spark, "/root/testdata/sf0.01").collect()
     known = dict(connect("/root/testdata/sf0.01").execute("select doc_id, quality from labels").fetchall())
     held = [(r["predicted"], known[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in known]
@@ -448,6 +505,41 @@ def test_quality_gradients_and_held_out_accuracy(spark, odd, none):
     assert quality.keep_good(odd, marks.filter("false")).columns == odd.columns
 
 
+def test_the_network_travels_without_its_module(spark):
+    import pickle
+
+    values = pickle.dumps(quality.Network().parameters())
+    assert b"sentrel" not in values and np.allclose(quality.Network.of(pickle.loads(values)).tables, quality.Network().tables)
+
+
+def test_columns_of_any_name_stay(spark, odd):
+    names = ["__key", "__digest", "__n", "__keep", "__node", "__text", "__score", "row", "key", "node", "digest", "Slot", "n", "a b", "probability"]
+    wide = odd.select("doc_id", "text", *(F.concat(F.lit(f"{c}-"), F.coalesce("doc_id", F.lit(0))).alias(c) for c in names))
+    wide = wide.withColumn("deep", F.struct(F.lit(1).alias("x y")))
+    marks = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
+    benchmark = spark.createDataFrame([("q", "no such words anywhere")], "item_id string, text string")
+    for left in (
+        exact_dedup.deduplicate(wide),
+        near_dedup.deduplicate(wide),
+        decontamination.clean(wide, benchmark),
+        quality.keep_good(wide, marks),
+        quality.score(wide, quality.Network(), "__score").drop("__score").withColumn("__score", F.concat(F.lit("__score-"), F.coalesce("doc_id", F.lit(0)))),
+        sharding.assign(wide, ["doc_id"], ["a", "b"]).drop("slot", "shard").withColumn("Slot", F.concat(F.lit("Slot-"), F.coalesce("doc_id", F.lit(0)))),
+    ):
+        rows = left.collect()
+        assert rows and all(r[c] == f"{c}-{r['doc_id'] or 0}" and r["deep"]["x y"] == 1 for r in rows for c in names)
+
+
+def test_piece_digests_equal_the_library_steps(spark):
+    texts = dict(connect(SF).execute("select doc_id, coalesce(text, '') from documents").fetchall())
+    vocabulary = Vocabulary(Path(MODEL).read_bytes())
+    for r in queries.QUERIES["op2_sentencepiece"](spark, SF).orderBy("doc_id").limit(40).collect():
+        words = [w.decode() for w in sentencepiece_codec.UNIT.findall(b" " + texts[r["doc_id"]].encode())] if texts[r["doc_id"]] else []
+        ids, _ = sentencepiece_codec.segment(vocabulary, words)
+        assert (r["n_pieces"], r["ids_crc32"]) == (len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
