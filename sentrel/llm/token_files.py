@@ -223,7 +223,8 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
             for row in batch.to_pylist():
                 codes, lengths = Codes(row["codes"]), np.array(row["lengths"], np.int64)
                 starts = np.cumsum(lengths) - lengths
-                ids = [codes.get(np.arange(s, s + n)) for s, n in zip(starts, lengths)]
+                # One access for the tokens of all documents of the segment, which are many short ones.
+                ids = np.split(codes.get(np.arange(len(codes))), starts[1:])
                 columns = {
                     "part": pa.array([row["part"]] * len(ids), pa.int32()),
                     "segment": pa.array([row["segment"]] * len(ids), pa.int32()),
