@@ -66,7 +66,10 @@ FUNCTION = _struct(
     params=_TEXTS, signature=_TEXT, calls=_TEXTS, decorators=_TEXTS,
 )
 IMPORT = _struct(line_no=_INT, text=_TEXT, names=_TEXTS, side_effect=_FLAG)
-PYTHON_UNIT = _struct(parsed=_FLAG, functions=ArrayType(FUNCTION), imports=ArrayType(IMPORT))
+SYMBOL = _struct(local=_TEXT, original=_TEXT, module=_TEXT, level=_INT)
+PYTHON_UNIT = _struct(
+    parsed=_FLAG, functions=ArrayType(FUNCTION), imports=ArrayType(IMPORT), symbols=ArrayType(SYMBOL), events=ArrayType(EVENT)
+)
 SPAN = _struct(name=_TEXT, start_line=_INT, end_line=_INT)
 
 
@@ -101,8 +104,13 @@ def preorder(node: ast.AST) -> Iterator[ast.AST]:
 
 def events_of(text: str | None) -> list[tuple[int, int, str]]:
     tree = parse_or_none(text)
+    return _events(preorder(tree)) if tree else []
+
+
+def _events(nodes: Iterator[ast.AST]) -> list[tuple[int, int, str]]:
+    """Line, number and message of each dangerous call, in source order."""
     found: list[tuple[int, int, str]] = []
-    for node in preorder(tree) if tree else ():
+    for node in nodes:
         if not isinstance(node, ast.Call):
             continue
         target = node.func
@@ -119,10 +127,12 @@ def events_of(text: str | None) -> list[tuple[int, int, str]]:
     return found
 
 
+EVENT_KEYS = tuple(EVENT.names)
+
+
 @F.pandas_udf(ArrayType(EVENT))
 def _code_events(texts: pd.Series) -> pd.Series:
-    keys = ("line_no", "seq", "message")
-    return texts.map(lambda t: [dict(zip(keys, e, strict=True)) for e in events_of(t)])
+    return texts.map(lambda t: [dict(zip(EVENT_KEYS, e, strict=True)) for e in events_of(t)])
 
 
 EVENT_WORDS = "|".join((*DYNAMIC_CALLS, *SHELL_CALLS, "loads"))
@@ -139,23 +149,28 @@ def code_events(text: Column | str, where: Column | None = None) -> Column:
 
 
 def python_unit(text: str | None) -> dict:
-    """Functions (by qualified name, the last definition wins) and imports of a text."""
+    """All functions, imports, imported symbols and dangerous calls of a text, from one parse.
+
+    Definitions that share a qualified name differ by their start line.
+    """
     tree = parse_or_none(text)
     if tree is None:
-        return {"parsed": False, "functions": [], "imports": []}
+        return {"parsed": False, "functions": [], "imports": [], "symbols": [], "events": []}
     lines = text.splitlines()
 
     def source(node: ast.AST) -> str:
         return "\n".join(lines[node.lineno - 1 : node.end_lineno])
 
-    functions: dict[str, dict] = {}
-    imports = []
+    functions, imports, symbols = [], [], []
     stack: list[tuple[ast.AST, tuple[str, ...], bool]] = [(tree, (), False)]
     while stack:
         node, scope, in_class = stack.pop()
         if isinstance(node, ast.Import | ast.ImportFrom):
             whole = isinstance(node, ast.ImportFrom)
             names = [a.asname or (a.name if whole else a.name.partition(".")[0]) for a in node.names]
+            for a, local in zip(node.names, names, strict=True):
+                module, original, level = (node.module, a.name, node.level) if whole else (a.name, None, 0)
+                symbols.append({"local": local, "original": original, "module": module or "", "level": level})
             imports.append(
                 {"line_no": node.lineno, "text": source(node).strip(), "names": names, "side_effect": False}
             )
@@ -164,30 +179,34 @@ def python_unit(text: str | None) -> dict:
         elif isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
             scope = (*scope, node.name)
             called = {dotted_name(n.func) for n in preorder(node) if isinstance(n, ast.Call)}
-            functions[".".join(scope)] = {
-                "qualname": ".".join(scope),
-                "name": node.name,
-                "kind": "method" if in_class else "function",
-                "start_line": node.lineno,
-                "end_line": node.end_lineno,
-                "params": [a.arg for a in node.args.args],
-                "signature": lines[node.lineno - 1].strip()[:SIGNATURE_CHARS],
-                "calls": sorted(called - {""}),
-                "decorators": [source(d).strip() for d in node.decorator_list],
-            }
+            functions.append(
+                {
+                    "qualname": ".".join(scope),
+                    "name": node.name,
+                    "kind": "method" if in_class else "function",
+                    "start_line": node.lineno,
+                    "end_line": node.end_lineno,
+                    "params": [a.arg for a in node.args.args],
+                    "signature": lines[node.lineno - 1].strip()[:SIGNATURE_CHARS],
+                    "calls": sorted(called - {""}),
+                    "decorators": [source(d).strip() for d in node.decorator_list],
+                }
+            )
         stack.extend((child, scope, in_class) for child in list(ast.iter_child_nodes(node))[::-1])
-    return {"parsed": True, "functions": list(functions.values()), "imports": imports}
+    events = [dict(zip(EVENT_KEYS, e, strict=True)) for e in _events(preorder(tree))]
+    return {"parsed": True, "functions": functions, "imports": imports, "symbols": symbols, "events": events}
 
 
 @F.pandas_udf(PYTHON_UNIT)
 def python_units(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([python_unit(t) for t in texts], columns=["parsed", "functions", "imports"])
+    return pd.DataFrame([python_unit(t) for t in texts], columns=PYTHON_UNIT.names)
 
 
 def brace_spans(stripped: str | None, language: str | None) -> list[dict]:
     """Named line ranges of JS/TS/PHP functions in text without comments and literals.
 
-    A candidate that starts at or before an earlier hit and ends inside it is skipped.
+    A candidate that starts at or before an earlier hit and ends inside it is skipped, and so is one inside an earlier
+    hit of its own name. Other definitions that share a name are all told.
     """
     if not stripped or language not in ("javascript", "typescript", "php"):
         return []
@@ -202,8 +221,10 @@ def brace_spans(stripped: str | None, language: str | None) -> list[dict]:
 
     scripted = language != "php"
     furthest = np.zeros(len(breaks) + 3, dtype=np.int64)  # start line -> largest end line so far
-    spans: dict[str, tuple[int, int]] = {}
+    spans: list[tuple[str, int, int]] = []
+    before: dict[str, tuple[list[int], list[int]]] = {}  # per name: starts of earlier patterns' hits, largest end up to each
     for pattern in JS_FUNCTIONS if scripted else PHP_FUNCTIONS:
+        here: dict[str, int] = {}  # per name: largest end of this pattern's hits, which come by start
         for match in re.finditer(pattern, stripped):
             name = match.group(1) if match.re.groups else None
             opening = stripped.find("{", match.start())
@@ -218,10 +239,24 @@ def brace_spans(stripped: str | None, language: str | None) -> list[dict]:
                 continue
             furthest[start] = max(furthest[start], end)
             name = name or f"callback_{start}"
-            if name in spans and spans[name][0] <= start and end <= spans[name][1]:
+            starts, ends = before.get(name, ([], []))
+            at = bisect_right(starts, start)
+            if here.get(name, 0) >= end or at and ends[at - 1] >= end:
                 continue
-            spans[name] = (start, end)
-    return [{"name": n, "start_line": s, "end_line": e} for n, (s, e) in spans.items()]
+            here[name] = max(here.get(name, 0), end)
+            spans.append((name, start, end))
+        before = _furthest_ends(spans)
+    return [{"name": n, "start_line": s, "end_line": e} for n, s, e in spans]
+
+
+def _furthest_ends(spans: list[tuple[str, int, int]]) -> dict[str, tuple[list[int], list[int]]]:
+    """Per name the starts in order, and the largest end of the spans up to each."""
+    out: dict[str, tuple[list[int], list[int]]] = {}
+    for name, start, end in sorted(spans):
+        starts, ends = out.setdefault(name, ([], []))
+        starts.append(start)
+        ends.append(max(end, ends[-1]) if ends else end)
+    return out
 
 
 @F.pandas_udf(ArrayType(SPAN))

@@ -109,8 +109,13 @@ def file_routes(files: DataFrame) -> DataFrame:
     """
     gated = files.filter(F.col("text").rlike(ROUTE_GATE))
     split = settle(gated, "repo", "path", "text", lines=split_lines(F.col("text")))
-    found = settle(split, "repo", "path", "text", "lines", routes=F.array_compact(F.transform("lines", _route)))
-    return found.filter(F.size("routes") > 0)
+    return with_routes(split).filter(F.size("routes") > 0)
+
+
+def with_routes(rows: DataFrame) -> DataFrame:
+    """``rows``, which hold ``text`` and ``lines``, with the ``routes`` of each file."""
+    found = F.array_compact(F.transform("lines", _route))
+    return settle(rows, *rows.columns, routes=F.when(F.col("text").rlike(ROUTE_GATE), found))
 
 
 def routes(files: DataFrame) -> DataFrame:
@@ -170,24 +175,20 @@ def handler_windows(files: DataFrame) -> DataFrame:
     Columns of ``routes`` plus ``body_start, window_start, window_end, window_lines`` and
     the two facts of the whole file that authorization needs.
     """
-    found = file_routes(files)
-    brace_based = F.exists("routes", lambda r: r["framework"] != "laravel")
+    return windows_of(with_windows(file_routes(files)))
+
+
+def with_windows(rows: DataFrame) -> DataFrame:
+    """``rows``, which hold ``text``, ``lines`` and ``routes``, with the ``windows`` of the routes."""
+    has_routes = F.coalesce(F.size("routes") > 0, F.lit(False))
+    brace_based = has_routes & F.exists("routes", lambda r: r["framework"] != "laravel")
     normal = F.array_join("lines", "\n")
     ends = block_ends(F.when(brace_based, normal), F.when(brace_based, F.transform("routes", lambda r: r["line_no"])))
+    names = F.transform("lines", lambda line: F.transform(F.regexp_extract_all(line, F.lit(NAMED_FUNCTION), F.lit(1)), F.lower))
     with_ends = settle(
-        found.withColumn("ends", ends),
-        "repo",
-        "path",
-        "lines",
-        "routes",
-        ends=F.col("ends"),
-        global_middleware=F.col("text").rlike(GLOBAL_MIDDLEWARE),
-        controller_middleware=F.col("text").rlike(CONTROLLER_MIDDLEWARE),
-        function_names=F.transform(
-            "lines",
-            lambda line: F.transform(F.regexp_extract_all(line, F.lit(NAMED_FUNCTION), F.lit(1)), F.lower),
-        ),
+        rows.withColumn("ends", ends), *rows.columns, ends=F.col("ends"), function_names=F.when(has_routes, names)
     )
+
     def windowed(route: Column, index: Column) -> Column:
         return let(
             _window(route, F.get("ends", index), F.col("lines"), F.col("function_names")),
@@ -195,27 +196,31 @@ def handler_windows(files: DataFrame) -> DataFrame:
                 route.alias("r"),
                 w.alias("w"),
                 F.slice("lines", w["window_start"], F.greatest(F.lit(0), w["window_end"] - w["window_start"] + 1)).alias("window_lines"),
+                F.col("text").rlike(GLOBAL_MIDDLEWARE).alias("global_middleware"),
+                F.col("text").rlike(CONTROLLER_MIDDLEWARE).alias("controller_middleware"),
             ),
         )
 
-    return (
-        explode_once(with_ends, "repo", "path", "global_middleware", "controller_middleware", x=F.transform("routes", windowed))
-        .select(
-            "repo",
-            "path",
-            "x.r.line_no",
-            "x.r.method",
-            "x.r.route",
-            _parameters(F.col("x.r.route")).alias("params"),
-            "x.r.framework",
-            "x.r.text",
-            "x.w.body_start",
-            "x.w.window_start",
-            "x.w.window_end",
-            "x.window_lines",
-            "global_middleware",
-            "controller_middleware",
-        )
+    return settle(with_ends, *rows.columns, windows=F.when(has_routes, F.transform("routes", windowed)))
+
+
+def windows_of(rows: DataFrame) -> DataFrame:
+    """A row per window of the ``windows`` array."""
+    return explode_once(rows, "repo", "path", x=F.col("windows")).select(
+        "repo",
+        "path",
+        "x.r.line_no",
+        "x.r.method",
+        "x.r.route",
+        _parameters(F.col("x.r.route")).alias("params"),
+        "x.r.framework",
+        "x.r.text",
+        "x.w.body_start",
+        "x.w.window_start",
+        "x.w.window_end",
+        "x.window_lines",
+        "x.global_middleware",
+        "x.controller_middleware",
     )
 
 
@@ -296,13 +301,14 @@ def _research_finding(df: DataFrame, prefix: str, category: str, rule: Column, d
     return as_findings(made)
 
 
-def logic_findings(files: DataFrame) -> DataFrame:
+def logic_findings(files: DataFrame, windows: DataFrame | None = None) -> DataFrame:
     """Missing authorization (check 05) and object-level authorization (checks 33 and 06).
 
     A lookup on a route parameter in an unprotected handler is missing authorization; in
     a protected one without an ownership comparison it is an object-level flaw.
     """
-    rows = param_queries(ownership_signal(auth_signals(handler_windows(files)))).filter(~F.col("protected") | ~F.col("ownership"))
+    windows = handler_windows(files) if windows is None else windows
+    rows = param_queries(ownership_signal(auth_signals(windows))).filter(~F.col("protected") | ~F.col("ownership"))
     missing = ~F.col("protected")
     rows = rows.withColumns({"file": F.col("path"), "line": F.col("query_line"), "found": F.col("query_text")})
     head = F.concat_ws(" ", "method", "route")
@@ -359,8 +365,12 @@ def checked_routes(files: DataFrame) -> DataFrame:
     return counted.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("checked_routes"))
 
 
-def business_logic(files: DataFrame) -> DataFrame:
-    """Sensitive routes without an authorization word near them, and trusted client values."""
+#: What a text with a business-logic hit has somewhere.
+BUSINESS_GATE = r"(?i)(?:app|router)\.|req(?:uest)?\.(?:body|query|params|json|form|args)"
+
+
+def with_business(rows: DataFrame) -> DataFrame:
+    """``rows``, which hold ``text`` and ``lines``, with ``business``: line, text and rule of each hit."""
 
     def facts(line: Column, index: Column) -> Column:
         near = F.array_join(F.slice("lines", index + 1, F.lit(SENSITIVE_REACH)), "\n")
@@ -379,9 +389,19 @@ def business_logic(files: DataFrame) -> DataFrame:
             rules, lambda r: F.struct((index + 1).alias("line"), strip(line).alias("found"), r.alias("rule"))
         )
 
-    gate = F.col("text").rlike(r"(?i)(?:app|router)\.|req(?:uest)?\.(?:body|query|params|json|form|args)")
-    split = settle(files.filter(gate), "repo", F.col("path").alias("file"), lines=split_lines(F.col("text")))
-    rows = inline_once(split, "repo", "file", structs=F.flatten(F.transform("lines", facts)))
+    gate = F.col("text").rlike(BUSINESS_GATE)
+    return settle(rows, *rows.columns, business=F.when(gate, F.flatten(F.transform("lines", facts))))
+
+
+def business_logic(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Sensitive routes without an authorization word near them, and trusted client values.
+
+    ``rows`` may hold the ``business`` arrays of the files already.
+    """
+    if rows is None:
+        gated = files.filter(F.col("text").rlike(BUSINESS_GATE))
+        rows = with_business(settle(gated, "repo", "path", "text", lines=split_lines(F.col("text"))))
+    rows = inline_once(rows.withColumn("file", F.col("path")), "repo", "file", structs=F.col("business"))
     sensitive = F.col("rule") == "sensitive-route-without-authorization-signal"
     return _research_finding(
         rows,

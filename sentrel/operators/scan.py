@@ -59,22 +59,15 @@ def _first_match(line: Column, lowered: Column, rule: Rule) -> Column | None:
 
 
 def checked_rules(df: DataFrame, rules: DataFrame | Iterable[Rule]) -> list[Rule]:
-    """Line rules whose patterns compile."""
-    spark = df.sparkSession
-    kept = []
-    for rule in to_rules(rules):
-        if rule.kind == "filename":
-            continue
-        kept.append(
-            Rule(
-                **{
-                    **rule.__dict__,
-                    "patterns": tuple(usable_patterns(spark, rule.patterns)),
-                    "exclude_patterns": tuple(usable_patterns(spark, rule.exclude_patterns)),
-                }
-            )
-        )
-    return kept
+    """Line rules with the patterns that compile; those of all rules are tried in one job."""
+    line_rules = [rule for rule in to_rules(rules) if rule.kind != "filename"]
+    every = dict.fromkeys(p for rule in line_rules for p in (*rule.patterns, *rule.exclude_patterns))
+    usable = set(usable_patterns(df.sparkSession, every))
+    kept = lambda patterns: tuple(p for p in patterns if p in usable)
+    return [
+        Rule(**{**rule.__dict__, "patterns": kept(rule.patterns), "exclude_patterns": kept(rule.exclude_patterns)})
+        for rule in line_rules
+    ]
 
 
 def pattern_scan(lines: DataFrame, rules: DataFrame | Iterable[Rule] = CHECKS) -> DataFrame:

@@ -124,31 +124,45 @@ def parse_files(files: DataFrame, keep_text: bool = False) -> DataFrame:
     Python is parsed with its own grammar; the other languages by brace structure over
     text without comments and literals. Each text visits a Python worker once.
     """
-    known = known_files(files)
-    text_column = ["text"] if keep_text else []
-    python = F.col("language") == "python"
+    kept = ["repo", "path", "language", *(["text"] if keep_text else []), "lines", "parsed", "functions", "imports"]
+    return parsed_rows(known_files(files)).select(*kept)
+
+
+def parsed_rows(files: DataFrame) -> DataFrame:
+    """``files`` with ``lines``, ``parsed``, ``functions``, ``imports``, ``symbols`` and ``events``.
+
+    A file of an unknown language has its lines, and nulls. ``symbols`` are those of Python's own grammar; ``events`` are
+    its dangerous calls with the text of their line.
+    """
     text, language = F.col("text"), F.col("language")
-    shaped = known.select(
+    python = F.coalesce(language == "python", F.lit(False))
+    scripted = language.isNotNull() & ~python
+    shaped = files.select(
         "repo",
         "path",
         "language",
         "text",
         python_units(F.when(python, text)).alias("py"),
-        function_spans(F.when(~python, strip_code(text, language)), language).alias("spans"),
+        function_spans(F.when(scripted, strip_code(text, language)), language).alias("spans"),
     )
-    split = settle(shaped, "repo", "path", "language", *text_column, "py", "spans", lines=split_lines(text))
+    split = settle(shaped, "repo", "path", "language", "text", "py", "spans", lines=split_lines(text))
     return settle(
         split,
         "repo",
         "path",
         "language",
-        *text_column,
+        "text",
         "lines",
-        parsed=F.when(python, F.col("py.parsed")).otherwise(F.lit(True)),
+        parsed=F.when(python, F.col("py.parsed")).otherwise(F.when(scripted, F.lit(True))),
         functions=F.when(python, F.col("py.functions")).otherwise(
-            _structural_functions(F.col("spans"), F.col("lines"), language)
+            F.when(scripted, _structural_functions(F.col("spans"), F.col("lines"), language))
+        ),
+        imports=F.when(python, F.col("py.imports")).otherwise(F.when(scripted, _line_imports(F.col("lines"), language))),
+        symbols=F.when(python, F.col("py.symbols")),
+        events=F.transform(
+            F.when(python, F.col("py.events")),
+            lambda e: e.withField("line", F.try_element_at("lines", e["line_no"])),
         ),
-        imports=F.when(python, F.col("py.imports")).otherwise(_line_imports(F.col("lines"), language)),
     )
 
 
@@ -172,6 +186,7 @@ def called_names(functions: DataFrame) -> DataFrame:
     """One row per function and distinct called name, with the name's last segment."""
     return (
         functions.select("repo", "path", F.col("qualname").alias("caller"), F.explode("calls").alias("call_name"))
+        .distinct()
         .withColumn("call_segment", F.substring_index("call_name", ".", -1))
         .filter(~F.col("call_name").isin("self", "cls", "super"))
     )
@@ -183,9 +198,10 @@ def call_edges(functions: DataFrame) -> DataFrame:
     A qualified name ends in the function's own name, so one equi join on
     ``(repo, path, segment)`` covers both. Unresolved calls keep a null callee.
     """
+    # Definitions that share a qualified name are one callee.
     target = functions.select(
         "repo", "path", F.col("name").alias("call_segment"), F.col("qualname").alias("callee")
-    ).withColumn("callee_path", F.col("path"))
+    ).distinct().withColumn("callee_path", F.col("path"))
     return (
         called_names(functions)
         .join(target, ["repo", "path", "call_segment"], "left")
@@ -294,10 +310,10 @@ def code_slices(points: DataFrame, files: DataFrame) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("start_line", "qualname", "end_line", "depth"))).alias("members"))
     )
     per_target = (
-        target.groupBy("repo", "path", "qualname")
+        target.groupBy("repo", "path", "qualname", "start_line")
         .agg(
             F.array_sort(F.collect_list("line_no")).alias("points"),
-            *[F.first(c).alias(c) for c in ("start_line", "signature", "calls")],
+            *[F.first(c).alias(c) for c in ("signature", "calls")],
         )
         .join(member, ["repo", "path", "qualname"], "left")
         .join(callers(functions, edges), ["repo", "path", "qualname"], "left")

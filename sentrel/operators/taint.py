@@ -1,12 +1,16 @@
 """Variable-level taint within functions and across calls.
 
-A file row carries its *steps*: the lines that hold a sink, an assignment or a call, with
-the labels and words they need. Within a function, taint is one ordered fold over its
-steps (``F.aggregate``), so a function is analysed where its file is and no token is ever
-shuffled. Only what leaves a function, a call with a tainted argument, becomes a row: it
-is joined to its callee and that function is folded again with tainted parameters. With a
-call depth of two this is three folds and two joins, each over far fewer rows than the
-corpus; there is no loop to a fixed point.
+Facts hold the *steps* of each file: the lines with a sink, an assignment or a call, with the labels and words they need.
+From them every function gets a *summary* where its file is, by ordered folds over its own steps (``F.aggregate``): what
+its sources reach, and for each parameter which sinks and which arguments of further calls it reaches, with the path
+in between. A summary does not depend on a caller, so a function is folded once for each of its parameters, however
+many calls lead to it.
+
+Flows across calls are then composed from these relations, level by level: what entered a parameter at one level (the
+*delta*) meets the summary of that parameter, which gives flows and further calls, and the calls meet their callees.
+An entry that was reached before by a path that is no longer is dropped, so the composition also ends without a
+limit of depth. No text and no step takes part in a join; the summaries lie in buckets of ``(repo, path)``, so only
+the delta is shuffled to them.
 """
 
 from __future__ import annotations
@@ -27,16 +31,14 @@ from sentrel.functions.labels import (
     words,
 )
 from sentrel.functions.rows import explode_once, inline_once, settle
-from sentrel.functions.text import SNIPPET_CHARS, finding_id, split_lines, strip
+from sentrel.functions.text import SNIPPET_CHARS, finding_id, strip
+from sentrel.operators.facts import collect_facts, module_files, symbols
 from sentrel.operators.scan import FLOW_EVIDENCE, TAINT_STEP, as_findings
-from sentrel.operators.structure import called_names, functions_of, known_files, parse_files
-from sentrel.session import cut_lineage
+from sentrel.operators.structure import called_names, functions_of
+from sentrel.session import bucketed, stored
 
 # --- Fixed values ------------------------------------------------------------
 MAX_DEPTH = 2
-#: Callees that a call resolves to in ``all_flows`` and ``taint_flows`` unless told otherwise; plans and queries pass
-#: ``None``, which follows all.
-MAX_CANDIDATES = 2
 #: Calls or definitions of one name that are joined in one part.
 HOT_NAME = 1000
 MODULE = "<module>"
@@ -48,7 +50,8 @@ TAINT = (
 )
 FLOW = f"struct<line:int,text:string,kind:string,value:string,taint:{TAINT},arg_sanitizer:string>"
 CALL = f"struct<line:int,text:string,vars:map<string,{TAINT}>>"
-CALL_GATE = r"\w\s*\("
+#: The root of what a function's own sources reach; roots from 0 are its parameters.
+SOURCES = -1
 
 
 # --- Labels of single lines ----------------------------------------------------
@@ -95,98 +98,67 @@ def call_sites(lines: DataFrame) -> DataFrame:
     )
 
 
-# --- Steps and units -----------------------------------------------------------
+# --- Units and summaries ---------------------------------------------------------
 
 
-def _steps(lines: Column, labels: LabelTables) -> Column:
-    """The lines that matter for taint, in order."""
+def parameter_name(param: Column) -> Column:
+    """The bare name of a parameter text: no sigil, type or default."""
+    plain = F.split(param, "[=:]")[0]
+    return F.regexp_extract(plain, r"([A-Za-z_]\w*)\W*$", 1)
 
-    def step(line: Column, index: Column) -> Column:
-        sink = F.when(any_label(line, labels.sinks), sink_of(line, labels.sinks))
-        assigned = assignment_of(line)
-        return F.struct(
-            (index + 1).alias("line"),
-            line.alias("text"),
-            sink.alias("sink"),
-            assigned.alias("assigned"),
-            any_label(line, labels.sources).alias("has_source"),
-            words(line).alias("words"),
-        )
 
-    interesting = F.filter(
-        F.transform(lines, step),
-        lambda s: s["sink"].isNotNull() | s["assigned"].isNotNull() | s["text"].rlike(CALL_GATE),
-    )
-    return F.transform(
-        interesting,
-        lambda s: F.struct(
-            s["line"].alias("line"),
-            s["text"].alias("text"),
-            s["words"].alias("words"),
-            s["has_source"].alias("has_source"),
-            s["sink"]["label"].alias("sink_kind"),
-            words(s["sink"]["args"]).alias("sink_words"),
-            F.when(s["has_source"], first_match(s["sink"]["args"], labels.sources)).alias("sink_source"),
-            first_label(s["sink"]["args"], labels.sanitizers).alias("sink_sanitizer"),
-            s["assigned"]["var"].alias("var"),
-            words(s["assigned"]["rhs"]).alias("rhs_words"),
-            F.when(s["has_source"], first_match(s["assigned"]["rhs"], labels.sources)).alias("rhs_source"),
-            first_label(s["assigned"]["rhs"], labels.sanitizers).alias("rhs_sanitizer"),
-            s["text"].rlike(CALL_GATE).alias("has_call"),
-        ),
-    )
+def _units(functions: Column, steps: Column) -> Column:
+    """Every function, and the module part before the first one, each with its own steps."""
+    first = F.array_min(F.transform(functions, lambda f: f["start_line"]))
 
+    def unit(qualname: Column, name: Column, start: Column, end: Column, params: Column) -> Column:
+        # An element of ``steps`` is a line, so a function's steps are a slice.
+        own = F.filter(F.slice(steps, start, F.greatest(F.lit(0), end - start + 1)), lambda s: s.isNotNull())
+        return F.struct(
+            qualname.alias("qualname"), name.alias("name"), start.alias("start_line"), params.alias("params"), own.alias("steps")
+        )
 
-def _units(functions: Column, line_count: Column) -> Column:
-    """Every function plus the module part before the first one."""
-    first = F.array_min(F.transform(functions, lambda f: f["start_line"]))
-    module = F.struct(
-        F.lit(MODULE).alias("qualname"),
-        F.lit(MODULE).alias("name"),
-        F.lit(1).alias("start_line"),
-        F.greatest(F.lit(1), F.coalesce(first - 1, line_count)).alias("end_line"),
-        F.array().cast("array<string>").alias("params"),
-    )
+    module = unit(
+        F.lit(MODULE), F.lit(MODULE), F.lit(1), F.greatest(F.lit(1), F.coalesce(first - 1, F.size(steps))),
+        F.array().cast("array<string>"),
+    )
     rest = F.transform(
         functions,
-        lambda f: F.struct(
-            f["qualname"].alias("qualname"),
-            f["name"].alias("name"),
-            f["start_line"].alias("start_line"),
-            f["end_line"].alias("end_line"),
-            F.transform(f["params"], parameter_name).alias("params"),
-        ),
+        lambda f: unit(f["qualname"], f["name"], f["start_line"], f["end_line"], F.transform(f["params"], parameter_name)),
     )
     return F.concat(F.array(module), rest)
 
 
-def parameter_name(param: Column) -> Column:
-    """The bare name of a parameter text: no sigil, type or default."""
-    plain = F.split(param, "[=:]")[0]
-    return F.regexp_extract(plain, r"([A-Za-z_]\w*)\W*$", 1)
-
+def rooted_units(facts: DataFrame) -> DataFrame:
+    """A row per unit and root that can reach anything: its sources, or a parameter that its lines name.
 
-def _file_steps(files: DataFrame, labels: LabelTables) -> DataFrame:
-    """``(repo, path, language, line_count, all_steps)``; a step list is built once per file."""
-    split = settle(files, "repo", "path", "language", *[c for c in ("functions",) if c in files.columns], lines=split_lines(F.col("text")))
-    return settle(split, *split.columns, all_steps=_steps(F.col("lines"), labels)).withColumn("line_count", F.size("lines")).drop("lines")
-
-
-def _cut(units: DataFrame) -> DataFrame:
-    """The steps of each unit, out of the steps of its file."""
-    own = F.filter("all_steps", lambda s: s["line"].between(F.col("start_line"), F.col("end_line")))
-    return settle(units, *[c for c in units.columns if c not in ("all_steps", "end_line", "line_count")], steps=own)
-
-
-def _source_units(files: DataFrame, labels: LabelTables) -> DataFrame:
-    """Units of the files that name a source; elsewhere nothing is tainted before a call."""
-    sourced = known_files(files).filter(any_label(F.col("text"), labels.sources))
-    parsed = parse_files(sourced, keep_text=True)
-    with_steps = _file_steps(parsed, labels)
-    units = inline_once(
-        with_steps, "repo", "path", "language", "all_steps", structs=_units(F.col("functions"), F.col("line_count"))
+    ``vars`` holds the tainted variables at the start: none, or the parameter.
+    """
+    known = facts.filter("language is not null and steps is not null")
+    units = inline_once(known, "repo", "path", "language", structs=_units(F.col("functions"), F.col("steps")))
+    useful = F.exists("steps", lambda s: s["sink_kind"].isNotNull() | s["has_call"])
+    named = F.array_distinct(F.flatten(F.transform("steps", lambda s: s["words"])))
+    units = settle(units.filter(useful), *units.columns, named=named, sourced=F.exists("steps", lambda s: s["has_source"]))
+    roots = F.filter(
+        F.transform("params", lambda p, i: F.struct(i.alias("root"), p.alias("param"))),
+        lambda r: (r["param"] != "") & F.array_contains("named", r["param"]),
     )
-    return _cut(units).filter(F.exists("steps", lambda s: s["has_source"]))
+    own = F.array(F.struct(F.lit(SOURCES).alias("root"), F.lit(None).cast("string").alias("param")))
+    rows = inline_once(
+        units, "repo", "path", "language", "qualname", "name", "start_line", "steps",
+        structs=F.when(F.col("sourced"), F.concat(own, roots)).otherwise(roots),
+    )
+    start = F.struct(
+        F.array().cast(f"array<{TAINT_STEP}>").alias("path"),
+        F.lit(None).cast("string").alias("kind"),
+        F.lit(None).cast("string").alias("file"),
+        F.lit(None).cast("int").alias("line"),
+        F.lit(False).alias("sanitized"),
+        F.lit(None).cast("string").alias("sanitizer"),
+        (F.col("start_line") - 1).alias("def_line"),
+        F.lit(True).alias("inherited"),
+    ).cast(TAINT)
+    return rows.withColumn("vars", F.when(F.col("root") == SOURCES, _no_vars()).otherwise(F.create_map("param", start)))
 
 
 # --- The fold ------------------------------------------------------------------
@@ -235,7 +207,7 @@ def earliest(vars_: Column, in_words: Column) -> Column:
     )
 
 
-def _fold(units: DataFrame, follow_calls: bool) -> DataFrame:
+def _fold(units: DataFrame, follow_calls: bool = True) -> DataFrame:
     """Run the steps of each unit in order, starting from its ``vars`` column.
 
     On each line sinks come first, then the assignment, then calls.
@@ -292,25 +264,37 @@ def _fold(units: DataFrame, follow_calls: bool) -> DataFrame:
     start = F.struct(F.col("vars").alias("vars"), empty_flows.alias("flows"), empty_calls.alias("calls"))
     # As a generator, the fold is evaluated once and no later filter is pushed into it.
     out = F.inline(F.array(F.aggregate("steps", start, run)))
-    carried = [c for c in ("repo", "path", "language", "qualname", "name", "stack", "depth") if c in units.columns]
-    return units.select(*carried, out).drop("vars")
+    return units.select(*[c for c in units.columns if c not in ("steps", "vars", "param")], out).drop("vars")
 
 
 def _no_vars() -> Column:
     return F.map_from_entries(F.array().cast(f"array<struct<key:string,value:{TAINT}>>"))
 
 
-# --- Calls between functions -----------------------------------------------------
+# --- Summaries ---------------------------------------------------------------------
 
 
-def _tainted_calls(folded: DataFrame, labels: LabelTables) -> DataFrame:
-    """Calls with at least one tainted argument; sinks and sanitizers are not followed.
+def _told(taint: Column) -> Column:
+    """Taint that belongs to the root: that of the sources starts in the function, that of a parameter came in."""
+    return F.when(F.col("root") == SOURCES, ~taint["inherited"]).otherwise(taint["inherited"])
 
-    Adds ``segment`` and ``arguments``: per position the taint it carries, or null.
+
+def summaries(facts: DataFrame, labels: LabelTables = DEFAULT_LABELS) -> tuple[DataFrame, DataFrame]:
+    """What each root of a function reaches: sinks, and arguments of further calls.
+
+    Both have ``repo, path, qualname, start_line, root``; sinks have ``name, line, text, kind, value, taint,
+    arg_sanitizer``, calls have ``line, call, position, taint``. The path of a taint begins at the root.
     """
-    rows = folded.select(
-        "repo", "path", "language", "qualname", "stack", "depth", F.explode("calls").alias("c")
-    ).select("repo", "path", "language", "qualname", "stack", "depth", "c.*")
+    folded = _fold(rooted_units(facts)).filter((F.size("flows") > 0) | (F.size("calls") > 0))
+    folded = stored(folded, "summaries")
+    key = ["repo", "path", "qualname", "start_line", "root"]
+    sinks = folded.select(*key, "name", F.inline("flows")).filter(_told(F.col("taint")))
+    return bucketed(sinks, ["repo", "path"], "sinks"), bucketed(_tainted_arguments(folded, key, labels), ["repo", "path"], "calls")
+
+
+def _tainted_arguments(folded: DataFrame, key: list[str], labels: LabelTables) -> DataFrame:
+    """Tainted arguments of calls, a row each; sinks and sanitizers are not followed."""
+    rows = folded.select(*key, "language", F.inline("calls"))
     rows = rows.withColumn("split", split_calls("text", "language"))
     rows = explode_once(rows, *[c for c in rows.columns if c != "split"], call=F.col("split"))
     name = F.col("call.name")
@@ -318,146 +302,225 @@ def _tainted_calls(folded: DataFrame, labels: LabelTables) -> DataFrame:
         F.concat(name, F.lit("(")), labels.sanitizers
     )
 
-    def argument(text: Column) -> Column:
-        return let(
+    def argument(text: Column, index: Column) -> Column:
+        taint = let(
             first_match(text, labels.sources),
             lambda source: F.when(text.isin("this", "self"), F.lit(None).cast(TAINT))
             .when(source.isNotNull(), _fresh(F.col("path"), F.col("line"), source))
             .otherwise(earliest(F.col("vars"), words(text))["taint"]),
         )
+        return F.struct(index.alias("position"), taint.alias("taint"))
+
+    rows = settle(rows.filter(followed), *key, "line", name.alias("call"), arguments=F.transform("call.args", argument))
+    # Several calls of a line may bind the same argument; one row of each tells it.
+    return rows.select(*key, "line", "call", F.inline("arguments")).filter(F.col("taint").isNotNull()).filter(_told(F.col("taint")))
 
-    # The last segment, without the marks a name may end in.
-    segment = F.substring_index(F.rtrim(name, F.lit("$")), ".", -1)
-    rows = settle(
-        rows.filter(followed), "repo", "path", "qualname", "stack", "depth", "line", segment.alias("segment"),
-        arguments=F.transform("call.args", argument),
-    )
-    # Deeper down, taint that starts in the function itself was followed before.
-    carried = F.exists("arguments", lambda a: a.isNotNull() & (a["inherited"] | (F.col("depth") == 0)))
-    return rows.filter(carried)
 
+# --- Callees -------------------------------------------------------------------------
 
-def _resolve(calls: DataFrame, functions: DataFrame, max_candidates: int | None) -> DataFrame:
-    """Callees of each call: those of the same file, else those of other files, ``max_candidates`` at most.
 
-    Functions are first cut to the called names, and the ranking keeps that many rows per
-    key before it shuffles, so a name defined in a million files costs no more than a rare
-    one. Without a limit every callee is followed, and such a name costs calls times files,
-    dealt over parts.
+def call_targets(
+    sites: DataFrame, functions: DataFrame, imported: DataFrame, modules: DataFrame, max_candidates: int | None = None
+) -> DataFrame:
+    """The callees of each ``(repo, path, call)``: ``callee_path, callee, start_line, params`` and ``way``.
+
+    A call means a function of the same file by its last segment, else (``imported``) one of the module that its first
+    segment was imported from, by the name it has there, else (``by name``) any function of the tree with that last segment,
+    ``max_candidates`` of them if given. A call without a callee has no row.
     """
+    sites = sites.select("repo", "path", "call").distinct()
+    plain = F.rtrim("call", F.lit("$"))
+    sites = sites.withColumns(
+        {"segment": F.substring_index(plain, ".", -1), "head": F.substring_index(plain, ".", 1), "dotted": F.contains(plain, F.lit("."))}
+    )
+    sites = stored(sites, "sites")
     callee = functions.select(
         "repo", F.col("path").alias("callee_path"), F.col("qualname").alias("callee"), F.col("name").alias("segment"),
-        "start_line", "end_line", F.transform("params", parameter_name).alias("params"),
+        "start_line", F.transform("params", parameter_name).alias("params"),
     )
-    callee = callee.join(calls.select("repo", "segment").distinct(), ["repo", "segment"], "left_semi")
-
-    def first(*keys: str) -> DataFrame:
-        if max_candidates is None:
-            return callee
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("callee_path", "start_line", "callee"))
-        return callee.withColumn("rank", rank).filter(F.col("rank") <= max_candidates).drop("rank")
+    shown = ["repo", "path", "call", "callee_path", "callee", "start_line", "params", "way"]
 
-    near = first("repo", "callee_path", "segment").withColumn("path", F.col("callee_path"))
-    local = calls.join(near, ["repo", "path", "segment"], "left")
-    local = cut_lineage(local) if max_candidates is None else local
-    resolved = local.filter(F.col("callee").isNotNull())
-    open_calls = local.filter(F.col("callee").isNull()).select(*calls.columns)
-    if max_candidates is None:
-        return resolved.unionByName(_join_by_name(open_calls, callee))
-    return resolved.unionByName(open_calls.join(first("repo", "segment"), ["repo", "segment"]))
+    def left_of(rows: DataFrame, found: DataFrame) -> DataFrame:
+        return rows.join(found.select("repo", "path", "call").distinct(), ["repo", "path", "call"], "left_anti")
 
-
-def _join_by_name(calls: DataFrame, callee: DataFrame) -> DataFrame:
+    def limited(found: DataFrame) -> DataFrame:
+        if max_candidates is None:
+            return found
+        rank = F.row_number().over(Window.partitionBy("repo", "path", "call").orderBy("callee_path", "start_line", "callee"))
+        return found.withColumn("rank", rank).filter(F.col("rank") <= max_candidates)
+
+    local = sites.join(callee.withColumn("path", F.col("callee_path")), ["repo", "path", "segment"])
+    local = stored(limited(local.withColumn("way", F.lit("same file"))).select(*shown), "local")
+    rest = left_of(sites, local)
+    # A plain call uses the name it was imported by; a dotted one a name inside what was imported.
+    names = imported.withColumnRenamed("local", "head")
+    bound = rest.join(names, ["repo", "path", "head"])
+    bound = bound.withColumn("segment", F.when(F.col("dotted"), F.col("segment")).otherwise(F.coalesce("original", "segment")))
+    files = modules.withColumnRenamed("whole", "at_root")
+    bound = bound.join(files, ["repo", "module"]).filter(F.col("at_root") | ~F.col("whole"))
+    bound = bound.filter(F.col("module_path") != F.col("path")).select("repo", "path", "call", "segment", F.col("module_path").alias("callee_path")).distinct()
+    linked = bound.join(callee, ["repo", "callee_path", "segment"]).withColumn("way", F.lit("imported"))
+    linked = stored(limited(linked).select(*shown), "linked")
+    rest = left_of(rest, linked)
+    named = _join_by_name(rest, callee.join(rest.select("repo", "segment").distinct(), ["repo", "segment"], "left_semi"), max_candidates)
+    return stored(local.unionByName(linked).unionByName(named.withColumn("way", F.lit("by name")).select(*shown)), "targets")
+
+
+def _join_by_name(calls: DataFrame, callee: DataFrame, max_candidates: int | None) -> DataFrame:
     """All pairs of call and callee of one name; those of a hot name are dealt over parts of ``HOT_NAME`` a side.
 
-    Only names with more calls or definitions than that are broadcast, so at most one per so many rows.
+    With a limit, the first callees of a name are chosen before the join. Only names with more calls or definitions
+    than ``HOT_NAME`` are broadcast, so at most one per so many rows.
     """
     key = ["repo", "segment"]
+    if max_candidates is not None:
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy("callee_path", "start_line", "callee"))
+        return calls.join(callee.withColumn("rank", rank).filter(F.col("rank") <= max_candidates), key)
     n = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count("*") / HOT_NAME).alias(name))
     hot = n(calls, "call_parts").join(n(callee, "defined_parts"), key).filter("call_parts > 1 or defined_parts > 1")
-    hot = F.broadcast(cut_lineage(hot))
+    hot = F.broadcast(stored(hot, "hot"))
 
     def dealt(df: DataFrame, own: str, other: str, *by: str) -> DataFrame:
         parts = lambda name: F.coalesce(f"{name}_parts", F.lit(1))
-        df = df.join(hot, key, "left").withColumn(own, F.pmod(F.xxhash64(*by), parts(own)))
-        df = df.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), parts(other) - 1)))
+        df = df.join(hot, key, "left").withColumn(f"{own}_part", F.pmod(F.xxhash64(*by), parts(own)))
+        df = df.withColumn(f"{other}_part", F.explode(F.sequence(F.lit(0).cast("long"), parts(other) - 1)))
         return df.drop("call_parts", "defined_parts")
 
-    left = dealt(calls, "call", "defined", "path", "qualname", "line")
+    left = dealt(calls, "call", "defined", "path", "call")
     right = dealt(callee, "defined", "call", "callee_path", "callee", "start_line")
-    return left.join(right, [*key, "call", "defined"]).drop("call", "defined")
+    return left.join(right, [*key, "call_part", "defined_part"]).drop("call_part", "defined_part")
 
 
-def _enter(resolved: DataFrame, files: DataFrame, labels: LabelTables) -> DataFrame:
-    """Callee units with their tainted parameters as starting variables.
+def resolution_counts(facts: DataFrame, labels: LabelTables = DEFAULT_LABELS) -> DataFrame:
+    """Per repo and way, the calls with a tainted argument: ``same file``, ``imported``, ``by name`` with one candidate,
+    ``ambiguous`` with more, ``unresolved`` with none."""
+    _, calls = summaries(facts, labels)
+    sites = calls.select("repo", "path", "call").distinct()
+    found = call_targets(sites, functions_of(facts), symbols(facts), module_files(facts))
+    per_site = found.groupBy("repo", "path", "call").agg(F.first("way").alias("way"), F.count("*").alias("n"))
+    several = (F.col("way") == "by name") & (F.col("n") > 1)
+    way = F.when(F.col("way").isNull(), "unresolved").when(several, "ambiguous").otherwise(F.col("way"))
+    return sites.join(per_site, ["repo", "path", "call"], "left").groupBy("repo", way.alias("way")).agg(F.count("*").alias("calls"))
 
-    Only the files that hold a callee are split and labelled.
-    """
-    entry = F.struct(F.col("callee_path").alias("path"), F.col("callee").alias("qualname"))
-    contexts = resolved.filter(~F.array_contains("stack", entry)).select(
-        "repo", F.col("callee_path").alias("path"), F.col("callee").alias("qualname"), F.col("segment").alias("name"),
-        "start_line", "end_line", "params", "arguments",
-        F.col("path").alias("call_path"), F.col("line").alias("call_line"),
-        F.array_append("stack", entry).alias("stack"), (F.col("depth") + 1).alias("depth"),
+
+# --- Composition ---------------------------------------------------------------------
+
+ENTRY = ["repo", "path", "qualname", "start_line", "root"]
+#: Where the taint of an entry began, and whether it was sanitized on the way.
+ORIGIN = ["file", "line", "kind", "sanitized"]
+
+
+def _joined(prefix: Column, taint: Column) -> Column:
+    """Taint that came in with ``prefix`` and went on as ``taint``, whose path begins at the parameter."""
+    return F.struct(
+        F.concat(prefix["path"], taint["path"]).alias("path"),
+        prefix["kind"].alias("kind"),
+        prefix["file"].alias("file"),
+        prefix["line"].alias("line"),
+        (prefix["sanitized"] | taint["sanitized"]).alias("sanitized"),
+        F.coalesce(prefix["sanitizer"], taint["sanitizer"]).alias("sanitizer"),
+        taint["def_line"].alias("def_line"),
+        F.lit(True).alias("inherited"),
+    ).cast(TAINT)
+
+
+def _best(entries: DataFrame) -> DataFrame:
+    """One entry per function, root and origin: the one with the shortest path, then the first."""
+    rows = entries.select(*ENTRY, *[F.col(f"prefix.{c}").alias(f"origin_{c}") for c in ORIGIN], "prefix", "depth")
+    keys = [c for c in rows.columns if c not in ("prefix", "depth")]
+    best = F.min_by(F.struct("prefix", "depth"), F.struct(F.size("prefix.path"), "prefix.path"))
+    return rows.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
+
+
+def _better(entries: DataFrame, seen: DataFrame) -> DataFrame:
+    """The entries that are new, or come by a shorter path than before."""
+    keys = [c for c in entries.columns if c not in ("prefix", "depth")]
+    old = seen.select(*[F.col(k).alias(f"old_{k}") for k in keys], F.col("prefix.path").alias("old_steps"))
+    same = F.struct(F.size("old_steps"), "old_steps") <= F.struct(F.size("prefix.path"), "prefix.path")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"old_{k}"))
+    return entries.join(old, same, "left_anti")
+
+
+def _entries(calls: DataFrame, targets: DataFrame, deeper: bool) -> DataFrame:
+    """What calls put into parameters of their callees; a function that called itself is not entered again."""
+    into = targets.withColumnRenamed("start_line", "callee_start")
+    rows = calls.join(into, ["repo", "path", "call"])
+    if deeper:
+        again = (F.col("callee_path") == F.col("path")) & (F.col("callee") == F.col("qualname")) & (F.col("callee_start") == F.col("start_line"))
+        rows = rows.filter(~again)
+    param = F.get("params", F.col("position"))
+    step = _mark(F.col("path"), F.col("line"), param, F.lit("propagate"))
+    prefix = F.col("taint").withField("path", F.concat("taint.path", F.array(step))).cast(TAINT)
+    return rows.filter(param.isNotNull() & (param != "")).select(
+        "repo", F.col("callee_path").alias("path"), F.col("callee").alias("qualname"), F.col("callee_start").alias("start_line"),
+        F.col("position").alias("root"), prefix.alias("prefix"), (F.col("depth") + 1).alias("depth"),
     )
-    bound = F.filter(
-        F.zip_with("params", "arguments", lambda p, a: F.struct(p.alias("key"), a.alias("value"))),
-        lambda kv: kv["key"].isNotNull() & (kv["key"] != "") & kv["value"].isNotNull(),
-    )
-    moved = F.transform(
-        bound,
-        lambda kv: F.struct(
-            kv["key"].alias("key"),
-            F.struct(
-                F.concat(
-                    kv["value"]["path"],
-                    F.array(_mark(F.col("call_path"), F.col("call_line"), kv["key"], F.lit("propagate"))),
-                ).alias("path"),
-                kv["value"]["kind"].alias("kind"),
-                kv["value"]["file"].alias("file"),
-                kv["value"]["line"].alias("line"),
-                kv["value"]["sanitized"].alias("sanitized"),
-                kv["value"]["sanitizer"].alias("sanitizer"),
-                (F.col("start_line") - 1).alias("def_line"),
-                F.lit(True).alias("inherited"),
-            )
-            .cast(TAINT)
-            .alias("value"),
-        ),
-    )
-    keep = [c for c in contexts.columns if c not in ("params", "arguments", "call_path", "call_line")]
-    entered = settle(contexts, *keep, bound=moved).filter(F.size("bound") > 0)
-    called = known_files(files).join(entered.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
-    steps = _file_steps(called.select("repo", "path", "language", "text"), labels)
-    return _cut(entered.join(steps, ["repo", "path"])).withColumn("vars", F.map_from_entries("bound")).drop("bound")
-
-
-def _flows_of(folded: DataFrame) -> DataFrame:
-    flow = folded.select("repo", "path", "qualname", "name", "depth", F.explode("flows").alias("f"))
-    # In a called function only taint that came in is new.
-    new = flow.filter((F.col("depth") == 0) | F.col("f.taint.inherited"))
-    last = _mark(F.col("path"), F.col("f.line"), F.substring_index("name", ".", -1), F.lit("sink"))
-    taint = F.col("f.taint")
-    sanitized = taint["sanitized"] | F.col("f.arg_sanitizer").isNotNull()
-    return new.select(
+
+
+def _flows_of(sinks: DataFrame) -> DataFrame:
+    """Flow rows of sinks with their whole ``taint`` and ``depth``."""
+    last = _mark(F.col("path"), F.col("sink_line"), F.substring_index("name", ".", -1), F.lit("sink"))
+    taint = F.col("taint")
+    sanitized = taint["sanitized"] | F.col("arg_sanitizer").isNotNull()
+    return sinks.withColumnRenamed("line", "sink_line").select(
         "repo",
         taint["file"].alias("source_file"),
         taint["line"].alias("source_line"),
         taint["kind"].alias("source_kind"),
         F.col("path").alias("sink_file"),
-        F.col("f.line").alias("sink_line"),
-        F.col("f.kind").alias("sink_kind"),
+        "sink_line",
+        F.col("kind").alias("sink_kind"),
         F.col("name").alias("sink_function"),
-        F.col("f.value").alias("value"),
+        "value",
         sanitized.alias("sanitized"),
-        F.coalesce(taint["sanitizer"], "f.arg_sanitizer").alias("sanitizer"),
+        F.coalesce(taint["sanitizer"], "arg_sanitizer").alias("sanitizer"),
         F.concat(taint["path"], F.array(last)).cast(f"array<{TAINT_STEP}>").alias("taint_path"),
         F.when(sanitized, "medium").otherwise("high").alias("confidence"),
-        strip(F.col("f.text")).alias("sink_text"),
+        strip(F.col("text")).alias("sink_text"),
         "depth",
     )
 
 
+def composed_flows(
+    facts: DataFrame,
+    labels: LabelTables = DEFAULT_LABELS,
+    max_depth: int | None = MAX_DEPTH,
+    max_candidates: int | None = None,
+    source_file: str | None = None,
+) -> DataFrame:
+    """Every flow, by its shortest path into each function; ``max_depth`` None goes on until nothing new is entered.
+
+    With ``source_file``, only its sources start, and only files that taint enters are folded.
+    """
+    wanted = facts if source_file is None else facts.filter(F.col("path") == source_file)
+    sinks, calls = summaries(wanted, labels)
+    start = lambda rows: rows.filter(F.col("root") == SOURCES).withColumn("depth", F.lit(0))
+    flows = _flows_of(start(sinks))
+    if max_depth == 0:
+        return flows
+    functions = stored(functions_of(facts).select("repo", "path", "qualname", "name", "start_line", "params"), "functions")
+    imported, modules = stored(symbols(facts), "symbols"), stored(module_files(facts), "modules")
+    delta, seen, depth = start(calls), None, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        targets = call_targets(delta, functions, imported, modules, max_candidates)
+        entries = _best(_entries(delta, targets, deeper=depth > 1))
+        entries = stored(entries if seen is None else _better(entries, seen), "entries")
+        if entries.isEmpty():
+            break
+        seen = entries if seen is None else seen.unionByName(entries)
+        if source_file is not None:
+            files = entries.select("repo", "path").distinct()
+            sinks, calls = summaries(facts.join(files, ["repo", "path"], "left_semi"), labels)
+        inside = entries.select(*ENTRY, "prefix", "depth")
+        met = inside.join(sinks, ENTRY).withColumn("taint", _joined(F.col("prefix"), F.col("taint")))
+        flows = flows.unionByName(_flows_of(stored(met.drop("prefix"), "met")))
+        if depth != max_depth:
+            delta = stored(inside.join(calls, ENTRY).withColumn("taint", _joined(F.col("prefix"), F.col("taint"))).drop("prefix"), "delta")
+    return flows
+
+
 def unique_flows(flows: DataFrame) -> DataFrame:
     """One row per source, sink, value and sanitized state: the shortest path, then the first."""
     key = ["repo", "source_file", "source_line", "source_kind", "sink_file", "sink_line", "sink_kind", "value", "sanitized"]
@@ -466,59 +529,37 @@ def unique_flows(flows: DataFrame) -> DataFrame:
     return flows.groupBy(*key).agg(best.alias("b")).select(*key, "b.*")
 
 
-def function_index(files: DataFrame) -> DataFrame:
-    """Every function of the corpus without its text, checkpointed: parsed once, read often."""
-    functions = functions_of(parse_files(files))
-    return cut_lineage(functions.select("repo", "path", "qualname", "name", "start_line", "end_line", "params", "calls"))
-
-
 def all_flows(
     files: DataFrame,
     labels: LabelTables = DEFAULT_LABELS,
-    max_depth: int = MAX_DEPTH,
-    functions: DataFrame | None = None,
-    max_candidates: int | None = MAX_CANDIDATES,
+    max_depth: int | None = MAX_DEPTH,
+    max_candidates: int | None = None,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
-    """Every flow, once per call path that reaches its function.
-
-    What a depth leaves behind (folded units, a small part of the corpus) is checkpointed,
-    so the next depth and the flows read it instead of folding again.
-    """
-    stack = F.array().cast("array<struct<path:string,qualname:string>>")
-    units = _source_units(files, labels).withColumns({"vars": _no_vars(), "stack": stack, "depth": F.lit(0)})
-    folded = _fold(units, follow_calls=max_depth > 0)
-    busy = (F.size("flows") > 0) | (F.size("calls") > 0)
-    if max_depth == 0:
-        return _flows_of(folded)
-    functions = function_index(files) if functions is None else functions
-    folded = cut_lineage(folded.filter(busy))
-    flows = _flows_of(folded)
-    for depth in range(1, max_depth + 1):
-        resolved = cut_lineage(_resolve(_tainted_calls(folded, labels), functions, max_candidates))
-        folded = _fold(_enter(resolved, files, labels), follow_calls=depth < max_depth)
-        if depth < max_depth:
-            folded = cut_lineage(folded.filter(busy))
-        flows = flows.unionByName(_flows_of(folded))
-    return flows
+    """Every flow of ``files``, or of their facts where those are stored already."""
+    return composed_flows(collect_facts(files, labels) if facts is None else facts, labels, max_depth, max_candidates)
 
 
-def taint_intra(files: DataFrame, labels: LabelTables = DEFAULT_LABELS) -> DataFrame:
+def taint_intra(files: DataFrame, labels: LabelTables = DEFAULT_LABELS, facts: DataFrame | None = None) -> DataFrame:
     """Flows that stay inside one function or module part."""
-    return unique_flows(all_flows(files, labels, max_depth=0))
+    return unique_flows(all_flows(files, labels, max_depth=0, facts=facts))
 
 
 def taint_flows(
     files: DataFrame,
     labels: LabelTables = DEFAULT_LABELS,
-    functions: DataFrame | None = None,
-    max_candidates: int | None = MAX_CANDIDATES,
+    max_candidates: int | None = None,
+    max_depth: int | None = MAX_DEPTH,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
-    return unique_flows(all_flows(files, labels, functions=functions, max_candidates=max_candidates))
+    return unique_flows(all_flows(files, labels, max_depth, max_candidates, facts))
 
 
-def taint_inter(files: DataFrame, labels: LabelTables = DEFAULT_LABELS, max_candidates: int | None = None) -> DataFrame:
+def taint_inter(
+    files: DataFrame, labels: LabelTables = DEFAULT_LABELS, max_candidates: int | None = None, facts: DataFrame | None = None
+) -> DataFrame:
     """Flows that cross at least one call."""
-    return unique_flows(all_flows(files, labels, max_candidates=max_candidates)).filter(F.col("depth") > 0)
+    return unique_flows(all_flows(files, labels, max_candidates=max_candidates, facts=facts)).filter(F.col("depth") > 0)
 
 
 def flow_counts(flows: DataFrame) -> DataFrame:
@@ -570,17 +611,17 @@ def trace_dataflow(
     sink_function: str,
     labels: LabelTables = DEFAULT_LABELS,
     max_candidates: int | None = None,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """Flows from one file whose sink lies in the named function or within two calls of it.
 
-    ``source_file`` may be a literal path; flows keep the file they start in.
+    Only the sources of that file start, and only files that their taint enters are folded.
     """
-    functions = function_index(files)
-    flows = unique_flows(all_flows(files, labels, functions=functions, max_candidates=max_candidates))
-    segment = sink_function.rsplit(".", 1)[-1]
-    allowed = reachable_names(functions, segment)
+    facts = collect_facts(files, labels) if facts is None else facts
+    flows = unique_flows(composed_flows(facts, labels, max_candidates=max_candidates, source_file=source_file))
+    allowed = reachable_names(functions_of(facts), sink_function.rsplit(".", 1)[-1])
     names = allowed.withColumnRenamed("name", "sink_function")
-    return flows.filter(F.col("source_file") == source_file).join(names, ["repo", "sink_function"], "left_semi")
+    return flows.join(names, ["repo", "sink_function"], "left_semi")
 
 
 def reachable_names(functions: DataFrame, start: str, depth: int = MAX_DEPTH) -> DataFrame:

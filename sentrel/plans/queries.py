@@ -5,8 +5,6 @@ Nested columns are shown as joined text so that results compare across engines.
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +17,7 @@ from sentrel.functions.text import base_name, finding_id, redact, split_lines, s
 from sentrel.operators import blueprints as bp
 from sentrel.operators import corpus, rollups, routes, scan, structure, supply, taint, verdicts
 from sentrel.plans.audit import audit, collect_findings
-from sentrel.session import CHECKPOINT_SETTING, cut_lineage
+from sentrel.session import cut_lineage, shared_folder
 from sentrel.sources import evidence, report, rules, tables, tree
 from sentrel.streaming import scan as streaming
 
@@ -48,18 +46,6 @@ def joined(column: str | Column, mark: str = "|") -> Column:
     return F.array_join(column, mark)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder, or a temporary one in local tests."""
-    base = spark.conf.get(CHECKPOINT_SETTING, None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_SETTING} to a shared folder to run on a cluster")
-        return tempfile.mkdtemp(prefix=f"{name}-")
-    if base.startswith("file:"):
-        base = "/" + base[len("file:") :].lstrip("/")
-    return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
-
-
 # --- Scans and sources ---------------------------------------------------------
 
 

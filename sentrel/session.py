@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,37 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder; a temporary one only where none is set in local mode."""
+    base = spark.conf.get(CHECKPOINT_SETTING, None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_SETTING} to a shared folder to run on a cluster")
+        base = tempfile.mkdtemp(prefix="sentrel-")
+    return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written as Parquet to the shared folder; later steps read only the columns they need."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The same rows, written in buckets of ``keys``, so that joins on these need no exchange of this side.
+
+    A bucket is one sorted file; there are as many as shuffle partitions.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = shared_folder(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    writer = df.repartition(n, *keys).write.option("path", path).option("compression", "zstd").format("parquet")
+    writer.bucketBy(n, *keys).sortBy(*keys).saveAsTable(table)
+    return spark.table(table)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on a small input that arrives in fewer splits than there are cores.
 

@@ -13,31 +13,29 @@ MAX_BYTES = 256 * 1024
 # --- end of fixed values -----------------------------------------------------
 
 
-def evidence_scan(pages: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+def evidence_scan(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """``(page_id, url, scheme, error, truncated, text)``.
 
-    Only http and https pages become evidence; another scheme gives an error and no text.
-    Text is cut at ``max_bytes`` bytes, and the cut is flagged.
+    Only http and https pages become evidence; another scheme gives an error and no text. Whole texts are kept, unless
+    ``max_bytes`` (``MAX_BYTES`` for the usual limit) asks to cut them there, which is flagged.
     """
     scheme = F.lower(F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     allowed = scheme.isin(*SCHEMES)
+    too_long, text = F.lit(False), F.col("html")
+    if max_bytes is not None:
+        too_long = F.octet_length("html") > max_bytes
+        text = F.when(too_long, decode_utf8(F.substring(F.col("html").cast("binary"), 1, max_bytes))).otherwise(text)
     return pages.select(
         "page_id",
         "url",
         scheme.alias("scheme"),
         F.when(~allowed, F.concat(F.lit("Unsupported URL scheme: '"), scheme, F.lit("'"))).alias("error"),
-        F.when(allowed, F.octet_length("html") > max_bytes).alias("truncated"),
-        F.when(
-            allowed,
-            F.when(
-                F.octet_length("html") > max_bytes,
-                decode_utf8(F.substring(F.col("html").cast("binary"), 1, max_bytes)),
-            ).otherwise(F.col("html")),
-        ).alias("text"),
+        F.when(allowed, too_long).alias("truncated"),
+        F.when(allowed, text).alias("text"),
     )
 
 
-def evidence(pages: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+def evidence(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
     return evidence_scan(pages, max_bytes).filter(F.col("error").isNull())
 
 
