@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from sentrel.catalogue import AGENTS, CHECKS
-from sentrel.fixtures import SKELETONS
+from sentrel.fixtures import JSON_ESCAPES, PAIRED, SKELETONS
 from sentrel.functions import calls, labels, text
 from sentrel.operators import routes, supply, verdicts
 
@@ -28,7 +28,19 @@ def first_of(column: str, table) -> str:
 
 
 def in_list(items) -> str:
-    return "(" + ", ".join(q(i) for i in items) + ")"
+    return "(" + ", ".join(str(i) if isinstance(i, int) else q(i) for i in items) + ")"
+
+
+def json_escaped(column: str) -> str:
+    for mark, escape in JSON_ESCAPES:
+        chars = {"\n": "chr(10)", "\r": "chr(13)", "\t": "chr(9)"}
+        column = f"replace({column}, {chars.get(mark) or q(mark)}, {q(escape)})"
+    return column
+
+
+def filled(column: str) -> str:
+    """A skeleton's text with the ids of the document and of the next one."""
+    return f"replace(replace({column}, '{{n}}', doc_id::varchar), '{{m}}', (doc_id + 1)::varchar)"
 
 
 SKELETON_ROWS = [
@@ -59,9 +71,16 @@ FUNCTIONS = [
     (10, "test_{n}", "function", 3, 4, "", "", ""),
     (12, "callback_1", "function", 1, 3, '"/billing/:bid"|(req|res', "delete|send", ""),
     (13, "add_{n}", "function", 1, 3, "a|b", "", ""),
+    (14, "enter_{n}", "function", 2, 5, "request", "keep|put_row", ""),
+    (15, "save_item", "function", 1, 2, "stmt", "cursor.execute", ""),
+    (15, "put_row", "function", 4, 5, "row", "db.query", ""),
+    (16, "save_item", "function", 1, 2, "stmt", "eval", ""),
+    (16, "put_row", "function", 4, 5, "row", "eval", ""),
+    (18, "send_{n}", "function", 2, 5, "req", "keepRow", ""),
+    (19, "save", "function", 1, 3, "v", "query", ""),
 ]
 # (skeleton, line, names, side effect)
-IMPORTS = [(0, 1, "os"), (1, 1, "db"), (2, 1, "Depends"), (2, 2, "pickle")]
+IMPORTS = [(0, 1, "os"), (1, 1, "db"), (2, 1, "Depends"), (2, 2, "pickle"), (14, 1, "keep")]
 
 PATTERN_ROWS = " union all ".join(
     f"select repo, doc_id, sid, path, line_no, line, {q(r.check_id)} check_id, "
@@ -106,13 +125,15 @@ ROUTE_BRANCHES = [
 PARTS: dict[str, str] = {
     "sk": f"select * from {values(SKELETON_ROWS)} t(sid, p, ln, t)",
     "skn": f"select * from {values(PREFIXES)} t(sid, p, nl, pre)",
-    "docs": "select doc_id, coalesce(source, 'unknown') repo, text, doc_id % 14 sid from documents",
-    "corpus": """
-      select repo, doc_id, docs.sid, replace(p, '{n}', doc_id::varchar) path, ln::int line_no,
-             replace(t, '{n}', doc_id::varchar) line
+    "docs": f"""
+      select doc_id, case when sid in {in_list(PAIRED)} then 'pair_' || (doc_id // {len(SKELETONS)}) else coalesce(source, 'unknown') end repo, text, sid
+      from (select *, doc_id % {len(SKELETONS)} sid from documents)""",
+    "corpus": f"""
+      select repo, doc_id, docs.sid, {filled('p')} path, ln::int line_no,
+             replace({filled('t')}, '{{text}}', {json_escaped("coalesce(text, '')")}) line
       from docs join sk on sk.sid = docs.sid
       union all
-      select repo, doc_id, sid, replace(p, '{n}', doc_id::varchar), (nl + pos)::int, pre || l
+      select repo, doc_id, sid, {filled('p')}, (nl + pos)::int, pre || l
       from (select repo, doc_id, docs.sid, p, nl, pre,
                    unnest(string_split(rtrim(text, chr(10)), chr(10))) l,
                    generate_subscripts(string_split(rtrim(text, chr(10)), chr(10)), 1) pos
@@ -139,7 +160,7 @@ PARTS: dict[str, str] = {
                        when regexp_matches(line, '\\b(system|popen)\\(')
                          then 'shell execution via ' || regexp_extract(line, '\\b(system|popen)\\(', 1)
                        when regexp_matches(line, '\\bpickle\\.loads\\(') then 'unsafe pickle deserialization' end message
-        from corpus where suffix(path, '.py') and not starts_with(line, '#'))
+        from corpus where suffix(path, '.py') and not starts_with(line, '#') and not starts_with(path, 'src/broken_'))
       where message is not null""",
     "event_hits": """
       select repo, doc_id, sid, path, line_no, line, check_id, message as rule
@@ -251,7 +272,32 @@ PARTS: dict[str, str] = {
              string_split(regexp_extract(c.line, f.qualname || '\\(([^()]*)\\)', 1), ',') args
       from corpus c join unit u on u.path = c.path and c.line_no between u.start_line and u.end_line
       join fn f on f.path = c.path and f.language = 'python' and regexp_matches(c.line, '\\b' || f.qualname || '\\(')
-        and c.line_no <> f.start_line""",
+        and c.line_no <> f.start_line
+      union all
+      select c.path, u.qualname, c.line_no, f.path, f.qualname, string_split(f.params, '|'), f.start_line,
+             string_split(regexp_extract(c.line, '\\b' || x.local || '\\(([^()]*)\\)', 1), ',')
+      from corpus c join unit u on u.path = c.path and c.line_no between u.start_line and u.end_line
+      join across x on x.path = c.path and regexp_matches(c.line, '^\\s+' || x.local || '\\(')
+      join fn f on f.repo = x.repo and f.path = x.callee_path and f.qualname = x.callee""",
+    # Names that a file imports, read from its import lines; then the callees of calls that leave the file: those of the module
+    # if it defines the name, else all functions of that name in the tree.
+    "imported": """
+      select repo, path, regexp_extract(line, ' as (\\w+)$', 1) as local, regexp_extract(line, ' import (\\w+)', 1) original,
+             replace(regexp_extract(line, '^from ([\\w.]+)', 1), '.', '/') || '.py' module_path
+      from corpus where regexp_matches(line, '^from [\\w.]+ import \\w+ as \\w+$')
+      union all
+      select repo, path, regexp_extract(line, ': (\\w+) }', 1), regexp_extract(line, '{ (\\w+):', 1),
+             'web/' || regexp_extract(line, '"\\./(\\w+)"', 1) || '.js'
+      from corpus where regexp_matches(line, '^const { \\w+: \\w+ } = require')""",
+    "across": """
+      select e.repo, e.path, e.call_segment as local, f.path callee_path, f.qualname callee, true bound
+      from edges e join imported i on i.path = e.path and i.local = e.call_segment
+      join fn f on f.repo = e.repo and f.path = i.module_path and f.qualname = i.original where e.callee is null
+      union all
+      select distinct e.repo, e.path, e.call_segment, f.path, f.qualname, false
+      from edges e join fn f on f.repo = e.repo and f.path <> e.path and regexp_extract(f.qualname, '[^.]*$') = e.call_segment
+      where e.callee is null and not contains(e.call_name, '.')
+        and not exists (select 1 from imported i join fn g on g.path = i.module_path and g.qualname = i.original where i.path = e.path and i.local = e.call_segment)""",
     "reach": """
       select path, unit, line_no, 1 ord, var, path src_path, line_no src_line, kind, false sanitized, null::varchar sanitizer, 0 depth,
              ['source ' || matched || ' ' || line_no, 'propagate ' || var || ' ' || line_no] steps
@@ -405,6 +451,7 @@ PARTS: dict[str, str] = {
           case when {BASE} = 'robots.txt' then {q(verdicts.REASON_ROBOTS)} end], lambda r: r is not null) reasons from found)""",
     "verdict": f"""
       select repo, id, check_id, file, line, case
+          when starts_with(file, 'src/broken_') then 'unsupported'
           when {SUFFIX} = '.py' then case when exists (select 1 from fn where fn.path = file and line between start_line and end_line) then 'not-assessed' else 'static-confirmed' end
           when check_id in {in_list(verdicts.CONFIRMED_CHECKS)} then 'static-confirmed' else 'static-only' end verdict
       from (select distinct repo, id, check_id, file, line from found)""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from oracles.parts import BASE, FUNCTIONS, IMPORTS, PARTS, SUFFIX, assemble, first_of, q, redact_sql, sha, strip_sql
+from sentrel.catalogue import CHECKS
 from sentrel.functions import labels, text
 from sentrel.operators import blueprints, rollups
 
@@ -39,6 +40,16 @@ PLANNED = f"""
   union all
   select repo, id, check_id, category, file, line, method, route, parameter from logic"""
 PARTS["plan"] = _blueprint(PLANNED)
+# Every file as a patch: a header of three lines, then its lines, removed and added in turn.
+PARTS["patch_lines"] = """
+  select 'patch_' || doc_id || '.patch' path, line_no + 3 line_no, case when line_no % 2 = 1 then '-' else '+' end || line as line from corpus
+  union all
+  select 'patch_' || doc_id || '.patch', n, case n when 1 then '--- a/' || path when 2 then '+++ b/' || path else '@@ -1 +1 @@' end
+  from files, range(1, 4) t(n)"""
+PARTS["patches"] = "select path, sum(octet_length(encode(line)) + 1)::bigint - 1 size from patch_lines group by path"
+PARTS["patch_hits"] = "select * from (" + " union all ".join(
+    f"select path, {first_of('line', [(p, p) for p in r.patterns])} as rule from patch_lines" for r in CHECKS if r.patterns
+) + ") where rule is not null"
 
 MERGED = "repo, id, check_id, severity, file, line::int line, rule, behavior, behavior_rationale, verification_verdict"
 EXCLUDED = "path as original, case doc_id % 5 when 0 then 'node_modules/' || path when 1 then 'lib/.git/' || path else path end path"
@@ -47,15 +58,21 @@ SQL: dict[str, str] = {
     "scan_table": """select coalesce(source, 'unknown') repo, 'documents/' || doc_id || '.txt' path, octet_length(encode(text))::bigint size,
         len(string_split(case when suffix(text, chr(10)) then left(text, length(text) - 1) else text end, chr(10)))::int n_lines from documents""",
     "scan_corpus": "select path, size, len(string_split(text, chr(10)))::int n_lines from files",
-    "scan_patches": "select regexp_extract(path, '[^/]*$') path, size from files where suffix(path, '.md')",
+    "scan_patches": "select path, size, count(m.rule)::bigint hits from patches left join patch_hits m using (path) group by all",
     "load_rules": """select check_id, name, agent, kind, rule_id, severity, confidence, description, remediation,
         count(m.path)::bigint hits from rules left join matches m using (check_id) group by all""",
     "dependency_inventory": "select distinct repo, path from manifest_lines",
     "evidence_scan": f"""select page_id, u url, regexp_extract(u, '^[a-z]+') scheme,
         case when starts_with(u, 'ftp') then 'Unsupported URL scheme: ''ftp''' end error,
         case when not starts_with(u, 'ftp') then octet_length(encode(html)) > 4096 end truncated,
-        case when not starts_with(u, 'ftp') and octet_length(encode(html)) <= 4096 then md5(html) end text_md5
-        from (select *, {URL_FTP} u from pages)""",
+        case when not starts_with(u, 'ftp') then md5(case when octet_length(encode(html)) <= 4096 then html else left(html, fits)
+          || case when octet_length(encode(left(html, fits))) < 4096 then chr(65533) else '' end end) end text_md5,
+        case when not starts_with(u, 'ftp') then md5(html) end whole_md5
+        from (select *, {URL_FTP} u from pages) left join (
+          select page_id, max(i) fits from (
+            select page_id, i, sum(octet_length(encode(c))) over (partition by page_id order by i) upto
+            from (select page_id, unnest(regexp_extract_all(html, '(?s).')) c, generate_subscripts(regexp_extract_all(html, '(?s).'), 1) i from pages))
+          where upto <= 4096 group by page_id) using (page_id)""",
     "explode_lines": "select repo, path, line_no, line from corpus",
     "path_features": """select repo, path, regexp_extract(path, '[^/]*$') base_name,
         regexp_extract(lower(path), '[^./][^/]*?(\\.[^./]+)$', 1) suffix, array_to_string(string_split(path, '/'), '|') segments from files""",
@@ -112,7 +129,7 @@ SQL: dict[str, str] = {
     "taint_flows": "select source_file, source_line, source_kind, sink_file, sink_line, sink_kind, value, sanitized, sanitizer, sink_function, taint_path from flows",
     "taint_findings": f"select {FINDING}, taint_path from taint",
     "taint_counts": "select count(*)::bigint flow_count, count(*) filter (where sanitized)::bigint sanitized_flow_count from flows",
-    "trace_dataflow": "select source_file, source_line, sink_file, sink_line, sink_function, taint_path from flows where source_file = 'src/flow_17.py' and sink_function in ('run_17', 'store_17', 'execute')",
+    "trace_dataflow": "select source_file, source_line, sink_file, sink_line, sink_function, taint_path from flows where source_file = 'src/flow_23.py' and sink_function in ('run_23', 'store_23', 'execute')",
     "routes": "select repo, path, line_no, method, route, array_to_string(params, '|') params, framework, text from route",
     "handler_windows": "select repo, path, line_no, framework, body_start, window_start, window_end from win",
     "auth_signals": "select repo, path, line_no, array_to_string(signals, '|') signals, len(signals) > 0 protected from auth",
@@ -137,7 +154,7 @@ SQL: dict[str, str] = {
     "verify_candidates": "select repo, id, check_id, severity, file, line::int line from ordered where position <= 100",
     "verdict_counts": """select count(*)::bigint assessed_findings, 0::bigint verified_count,
         count(*) filter (where verdict = 'static-confirmed')::bigint static_confirmed_count, 0::bigint not_reproduced_count,
-        count(*) filter (where verdict = 'static-only')::bigint static_only_count, 0::bigint unsupported_count,
+        count(*) filter (where verdict = 'static-only')::bigint static_only_count, count(*) filter (where verdict = 'unsupported')::bigint unsupported_count,
         count(*) filter (where verdict = 'not-assessed')::bigint not_assessed_count from verdict""",
     "merge_verification": f"select {MERGED} from merged",
     "valued_findings": f"select {MERGED}, p as policy from merged, (values ('strict'), ('lenient')) v(p) where behavior <> 'expected' and (verification_verdict = 'static-confirmed' or p = 'lenient' and verification_verdict = 'static-only')",
@@ -146,13 +163,17 @@ SQL: dict[str, str] = {
     "check_counts": """select r.check_id, r.name, r.agent, r.agent || '.' || r.check_id sub_agent, count(d.id)::bigint finding_count, 'completed' status
         from rules r left join domain d using (check_id) group by all""",
     "agent_rollup": """select a.agent, display_name, count(d.id)::bigint finding_count, (select count(distinct path) from manifest_lines)::bigint dependency_files,
-        (select string_agg(r.agent || '.' || r.check_id, '|' order by r.check_id) from rules r where r.agent = a.agent) sub_agents, 'completed' status
-        from agents a left join domain d on d.agent = a.agent group by all""",
-    "verification_summary": """select count(distinct id) filter (where behavior = 'expected')::bigint expected_count,
-        count(distinct id) filter (where behavior = 'unexpected')::bigint unexpected_count, count(distinct id)::bigint assessed_findings,
-        count(distinct id) filter (where verification_verdict = 'static-confirmed')::bigint static_confirmed_count,
-        count(distinct id) filter (where verification_verdict = 'static-only')::bigint static_only_count, 0::bigint unsupported_count,
-        count(distinct id) filter (where verification_verdict = 'not-assessed')::bigint not_assessed_count,
+        (select string_agg(r.agent || '.' || r.check_id, '|' order by r.check_id) from rules r where r.agent = a.agent) sub_agents,
+        case when a.agent = 'injection' and broken > 0 then 'injection.16|injection.17' else '' end failed_sub_agents,
+        case when a.agent = 'injection' and broken > 0 then 'completed_with_errors' else 'completed' end status
+        from (select *, (select count(*) from files where starts_with(path, 'src/broken_')) broken from agents) a left join domain d on d.agent = a.agent group by all""",
+    "verification_summary": """select 'completed' behavior_status, 'completed' verification_status, 0::bigint verified_count, 0::bigint not_reproduced_count,
+        count(distinct (repo, id)) filter (where verification_verdict = 'unsupported')::bigint unsupported_count,
+        count(distinct (repo, id)) filter (where behavior = 'expected')::bigint expected_count,
+        count(distinct (repo, id)) filter (where behavior = 'unexpected')::bigint unexpected_count, count(distinct (repo, id))::bigint assessed_findings,
+        count(distinct (repo, id)) filter (where verification_verdict = 'static-confirmed')::bigint static_confirmed_count,
+        count(distinct (repo, id)) filter (where verification_verdict = 'static-only')::bigint static_only_count,
+        count(distinct (repo, id)) filter (where verification_verdict = 'not-assessed')::bigint not_assessed_count,
         count(*) filter (where behavior = 'expected')::bigint noise_filtered_count,
         count(*) filter (where behavior <> 'expected' and verification_verdict = 'static-confirmed')::bigint valued_findings_count,
         'strict' verification_policy, false truncated from merged""",
@@ -181,7 +202,8 @@ SQL: dict[str, str] = {
         union all select 'valued', count(*) from merged where behavior <> 'expected' and verification_verdict = 'static-confirmed'
         union all select 'blueprints', count(*) from plan union all select 'flows', count(*) from flows union all select 'routes', count(*) from route
         union all select 'total', count(*) from found""",
-    "write_report": "select agent, count(*)::bigint findings, count(distinct file)::bigint files from domain group by agent",
+    "write_report": """select *, '{"agent":"' || agent || '","files":' || files || ',"findings":' || findings || '}' "document"
+        from (select agent, count(*)::bigint findings, count(distinct file)::bigint files from domain group by agent)""",
     "stream_scan": """select d.repo, d.id, d.check_id, d.severity, d.file, d.line::int line, d.snippet, d.rule from domain d""",
     "stream_dedupe": """select d.repo, d.id, d.check_id, d.file, d.line::int line from domain d""",
     "stream_severity": """select w::timestamp window_start, (w + interval 1 hour)::timestamp window_end, severity, count(*)::bigint findings from (

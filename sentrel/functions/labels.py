@@ -48,16 +48,18 @@ class LabelTables:
 
     The default sanitizer names have no word boundary (``print(`` counts as the cast
     ``int(``) and the parameter-binding pattern takes any ``:name``; ``bounded`` gives the
-    variant with a boundary before each name.
+    variant with a boundary before each name. A source whose expression also names a sanitizer starts unsanitized
+    taint, unless ``sanitized_sources`` is set.
     """
 
     sources: Labels = SOURCES
     sinks: Labels = SINKS
     sanitizers: Labels = SANITIZERS
+    sanitized_sources: bool = False
 
     def bounded(self) -> LabelTables:
         named = [(p.replace("(?i)(?:", r"(?i)\b(?:", 1), label) for p, label in self.sanitizers]
-        return LabelTables(self.sources, self.sinks, tuple(named))
+        return LabelTables(self.sources, self.sinks, tuple(named), self.sanitized_sources)
 
 
 DEFAULT_LABELS = LabelTables()

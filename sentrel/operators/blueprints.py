@@ -106,12 +106,13 @@ def blueprints(findings: DataFrame) -> DataFrame:
 
 
 def attach_blueprints(findings: DataFrame, plans: DataFrame) -> DataFrame:
-    """Left join the plan texts onto the findings; two findings of one id share a plan."""
+    """The plan texts on the findings; two findings of one id share a plan.
+
+    Plans are made of research findings, and no others share their ids, so only these are joined.
+    """
     text = plans.groupBy("repo", F.col("source_finding_id").alias("id")).agg(F.max("poc_payload").alias("plan"))
+    research = F.col("check_id").startswith("research-")
     none = F.array().cast(findings.schema["taint_path"].dataType)
-    return (
-        findings.join(text, ["repo", "id"], "left")
-        .withColumn("poc_payload", F.coalesce("plan", "poc_payload"))
-        .withColumn("taint_path", F.coalesce("taint_path", none))
-        .select(*findings.columns)
-    )
+    joined = findings.filter(research).join(text, ["repo", "id"], "left").withColumn("poc_payload", F.coalesce("plan", "poc_payload"))
+    others = findings.filter(~research).select(*findings.columns)
+    return joined.select(*findings.columns).unionByName(others).withColumn("taint_path", F.coalesce("taint_path", none)).select(*findings.columns)

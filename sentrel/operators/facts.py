@@ -76,6 +76,7 @@ def line_steps(lines: Column, labels: LabelTables) -> Column:
         return F.when(matters, let(found, lambda s: F.when(s["sink"].isNotNull() | s["assigned"].isNotNull() | s["has_call"], whole(line, index, s))))
 
     def whole(line: Column, index: Column, s: Column) -> Column:
+        by_rhs = first_label(s["assigned"]["rhs"], labels.sanitizers)
         return F.struct(
             (index + 1).alias("line"),
             line.alias("text"),
@@ -88,7 +89,8 @@ def line_steps(lines: Column, labels: LabelTables) -> Column:
             s["assigned"]["var"].alias("var"),
             words(s["assigned"]["rhs"]).alias("rhs_words"),
             F.when(s["has_source"], first_match(s["assigned"]["rhs"], labels.sources)).alias("rhs_source"),
-            first_label(s["assigned"]["rhs"], labels.sanitizers).alias("rhs_sanitizer"),
+            by_rhs.alias("rhs_sanitizer"),
+            (by_rhs if labels.sanitized_sources else F.lit(None).cast("string")).alias("source_sanitizer"),
             s["has_call"].alias("has_call"),
         )
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sentrel.catalogue import AGENTS, CHECKS, Rule
 from sentrel.operators.corpus import dependency_inventory
 from sentrel.operators.verdicts import report_order
-from sentrel.sources.rules import rules_frame, to_rules
+from sentrel.sources.rules import rules_frame, to_rules, usable_patterns
 
 # --- Fixed values ------------------------------------------------------------
 DIGEST_ROWS, DIGEST_SNIPPET = 40, 100
@@ -48,48 +48,65 @@ def check_counts(findings: DataFrame, rules: DataFrame | Iterable[Rule] = CHECKS
 
 
 def agent_rollup(findings: DataFrame, files: DataFrame, rules: DataFrame | Iterable[Rule] = CHECKS, unparsed: DataFrame | None = None) -> DataFrame:
-    """Per agent: findings, manifests seen, sub-agents and status.
+    """Per agent: findings, manifests seen, sub-agents, those that failed, and status.
 
-    ``unparsed`` is a table of files that failed to parse; any row turns the status into
-    ``completed_with_errors``. The manifest paths themselves stay a table
-    (``dependency_inventory``), so no row grows with the corpus.
+    ``unparsed`` is a table of files that failed to parse: a check that looks at code events has not seen them, and
+    neither has a check all of a pattern that does not compile. Such checks are failed sub-agents, and their agent
+    ``completed_with_errors``. The manifest paths themselves stay a table (``dependency_inventory``), so no row grows
+    with the corpus.
     """
     spark = findings.sparkSession
-    known = rules_frame(spark, to_rules(rules)).groupBy("agent").agg(
-        F.array_sort(F.collect_set(F.concat_ws(".", "agent", "check_id"))).alias("sub_agents")
+    given = to_rules(rules)
+    every = dict.fromkeys(p for rule in given for p in (*rule.patterns, *rule.exclude_patterns))
+    usable = set(usable_patterns(spark, every))
+    checks = [
+        (rule.agent, f"{rule.agent}.{rule.check_id}", rule.kind == "ast_or_regex", not usable.issuperset((*rule.patterns, *rule.exclude_patterns)))
+        for rule in given
+    ]
+    known = spark.createDataFrame(checks, "agent string, sub_agent string, parses boolean, rejected boolean")
+    failed = (spark.range(0).select("id") if unparsed is None else unparsed).agg(F.count("*").alias("failed_files"))
+    # The other sides of the cross joins are single rows.
+    lost = F.when(F.col("rejected") | (F.col("parses") & (F.col("failed_files") > 0)), F.col("sub_agent"))
+    known = known.crossJoin(F.broadcast(failed)).groupBy("agent").agg(
+        F.array_sort(F.collect_set("sub_agent")).alias("sub_agents"), F.array_sort(F.collect_set(lost)).alias("failed_sub_agents")
     )
     counted = findings.groupBy("agent").agg(F.count("*").alias("n"))
     manifests = dependency_inventory(files).agg(F.count("*").alias("dependency_files"))
-    failed = (spark.range(0).select("id") if unparsed is None else unparsed).agg(F.count("*").alias("failed_files"))
     names = F.create_map(*[F.lit(x) for pair in AGENTS.items() for x in pair])
-    # Both sides of the cross joins are single rows.
     return (
         known.join(counted, "agent", "left")
         .crossJoin(F.broadcast(manifests))
-        .crossJoin(F.broadcast(failed))
         .select(
             "agent",
             F.coalesce(F.try_element_at(names, F.col("agent")), F.col("agent")).alias("display_name"),
             F.coalesce("n", F.lit(0)).cast("long").alias("finding_count"),
             "dependency_files",
             "sub_agents",
-            F.when(F.col("failed_files") > 0, "completed_with_errors").otherwise("completed").alias("status"),
+            "failed_sub_agents",
+            F.when(F.size("failed_sub_agents") > 0, "completed_with_errors").otherwise("completed").alias("status"),
         )
     )
 
 
 def verification_summary(merged: DataFrame, valued: DataFrame, policy: str = "strict", truncated: bool = False) -> DataFrame:
-    """One row of verification counts; findings are counted by distinct id."""
+    """One row of verification counts; findings are counted by distinct id.
+
+    A part that was not asked for, so that no finding has its annotation, is ``skipped``; else it is ``completed``.
+    """
     per_id = merged.groupBy("repo", "id").agg(
-        F.first("behavior").alias("behavior"), F.first("verification_verdict").alias("verdict"), F.count("*").alias("n")
-    )
+        F.first("behavior").alias("behavior"), F.first("verification_verdict").alias("verdict"), F.count("*").alias("n"),
+        F.max(F.col("behavior_rationale") != "").alias("told"),
+    )
+    ran = lambda told: F.when(F.coalesce(F.max(told), F.lit(True)), "completed").otherwise("skipped")
     counts = per_id.agg(
+        ran(F.col("told")).alias("behavior_status"),
         F.count_if(F.col("behavior") == "expected").alias("expected_count"),
         F.count_if(F.col("behavior") == "unexpected").alias("unexpected_count"),
+        ran(F.col("verdict").isNotNull()).alias("verification_status"),
         F.count("verdict").alias("assessed_findings"),
         *[
             F.count_if(F.col("verdict") == v).alias(v.replace("-", "_") + "_count")
-            for v in ("static-confirmed", "static-only", "unsupported", "not-assessed")
+            for v in ("verified", "static-confirmed", "not-reproduced", "static-only", "unsupported", "not-assessed")
         ],
         F.coalesce(F.sum(F.when(F.col("behavior") == "expected", F.col("n"))), F.lit(0)).alias("noise_filtered_count"),
     )
@@ -148,9 +165,10 @@ def rule_lookup(requests: DataFrame, rules: DataFrame | Iterable[Rule] = CHECKS)
     )
 
 
-def evidence_digest(evidence: DataFrame, topic: str, n: int = EVIDENCE_ROWS) -> DataFrame:
-    """The first pages by input order, cut and joined under a topic."""
-    part = F.concat(F.lit("URL: "), "url", F.lit("\n"), F.substring("text", 1, EVIDENCE_CHARS))
+def evidence_digest(evidence: DataFrame, topic: str, n: int = EVIDENCE_ROWS, chars: int | None = EVIDENCE_CHARS) -> DataFrame:
+    """The first ``n`` pages by input order, each cut at ``chars`` (None: whole), joined under a topic."""
+    text = F.col("text") if chars is None else F.substring("text", 1, chars)
+    part = F.concat(F.lit("URL: "), "url", F.lit("\n"), text)
     first = evidence.orderBy("page_id").limit(n).select("page_id", part.alias("part"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("page_id", "part"))), lambda p: p["part"])
     return first.agg(F.array_join(parts, "\n\n").alias("digest")).select(F.lit(topic).alias("topic"), "digest")

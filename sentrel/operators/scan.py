@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from sentrel.functions.prefilter import line_gate, may_match
 from sentrel.functions.rows import explode_once, inline_once, settle
 from sentrel.functions.text import SNIPPET_CHARS, base_name, finding_id, redact, split_lines
 from sentrel.operators.corpus import explode_lines
+from sentrel.session import stored
 from sentrel.sources.rules import rules_frame, to_rules, usable_patterns
 
 TAINT_STEP = "struct<file:string,line:int,variable:string,operation:string>"
@@ -139,14 +140,14 @@ def filename_scan(files: DataFrame, rules: DataFrame | Iterable[Rule] = CHECKS)
     )
 
 
-def _event_hits(rule: Rule) -> Column:
+def _event_hits(rule: Rule, line: Callable[[Column], Column]) -> Column:
     """The wanted events of one rule with the text of their line."""
     return F.transform(
         _wanted(F.col("events"), rule),
         lambda e: F.struct(
             F.lit(rule.check_id).alias("check_id"),
             e["line_no"].alias("line_no"),
-            F.try_element_at("text_lines", e["line_no"]).alias("line"),
+            line(e).alias("line"),
             e["seq"].alias("seq"),
             e["message"].alias("rule"),
         ),
@@ -162,7 +163,8 @@ def code_event_scan(files: DataFrame, rules: DataFrame | Iterable[Rule] = CHECKS
     python = files.filter(F.endswith("path", F.lit(".py"))).select("repo", "path", "text", code_events("text").alias("events"))
     found = settle(python, "repo", "path", "events", text_lines=split_lines(F.col("text")))
     hits = [F.array().cast("array<struct<check_id:string,line_no:int,line:string,seq:int,rule:string>>")]
-    hits += [_event_hits(rule) for rule in to_rules(rules) if rule.kind == "ast_or_regex"]
+    text_of = lambda e: F.try_element_at("text_lines", e["line_no"])
+    hits += [_event_hits(rule, text_of) for rule in to_rules(rules) if rule.kind == "ast_or_regex"]
     rows = inline_once(found, "repo", "path", structs=F.concat(*hits))
     return (
         rows.groupBy("repo", "path", "line_no", "line", "check_id")
@@ -212,18 +214,40 @@ def project_finding(matches: DataFrame, rules: DataFrame | Iterable[Rule] = CHEC
     )
 
 
+def fact_event_hits(facts: DataFrame, rules: Iterable[Rule]) -> DataFrame:
+    """The wanted code events of stored facts as matches, the last one of each line and check."""
+    hits = [F.array().cast("array<struct<check_id:string,line_no:int,line:string,seq:int,rule:string>>")]
+    hits += [_event_hits(rule, lambda e: e["line"]) for rule in rules if rule.kind == "ast_or_regex"]
+    rows = inline_once(facts.filter(F.size("events") > 0), "repo", "path", structs=F.concat(*hits))
+    last = rows.groupBy("repo", "path", "line_no", "line", "check_id").agg(F.max_by("rule", "seq").alias("rule"))
+    return last.select("repo", "path", "line_no", "line", "check_id", "rule")
+
+
 def audit_agent(
     files: DataFrame,
     rules: DataFrame | Iterable[Rule] = CHECKS,
     agent: str | None = None,
     ids: Sequence[str] | None = None,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
-    """Findings of all checks, of one agent, or of the ids given (see ``select_checks``)."""
+    """Findings of all checks, of one agent, or of the ids given (see ``select_checks``).
+
+    With ``facts`` no text is parsed: their code events replace matches of the same check and line.
+    """
     chosen = [
         rule
         for rule in to_rules(rules)
         if (not ids or rule.check_id in ids) and (agent is None or rule.agent == agent)
     ]
-    watched = any(rule.kind == "ast_or_regex" for rule in chosen)
-    lines = audit_lines(files) if watched else explode_lines(files)
-    return project_finding(pattern_scan(lines, chosen).unionByName(filename_scan(files, chosen)), chosen)
+    watched = [rule.check_id for rule in chosen if rule.kind == "ast_or_regex"]
+    if not watched:
+        matches = pattern_scan(explode_lines(files), chosen)
+    elif facts is None:
+        matches = pattern_scan(audit_lines(files), chosen)
+    else:
+        hits = stored(pattern_scan(explode_lines(files), chosen), "hits")
+        events = stored(fact_event_hits(facts, chosen), "event-hits")
+        key = ["repo", "path", "line_no", "check_id"]
+        both = hits.filter(F.col("check_id").isin(*watched)).join(events.select(*key), key, "left_anti")
+        matches = hits.filter(~F.col("check_id").isin(*watched)).unionByName(both).unionByName(events)
+    return project_finding(matches.unionByName(filename_scan(files, chosen)), chosen)

@@ -7,11 +7,12 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentrel.catalogue import AGENTS
+from sentrel.catalogue import CHECKS, Rule
 from sentrel.functions.rows import explode_once
 from sentrel.functions.text import base_name, finding_id, redact
 from sentrel.operators.corpus import dependency_inventory, explode_lines, is_manifest
 from sentrel.operators.scan import as_findings
+from sentrel.sources.rules import to_rules
 
 # --- Fixed values ------------------------------------------------------------
 UNPINNED = (r'(?i)"?\*"?\s*[:=]', r"(?i)(latest|master|main)\b")
@@ -82,18 +83,14 @@ def dep_scripts(files: DataFrame) -> DataFrame:
     )
 
 
-def dep_requested_by(files: DataFrame, agents: Iterable[str] = tuple(AGENTS)) -> DataFrame:
+def dep_requested_by(files: DataFrame, rules: Iterable[Rule] = CHECKS) -> DataFrame:
     """Per tree with a manifest, the sorted agents whose report lists one.
 
-    Every agent that runs lists every manifest, so the set is at most the agents given.
+    Every agent that runs, that is every agent of the rules, lists every manifest.
     """
-    agent = F.explode(F.array(*[F.lit(a) for a in agents])).alias("agent")
-    return (
-        dependency_inventory(files)
-        .select("repo", agent)
-        .groupBy("repo")
-        .agg(F.array_sort(F.collect_set("agent")).alias("requested_by"))
-    )
+    ran = sorted({rule.agent for rule in to_rules(rules)})
+    agents = F.array(*[F.lit(a) for a in ran]).cast("array<string>")
+    return dependency_inventory(files).select("repo").distinct().select("repo", agents.alias("requested_by"))
 
 
 def audit_supply_chain(files: DataFrame) -> DataFrame:

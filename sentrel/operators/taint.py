@@ -168,16 +168,17 @@ def _mark(file: Column, line: Column, variable: Column, operation: Column) -> Co
     return F.struct(file.alias("file"), line.alias("line"), variable.alias("variable"), operation.alias("operation"))
 
 
-def _fresh(file: Column, line: Column, source: Column, *more: Column) -> Column:
+def _fresh(file: Column, line: Column, source: Column, *more: Column, sanitizer: Column | None = None) -> Column:
     """Taint that starts here; ``more`` are further steps of its path."""
+    sanitizer = F.lit(None).cast("string") if sanitizer is None else sanitizer
     start = _mark(file, line, source["matched"], F.lit("source"))
     return F.struct(
         F.array(start, *more).alias("path"),
         source["label"].alias("kind"),
         file.alias("file"),
         line.alias("line"),
-        F.lit(False).alias("sanitized"),
-        F.lit(None).cast("string").alias("sanitizer"),
+        sanitizer.isNotNull().alias("sanitized"),
+        sanitizer.alias("sanitizer"),
         line.alias("def_line"),
         F.lit(False).alias("inherited"),
     ).cast(TAINT)
@@ -232,7 +233,7 @@ def _fold(units: DataFrame, follow_calls: bool = True) -> DataFrame:
     def assign(vars_: Column, s: Column) -> Column:
         target = _mark(file, s["line"], s["var"], F.lit("propagate"))
         operation = F.when(s["rhs_sanitizer"].isNotNull(), "sanitize").otherwise("propagate")
-        taint = F.when(s["rhs_source"].isNotNull(), _fresh(file, s["line"], s["rhs_source"], target)).otherwise(
+        taint = F.when(s["rhs_source"].isNotNull(), _fresh(file, s["line"], s["rhs_source"], target, sanitizer=s["source_sanitizer"])).otherwise(
             let(
                 earliest(vars_, s["rhs_words"]),
                 lambda used: F.when(
@@ -303,10 +304,11 @@ def _tainted_arguments(folded: DataFrame, key: list[str], labels: LabelTables) -
     )
 
     def argument(text: Column, index: Column) -> Column:
+        cleaned = first_label(text, labels.sanitizers) if labels.sanitized_sources else None
         taint = let(
             first_match(text, labels.sources),
             lambda source: F.when(text.isin("this", "self"), F.lit(None).cast(TAINT))
-            .when(source.isNotNull(), _fresh(F.col("path"), F.col("line"), source))
+            .when(source.isNotNull(), _fresh(F.col("path"), F.col("line"), source, sanitizer=cleaned))
             .otherwise(earliest(F.col("vars"), words(text))["taint"]),
         )
         return F.struct(index.alias("position"), taint.alias("taint"))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrel.catalogue import SEVERITY_RANK, UNKNOWN_RANK
-from sentrel.functions.text import base_name, segments, suffix
-from sentrel.operators.structure import parse_files
+from sentrel.functions.text import base_name, detect_language, segments, suffix
+from sentrel.operators.structure import parsed_rows
 
 # --- Fixed values ------------------------------------------------------------
 NOISE_SEGMENTS = (
@@ -97,30 +97,21 @@ def behaviour_counts(usage: DataFrame) -> DataFrame:
     )
 
 
-def static_verdicts(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """``(repo, id, check_id, file, line, verdict, reason)``, one row per id.
+def file_ranges(parsed: DataFrame) -> DataFrame:
+    """``(repo, file, known, parsed, ranges)`` of facts or parsed files: the line ranges of Python functions, no text."""
+    python = suffix(F.col("path")) == ".py"
+    ranges = F.transform("functions", lambda f: F.struct(f["start_line"].alias("s"), f["end_line"].alias("e")))
+    return parsed.select(
+        "repo", F.col("path").alias("file"), F.lit(True).alias("known"),
+        F.when(python, F.col("parsed")).alias("parsed"), F.when(python, ranges).alias("ranges"),
+    )
 
-    Only the part of a verdict that needs no execution: findings inside a Python function
-    stay ``not-assessed``. Only Python files that hold a finding are parsed, and their
-    function ranges travel to the findings instead of the text.
+
+def verdict_columns() -> tuple[Column, Column]:
+    """``verdict`` and ``reason`` of a finding that stands beside the ranges of its file.
+
+    Only the part of a verdict that needs no execution: findings inside a Python function stay ``not-assessed``.
     """
-    asked = findings.select("repo", "id", "check_id", "file", "line", "rule").dropDuplicates(["repo", "id"])
-    paths = asked.select("repo", F.col("file").alias("path")).distinct()
-    held = files.join(paths, ["repo", "path"], "left_semi")
-    python = suffix(F.col("path")) == ".py"
-    ranges = parse_files(held.filter(python)).select(
-        "repo",
-        F.col("path").alias("file"),
-        "parsed",
-        F.transform("functions", lambda f: F.struct(f["start_line"].alias("s"), f["end_line"].alias("e"))).alias("ranges"),
-    )
-    others = held.filter(~python).select(
-        "repo",
-        F.col("path").alias("file"),
-        F.lit(None).cast("boolean").alias("parsed"),
-        F.lit(None).cast("array<struct<s:int,e:int>>").alias("ranges"),
-    )
-    known = ranges.unionByName(others).withColumn("known", F.lit(True))
     ext = suffix(F.col("file"))
     inside = F.exists("ranges", lambda r: F.col("line").between(r["s"], r["e"]))
     confirmed = F.col("check_id").isin(*CONFIRMED_CHECKS) | F.col("rule").isin(*CONFIRMED_RULES)
@@ -143,10 +134,37 @@ def static_verdicts(findings: DataFrame, files: DataFrame) -> DataFrame:
     only = F.concat(
         F.lit("no runtime harness for '"), shown, F.lit("' in the sandbox; exercise the proof blueprint in an isolated fixture")
     )
-    return asked.join(known, ["repo", "file"], "left").select(
-        "repo", "id", "check_id", "file", "line",
-        verdict.otherwise("static-only").alias("verdict"), reason.otherwise(only).alias("reason"),
-    )
+    return verdict.otherwise("static-only"), reason.otherwise(only)
+
+
+def static_verdicts(findings: DataFrame, files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """``(repo, id, check_id, file, line, verdict, reason)``, one row per id.
+
+    With ``facts`` nothing is parsed; else each Python file is, where it is, and only the ranges of its functions move.
+    """
+    asked = findings.select("repo", "id", "check_id", "file", "line", "rule").dropDuplicates(["repo", "id"])
+    if facts is None:
+        rows = files.withColumn("language", detect_language(F.col("path")))
+        facts = parsed_rows(rows.withColumn("text", F.when(suffix(F.col("path")) == ".py", F.col("text"))))
+    verdict, reason = verdict_columns()
+    return asked.join(file_ranges(facts), ["repo", "file"], "left").select(
+        "repo", "id", "check_id", "file", "line", verdict.alias("verdict"), reason.alias("reason")
+    )
+
+
+def annotated(findings: DataFrame, facts: DataFrame | None, usage: bool = True) -> DataFrame:
+    """Findings with behaviour and verdict as columns, as ``merge_verification`` gives them for verdicts of all findings.
+
+    Behaviour follows from the row itself, and the verdict from the ranges of its file, so nothing is grouped by id.
+    Without ``facts`` verdicts are null, without ``usage`` behaviour counts as unexpected.
+    """
+    none = F.lit(None).cast("string")
+    if facts is not None:
+        findings = findings.join(file_ranges(facts), ["repo", "file"], "left")
+    behavior, rationale = usage_columns() if usage else (F.lit("unexpected"), F.lit(""))
+    verdict = verdict_columns()[0] if facts is not None else none
+    rows = findings.withColumns({"behavior": behavior, "behavior_rationale": rationale, "verification_verdict": verdict})
+    return rows.withColumn("poc_verified", F.col("verification_verdict") == "verified").drop("known", "parsed", "ranges")
 
 
 def verify_candidates(findings: DataFrame, limit: int | None = MAX_VERIFY) -> DataFrame:

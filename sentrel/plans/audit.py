@@ -14,6 +14,7 @@ from sentrel.functions.labels import DEFAULT_LABELS, LabelTables
 from sentrel.functions.parsing import python_units
 from sentrel.operators.blueprints import attach_blueprints, blueprints
 from sentrel.operators.corpus import dependency_inventory
+from sentrel.operators.facts import collect_facts
 from sentrel.operators.rollups import (
     agent_rollup,
     all_findings,
@@ -22,18 +23,19 @@ from sentrel.operators.rollups import (
     severity_counts,
     verification_summary,
 )
-from sentrel.operators.routes import business_logic, checked_routes, logic_findings
+from sentrel.operators.routes import business_logic, logic_findings, windows_of
 from sentrel.operators.scan import audit_agent
 from sentrel.operators.supply import audit_supply_chain, dep_requested_by
 from sentrel.operators.taint import flow_counts, taint_findings, taint_flows
 from sentrel.operators.verdicts import (
+    annotated,
     expected_usage,
     merge_verification,
     static_verdicts,
     valued_findings,
     verify_candidates,
 )
-from sentrel.session import cut_lineage
+from sentrel.session import stored
 
 SCHEMA_VERSION = "1.0"
 
@@ -52,15 +54,20 @@ def collect_findings(
     with_taint: bool = True,
     with_logic: bool = True,
     labels: LabelTables = DEFAULT_LABELS,
+    facts: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """The bag union of every analysis, and the flows behind the taint findings."""
-    parts = [audit_agent(files, rules), audit_supply_chain(files)]
+    """The bag union of every analysis, and the flows behind the taint findings.
+
+    Texts are read twice, by the facts and by the line scan; manifests once more.
+    """
+    facts = collect_facts(files, labels) if facts is None else facts
+    parts = [audit_agent(files, rules, facts=facts), audit_supply_chain(files)]
     flows = None
     if with_taint:
-        flows = cut_lineage(taint_flows(files, labels, max_candidates=None))
+        flows = stored(taint_flows(files, labels, facts=facts), "flows")
         parts.append(taint_findings(flows))
     if with_logic:
-        parts += [logic_findings(files), business_logic(files)]
+        parts += [logic_findings(files, windows_of(facts)), business_logic(files, facts)]
     return all_findings(*parts), flows
 
 
@@ -78,34 +85,37 @@ def audit(
 ) -> Audit:
     """Run the analyses, annotate their findings and roll them up.
 
-    All findings get a verdict unless ``verify_limit`` asks for the first ones only. Blueprints need the taint and route findings, so asking for them runs both. Findings
-    are the small end of the corpus: they are checkpointed once and every annotation and
-    roll-up reads that table.
+    All findings get a verdict unless ``verify_limit`` asks for the first ones only. Blueprints need the taint and route
+    findings, so asking for them runs both. The facts of the files and the findings are stored once; every annotation
+    and roll-up reads these tables.
     """
     if with_blueprints:
         with_taint = with_logic = True
-    findings, flows = collect_findings(files, rules, with_taint, with_logic, labels)
-    findings = cut_lineage(findings)
+    facts = collect_facts(files, labels)
+    findings, flows = collect_findings(files, rules, with_taint, with_logic, labels, facts)
+    findings = stored(findings, "findings")
     if with_blueprints:
         plans = blueprints(findings)
         findings = attach_blueprints(findings, plans)
     tables: dict[str, DataFrame] = {}
-    usage = expected_usage(findings) if with_behaviour else None
-    verdicts = static_verdicts(verify_candidates(findings, verify_limit), files) if with_verdicts else None
-    merged = merge_verification(findings, usage, verdicts)
+    if verify_limit is None or not with_verdicts:
+        merged = annotated(findings, facts if with_verdicts else None, with_behaviour)
+    else:
+        verdicts = static_verdicts(verify_candidates(findings, verify_limit), files, facts)
+        merged = merge_verification(findings, expected_usage(findings) if with_behaviour else None, verdicts)
     if with_behaviour or with_verdicts:
-        merged = cut_lineage(merged)
+        merged = stored(merged, "merged")
         valued = valued_findings(merged, policy)
         tables["valued_findings"] = valued
-        total = findings.count() if verify_limit is not None and with_verdicts else 0
-        truncated = verify_limit is not None and total > verify_limit
+        truncated = verify_limit is not None and with_verdicts and findings.count() > verify_limit
         tables["verification"] = verification_summary(merged, valued, policy, truncated)
+    unparsed = facts.filter("language = 'python' and not parsed").select("repo", "path")
     tables.update(
         findings=merged,
         severity_counts=severity_counts(findings),
         check_counts=check_counts(findings, rules),
-        agents=agent_rollup(findings, files, rules, unparsed_files(files)),
-        supply_chain=dep_requested_by(files),
+        agents=agent_rollup(findings, files, rules, unparsed),
+        supply_chain=dep_requested_by(files, rules),
         dependency_files=dependency_inventory(files),
         digest=findings_digest(findings),
     )
@@ -114,7 +124,8 @@ def audit(
     if flows is not None:
         tables["flow_counts"] = flow_counts(flows)
     if with_logic:
-        tables["routes"] = checked_routes(files)
+        counted = F.coalesce(F.sum(F.size("windows")), F.lit(0)).cast("long")
+        tables["routes"] = facts.filter("windows is not null").agg(counted.alias("checked_routes"))
     tables["report"] = report_row(tables)
     return Audit(merged, tables)
 
@@ -135,7 +146,7 @@ def report_row(tables: dict[str, DataFrame]) -> DataFrame:
     )
     agents = tables["agents"].agg(
         F.array_sort(
-            F.collect_list(F.struct("agent", "display_name", "finding_count", "dependency_files", "sub_agents", "status"))
+            F.collect_list(F.struct("agent", "display_name", "finding_count", "dependency_files", "sub_agents", "failed_sub_agents", "status"))
         ).alias("agents"),
         F.min(F.col("status") == "completed").alias("all_completed"),
         F.array_sort(F.array_compact(F.collect_list(F.when(F.col("status") != "completed", F.col("display_name"))))).alias("failed_agents"),

@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrel.catalogue import CHECKS, Rule
-from sentrel.fixtures import files_from_documents, fixture_files
+from sentrel.fixtures import SKELETONS, files_from_documents, fixture_files
 from sentrel.functions.labels import LabelTables
 from sentrel.functions.text import base_name, finding_id, redact, split_lines, strip_code
 from sentrel.operators import blueprints as bp
 from sentrel.operators import corpus, rollups, routes, scan, structure, supply, taint, verdicts
-from sentrel.plans.audit import audit, collect_findings
+from sentrel.plans.audit import audit, collect_findings, unparsed_files
 from sentrel.session import cut_lineage, shared_folder
 from sentrel.sources import evidence, report, rules, tables, tree
 from sentrel.streaming import scan as streaming
@@ -81,10 +81,17 @@ def scan_corpus(spark, sf):
 
 @query
 def scan_patches(spark, sf):
+    """Every file as a patch with removed and added lines, beside originals that the glob leaves out."""
     root = shared_folder(spark, "patches")
-    flat = fixture_files(spark, sf).filter(F.endswith("path", F.lit(".md"))).withColumn("path", base_name(F.col("path")))
-    _write_tree(flat, root)
-    return tree.scan_patches(spark, root, "*.md").select("path", "size")
+    files = fixture_files(spark, sf).withColumn("number", F.regexp_extract("path", r"_(\d+)", 1))
+    marked = F.transform(split_lines(F.col("text")), lambda line, i: F.concat(F.when(i % 2 == 0, "-").otherwise("+"), line))
+    head = F.concat(F.lit("--- a/"), "path", F.lit("\n+++ b/"), "path", F.lit("\n@@ -1 +1 @@\n"))
+    patch = F.struct(F.concat(F.lit("patch_"), "number", F.lit(".patch")).alias("path"), F.concat(head, F.array_join(marked, "\n")).alias("text"))
+    original = F.struct(F.concat(F.lit("patch_"), "number", F.lit(".orig")).alias("path"), F.col("text"))
+    _write_tree(files.select(F.inline(F.array(patch, original))), root)
+    found = tree.scan_patches(spark, root, "*.patch")
+    hits = scan.pattern_scan(corpus.explode_lines(found)).groupBy("path").agg(F.count("*").alias("hits"))
+    return found.join(hits, "path", "left").select("path", "size", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
 
 
 @query
@@ -100,17 +107,23 @@ def evidence_scan(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     other = F.concat(F.lit("ftp"), F.regexp_replace("url", "^[^:]*", ""))
     mixed = pages.withColumn("url", F.when(F.col("page_id") % 10 == 0, other).otherwise(F.col("url")))
-    rows = evidence.evidence_scan(mixed, max_bytes=4096)
-    whole = F.when(~F.col("truncated"), F.md5(F.col("text").cast("binary")))
-    return rows.select("page_id", "url", "scheme", "error", "truncated", whole.alias("text_md5"))
+    whole = evidence.evidence_scan(mixed).select("page_id", F.md5(F.col("text").cast("binary")).alias("whole_md5"))
+    cut = evidence.evidence_scan(mixed, max_bytes=4096)
+    shown = cut.select("page_id", "url", "scheme", "error", "truncated", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return shown.join(whole, "page_id")
 
 
 @query
 def write_report(spark, sf):
+    """The findings as Parquet by agent and their counts as JSON documents with sorted keys, both read back."""
     out = shared_folder(spark, "report")
-    written = report.write_report({"findings": scan.audit_agent(fixture_files(spark, sf))}, out)
-    read = spark.read.parquet(written["findings"])
-    return read.groupBy("agent").agg(F.count("*").alias("findings"), F.count_distinct("file").alias("files"))
+    findings = scan.audit_agent(fixture_files(spark, sf))
+    counts = lambda df: df.groupBy("agent").agg(F.count("*").alias("findings"), F.count_distinct("file").alias("files"))
+    written = report.write_report({"findings": findings}, out)
+    read = counts(spark.read.parquet(written["findings"]))
+    written = report.write_report({"agent_counts": read}, out)
+    documents = spark.read.text(written["agent_counts"]).withColumnRenamed("value", "document")
+    return read.join(documents.withColumn("agent", F.get_json_object("document", "$.agent")), "agent")
 
 
 # --- Projections and filters ---------------------------------------------------
@@ -296,12 +309,12 @@ def _path_text(path: str = "taint_path") -> Column:
 
 over_files("taint_intra", lambda f: taint.taint_intra(f).filter(F.col("depth") == 0).select(*FLOW, _path_text()))
 over_files("taint_inter", lambda f: taint.taint_inter(f).select(*FLOW, _path_text()))
-over_files("taint_flows", lambda f: taint.taint_flows(f, max_candidates=None).select(*FLOW, _path_text()))
-over_files("taint_findings", lambda f: taint.taint_findings(taint.taint_flows(f, max_candidates=None)).select(*FINDING, _path_text()))
-over_files("taint_counts", lambda f: taint.flow_counts(taint.taint_flows(f, max_candidates=None)))
+over_files("taint_flows", lambda f: taint.taint_flows(f).select(*FLOW, _path_text()))
+over_files("taint_findings", lambda f: taint.taint_findings(taint.taint_flows(f)).select(*FINDING, _path_text()))
+over_files("taint_counts", lambda f: taint.flow_counts(taint.taint_flows(f)))
 over_files(
     "trace_dataflow",
-    lambda f: taint.trace_dataflow(f, "src/flow_17.py", "run_17").select(
+    lambda f: taint.trace_dataflow(f, "src/flow_23.py", "run_23").select(
         "source_file", "source_line", "sink_file", "sink_line", "sink_function", _path_text()
     ),
 )
@@ -352,7 +365,7 @@ over_files("business_logic_report", routes.business_logic_report)
 
 
 def _research(files: DataFrame) -> DataFrame:
-    return taint.taint_findings(taint.taint_flows(files, max_candidates=None)).unionByName(routes.logic_findings(files))
+    return taint.taint_findings(taint.taint_flows(files)).unionByName(routes.logic_findings(files))
 
 
 def _all(files: DataFrame) -> DataFrame:
@@ -417,7 +430,9 @@ over_findings("severity_counts", lambda d, f: rollups.severity_counts(d))
 over_files("check_counts", lambda f: rollups.check_counts(scan.audit_agent(f)))
 over_files(
     "agent_rollup",
-    lambda f: rollups.agent_rollup(scan.audit_agent(f), f).withColumn("sub_agents", joined("sub_agents")),
+    lambda f: rollups.agent_rollup(scan.audit_agent(f), f, unparsed=unparsed_files(f)).withColumns(
+        {c: joined(c) for c in ("sub_agents", "failed_sub_agents")}
+    ),
 )
 over_findings("verification_summary", _summary)
 over_findings("findings_digest", lambda d, f: rollups.findings_digest(d))
@@ -427,7 +442,7 @@ over_findings("findings_digest", lambda d, f: rollups.findings_digest(d))
 def rule_lookup(spark, sf):
     documents = spark.read.parquet(f"{sf}/documents.parquet")
     found = scan.audit_agent(fixture_files(spark, sf)).select("check_id", F.explode(F.array(F.lit(None).cast("string"), F.lit("infra"))).alias("agent"))
-    unknown = documents.select(F.concat(F.lit("unknown-"), (F.col("doc_id") % 14).cast("string")).alias("check_id"), F.lit(None).cast("string").alias("agent"))
+    unknown = documents.select(F.concat(F.lit("unknown-"), (F.col("doc_id") % len(SKELETONS)).cast("string")).alias("check_id"), F.lit(None).cast("string").alias("agent"))
     answers = rollups.rule_lookup(found.unionByName(unknown).distinct())
     return answers.select(
         "check_id", "agent", "name", "severity", "confidence", "remediation", joined("patterns", "\n").alias("patterns"), "note",
