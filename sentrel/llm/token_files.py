@@ -71,6 +71,14 @@ class Codes:
     def __len__(self) -> int:
         return len(self.levels[0][0]) if self.levels else 0
 
+    def all(self) -> np.ndarray:
+        """All ids in order; each level's chunks belong to the tokens that the bitmap above lets go on, so no ranks are needed."""
+        out, where = np.zeros(len(self), np.uint32), np.arange(len(self))
+        for level, (chunks, bitmap, _) in enumerate(self.levels):
+            out[where] |= chunks.astype(np.uint32) << np.uint32(BITS * level)
+            where = where[np.unpackbits(bitmap.view(np.uint8), count=len(chunks), bitorder="little").view(bool)]
+        return out
+
     def get(self, positions: np.ndarray) -> np.ndarray:
         """The ids at ``positions``, in any order."""
         positions = np.asarray(positions, np.int64)
@@ -89,9 +97,10 @@ class Codes:
 
 
 #: Marks that the vocabulary's pattern always cuts from a letter or digit before them, at the end of a word.
-TAIL = rb"[.,;:!?#$%&*)\x22]+"
-CUT = re.compile(rb"(?<=[a-z0-9])" + TAIL + rb"(?!\S)")
-MARKS = re.compile(TAIL)
+MARK = rb"[.,;:!?#$%&*)\x22]"
+#: Begins with the mark, which the search can look for, and then looks back at the character before it.
+CUT = re.compile(MARK + rb"(?<=[a-z0-9]" + MARK + rb")" + MARK + rb"*(?!\S)")
+MARKS = re.compile(MARK + rb"+")
 LATIN_END = "\u0250"
 JOINED = 1000
 
@@ -223,8 +232,7 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
             for row in batch.to_pylist():
                 codes, lengths = Codes(row["codes"]), np.array(row["lengths"], np.int64)
                 starts = np.cumsum(lengths) - lengths
-                # One access for the tokens of all documents of the segment, which are many short ones.
-                ids = np.split(codes.get(np.arange(len(codes))), starts[1:])
+                ids = np.split(codes.all(), starts[1:])
                 columns = {
                     "part": pa.array([row["part"]] * len(ids), pa.int32()),
                     "segment": pa.array([row["segment"]] * len(ids), pa.int32()),

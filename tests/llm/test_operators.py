@@ -57,8 +57,8 @@ def test_codes_give_any_token():
     ids = np.random.default_rng(1).choice([0, 1, 255, 256, 65_535, 65_536, 2**31], 5000).astype(np.uint32)
     codes = token_files.Codes(token_files.pack(ids))
     at = np.random.default_rng(2).integers(0, 5000, 700)
-    assert (codes.get(at) == ids[at]).all() and len(codes) == 5000
-    assert len(token_files.Codes(token_files.pack(ids[:0]))) == 0
+    assert (codes.get(at) == ids[at]).all() and (codes.all() == ids).all() and len(codes) == 5000
+    assert len(token_files.Codes(token_files.pack(ids[:0]))) == 0 == len(token_files.Codes(token_files.pack(ids[:0])).all())
 
 
 def test_token_files(spark, odd, none):
