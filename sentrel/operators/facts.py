@@ -40,25 +40,26 @@ JS_DEFAULT = r"^\s*(?:import|const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?:,|=|from\b
 PHP_USE = r"^\s*use\s+(function\s+)?([\w\\]+?)(?:\s+as\s+(\w+))?\s*;"
 
 
-def collect_facts(files: DataFrame, labels: LabelTables = DEFAULT_LABELS) -> DataFrame:
+def collect_facts(files: DataFrame, labels: LabelTables = DEFAULT_LABELS, with_logic: bool = True) -> DataFrame:
     """One stored row per file: ``repo, path, language, line_count, parsed, functions, imports, symbols, import_lines,
     events, steps, windows, business``.
 
     ``steps`` has an element for each line, null where the line does not matter for taint. Files of unknown languages
-    have routes and business hits only.
+    have routes and business hits only; without ``with_logic`` these are left out.
     """
-    return stored(file_facts(files, labels), "facts")
+    return stored(file_facts(files, labels, with_logic), "facts")
 
 
-def file_facts(files: DataFrame, labels: LabelTables = DEFAULT_LABELS) -> DataFrame:
+def file_facts(files: DataFrame, labels: LabelTables = DEFAULT_LABELS, with_logic: bool = True) -> DataFrame:
     rows = parsed_rows(files.withColumn("language", detect_language(F.col("path"))))
     rows = settle(rows, *rows.columns, steps=F.when(F.col("language").isNotNull(), line_steps(F.col("lines"), labels)))
-    rows = with_business(with_windows(with_routes(rows)))
+    if with_logic:
+        rows = with_business(with_windows(with_routes(rows)))
     other = F.col("language").isNotNull() & (F.col("language") != "python")
     import_lines = F.when(other, F.filter("lines", lambda line: line.rlike(IMPORT_LINE)))
     return rows.select(
         "repo", "path", "language", F.size("lines").alias("line_count"), "parsed", "functions", "imports", "symbols",
-        import_lines.alias("import_lines"), "events", "steps", "windows", "business",
+        import_lines.alias("import_lines"), "events", "steps", *(["windows", "business"] if with_logic else []),
     )
 
 

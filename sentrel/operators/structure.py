@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from sentrel.functions.parsing import CONTROL_WORDS, SIGNATURE_CHARS, function_spans, python_units
 from sentrel.functions.rows import inline_once, settle
+from sentrel.functions.spans import TARGET, places_of, targets_of
 from sentrel.functions.text import detect_language, split_lines, strip, strip_code
-from sentrel.session import cut_lineage
 
 # --- Fixed values ------------------------------------------------------------
 CALL_DEPTH = 2
@@ -118,17 +118,17 @@ def known_files(files: DataFrame) -> DataFrame:
     return files.withColumn("language", detect_language(F.col("path"))).filter(F.col("language").isNotNull())
 
 
-def parse_files(files: DataFrame, keep_text: bool = False) -> DataFrame:
-    """Adds ``lines``, ``parsed``, ``functions`` and ``imports`` to files of a known language.
+def parse_files(files: DataFrame, keep_text: bool = False, *carried: str) -> DataFrame:
+    """Adds ``lines``, ``parsed``, ``functions`` and ``imports`` to files of a known language; ``carried`` columns stay.
 
     Python is parsed with its own grammar; the other languages by brace structure over
     text without comments and literals. Each text visits a Python worker once.
     """
     kept = ["repo", "path", "language", *(["text"] if keep_text else []), "lines", "parsed", "functions", "imports"]
-    return parsed_rows(known_files(files)).select(*kept)
+    return parsed_rows(known_files(files), *carried).select(*kept, *carried)
 
 
-def parsed_rows(files: DataFrame) -> DataFrame:
+def parsed_rows(files: DataFrame, *carried: str) -> DataFrame:
     """``files`` with ``lines``, ``parsed``, ``functions``, ``imports``, ``symbols`` and ``events``.
 
     A file of an unknown language has its lines, and nulls. ``symbols`` are those of Python's own grammar; ``events`` are
@@ -142,16 +142,18 @@ def parsed_rows(files: DataFrame) -> DataFrame:
         "path",
         "language",
         "text",
+        *carried,
         python_units(F.when(python, text)).alias("py"),
         function_spans(F.when(scripted, strip_code(text, language)), language).alias("spans"),
     )
-    split = settle(shaped, "repo", "path", "language", "text", "py", "spans", lines=split_lines(text))
+    split = settle(shaped, "repo", "path", "language", "text", *carried, "py", "spans", lines=split_lines(text))
     return settle(
         split,
         "repo",
         "path",
         "language",
         "text",
+        *carried,
         "lines",
         parsed=F.when(python, F.col("py.parsed")).otherwise(F.when(scripted, F.lit(True))),
         functions=F.when(python, F.col("py.functions")).otherwise(
@@ -226,29 +228,18 @@ def callers(functions: DataFrame, edges: DataFrame | None = None) -> DataFrame:
 def enclosing_function(points: DataFrame, functions: DataFrame, prefer: str = "narrowest") -> DataFrame:
     """The function whose range holds each point's line, null when there is none.
 
-    ``narrowest`` takes the shortest range, ``latest`` the range that starts last.
-    ``points`` needs ``repo, path, line_no``; the join carries the file as equi key.
+    ``narrowest`` takes the shortest range, ``latest`` the range that starts last. ``points`` needs ``repo, path,
+    line_no``. The functions of a file and its points meet as two arrays of one row, in one sweep, so a file with
+    many of both is no product of them.
     """
-    ranges = functions.select("repo", "path", "qualname", "start_line", "end_line", "signature", "calls")
-    p, f = points.select("repo", "path", "line_no").distinct().alias("p"), ranges.alias("f")
-    inside = (
-        (F.col("p.repo") == F.col("f.repo"))
-        & (F.col("p.path") == F.col("f.path"))
-        & F.col("p.line_no").between(F.col("f.start_line"), F.col("f.end_line"))
-    )
-    length = F.col("f.end_line") - F.col("f.start_line")
-    order = (
-        F.struct(length, F.col("f.start_line"), F.col("f.qualname"))
-        if prefer == "narrowest"
-        else F.struct(-F.col("f.start_line"), length, F.col("f.qualname"))
-    )
-    picked = F.struct("f.qualname", "f.start_line", "f.end_line", "f.signature", "f.calls")
-    return (
-        p.join(f, inside, "left")
-        .groupBy("p.repo", "p.path", "p.line_no")
-        .agg(F.min_by(picked, order).alias("target"))
-        .select("repo", "path", "line_no", "target.*")
-    )
+    record = F.struct("qualname", "start_line", "end_line", "signature", "calls")
+    per_file = functions.groupBy("repo", "path").agg(F.collect_list(record).alias("functions"))
+    asked = points.groupBy("repo", "path").agg(F.array_sort(F.collect_set("line_no")).alias("points"))
+    rows = asked.join(per_file, ["repo", "path"], "left")
+    spans = F.transform("functions", lambda f: F.struct(f["start_line"], f["end_line"], f["qualname"]))
+    rows = rows.withColumn("places", places_of(prefer == "latest")(spans, F.col("points")))
+    pairs = F.zip_with("points", "places", lambda p, i: F.struct(p.alias("line_no"), F.get("functions", i).alias("target")))
+    return inline_once(rows, "repo", "path", structs=pairs).select("repo", "path", "line_no", "target.*")
 
 
 def call_neighbourhood(seeds: DataFrame, edges: DataFrame, depth: int = CALL_DEPTH) -> DataFrame:
@@ -297,34 +288,17 @@ def code_slices(points: DataFrame, files: DataFrame) -> DataFrame:
     edges by start line, and a window of 7 lines around the point. Outside: a window of
     15 lines. A file of an unsupported language gives an empty slice.
     """
-    asked = points.select("repo", "path", "line_no").distinct()
-    wanted = files.join(asked.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
-    parsed = parse_files(wanted)
-    functions = cut_lineage(functions_of(parsed))
-    edges = call_edges(functions)
-    target = enclosing_function(asked, functions)
-    around = call_neighbourhood(target.filter(F.col("qualname").isNotNull()), edges)
-    member = (
-        around.join(functions.select("repo", "path", "qualname", "start_line", "end_line"), ["repo", "path", "qualname"])
-        .groupBy("repo", "path", F.col("seed").alias("qualname"))
-        .agg(F.array_sort(F.collect_list(F.struct("start_line", "qualname", "end_line", "depth"))).alias("members"))
-    )
-    per_target = (
-        target.groupBy("repo", "path", "qualname", "start_line")
-        .agg(
-            F.array_sort(F.collect_list("line_no")).alias("points"),
-            *[F.first(c).alias(c) for c in ("signature", "calls")],
-        )
-        .join(member, ["repo", "path", "qualname"], "left")
-        .join(callers(functions, edges), ["repo", "path", "qualname"], "left")
-    )
-    target_row = F.struct("qualname", "start_line", "signature", "calls", "members", "callers", "points")
-    per_file = per_target.groupBy("repo", "path").agg(F.collect_list(target_row).alias("targets"))
-    # One row per file again: its lines are read in place, not copied per point.
-    whole = per_file.join(parsed.select("repo", "path", "lines", "imports"), ["repo", "path"], "left")
-    whole = whole.withColumn("language", detect_language(F.col("path")))
+    # Points and text of a file meet once; functions, calls and lines are then read in its row.
+    asked = points.groupBy("repo", "path").agg(F.array_sort(F.collect_set("line_no")).alias("points"))
+    rows = asked.join(files.select("repo", "path", "text"), ["repo", "path"], "left")
+    parsed = parse_files(rows, False, "points")
+    found = targets_of(CALL_DEPTH)(F.col("functions"), F.col("points"))
+    rows = settle(parsed.withColumn("found", found), "repo", "path", "language", "lines", "imports", targets=F.col("found"))
+    unknown = asked.withColumn("language", detect_language(F.col("path"))).filter("language is null")
+    none = lambda name: F.lit(None).cast(rows.schema[name].dataType).alias(name)
+    empty = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name != "points" else F.col("points") for f in TARGET])
+    rows = rows.unionByName(unknown.select("repo", "path", "language", none("lines"), none("imports"), F.array(empty).alias("targets")))
     # Field by field, so that each lambda stays shallow and nothing is computed twice.
-    rows = whole
     for name, value in (("bodies", _bodies), ("tokens", _tokens), ("kept", _kept), ("whole", _whole)):
         added = F.transform("targets", _adding(name, value))
         rows = settle(rows, "repo", "path", "language", "lines", "imports", targets=added)

@@ -290,7 +290,10 @@ def summaries(facts: DataFrame, labels: LabelTables = DEFAULT_LABELS) -> tuple[D
     folded = stored(folded, "summaries")
     key = ["repo", "path", "qualname", "start_line", "root"]
     sinks = folded.select(*key, "name", F.inline("flows")).filter(_told(F.col("taint")))
-    return bucketed(sinks, ["repo", "path"], "sinks"), bucketed(_tainted_arguments(folded, key, labels), ["repo", "path"], "calls")
+    calls = _tainted_arguments(folded, [*key, "name"], labels)
+    # The line of a definition names the function itself.
+    own = (F.col("line") == F.col("start_line")) & (F.substring_index("call", ".", -1) == F.substring_index("name", ".", -1))
+    return bucketed(sinks, ["repo", "path"], "sinks"), bucketed(calls.filter(~own).drop("name"), ["repo", "path"], "calls")
 
 
 def _tainted_arguments(folded: DataFrame, key: list[str], labels: LabelTables) -> DataFrame:
@@ -330,42 +333,36 @@ def call_targets(
     segment was imported from, by the name it has there, else (``by name``) any function of the tree with that last segment,
     ``max_candidates`` of them if given. A call without a callee has no row.
     """
-    sites = sites.select("repo", "path", "call").distinct()
     plain = F.rtrim("call", F.lit("$"))
-    sites = sites.withColumns(
-        {"segment": F.substring_index(plain, ".", -1), "head": F.substring_index(plain, ".", 1), "dotted": F.contains(plain, F.lit("."))}
-    )
-    sites = stored(sites, "sites")
+    sites = sites.select(
+        "repo", "path", "call", F.substring_index(plain, ".", -1).alias("segment"), F.substring_index(plain, ".", 1).alias("head"),
+        F.contains(plain, F.lit(".")).alias("dotted"),
+    ).distinct()
     callee = functions.select(
         "repo", F.col("path").alias("callee_path"), F.col("qualname").alias("callee"), F.col("name").alias("segment"),
         "start_line", F.transform("params", parameter_name).alias("params"),
     )
-    shown = ["repo", "path", "call", "callee_path", "callee", "start_line", "params", "way"]
-
-    def left_of(rows: DataFrame, found: DataFrame) -> DataFrame:
-        return rows.join(found.select("repo", "path", "call").distinct(), ["repo", "path", "call"], "left_anti")
+    site = ["repo", "path", "call"]
 
-    def limited(found: DataFrame) -> DataFrame:
-        if max_candidates is None:
-            return found
-        rank = F.row_number().over(Window.partitionBy("repo", "path", "call").orderBy("callee_path", "start_line", "callee"))
-        return found.withColumn("rank", rank).filter(F.col("rank") <= max_candidates)
+    def found(rows: DataFrame, way: str) -> DataFrame:
+        if max_candidates is not None:
+            rank = F.row_number().over(Window.partitionBy(*site).orderBy("callee_path", "start_line", "callee"))
+            rows = rows.withColumn("rank", rank).filter(F.col("rank") <= max_candidates)
+        return rows.select(*site, "callee_path", "callee", "start_line", "params", F.lit(way).alias("way"))
 
-    local = sites.join(callee.withColumn("path", F.col("callee_path")), ["repo", "path", "segment"])
-    local = stored(limited(local.withColumn("way", F.lit("same file"))).select(*shown), "local")
-    rest = left_of(sites, local)
+    local = found(sites.join(callee.withColumn("path", F.col("callee_path")), ["repo", "path", "segment"]), "same file")
+    defined = callee.select("repo", F.col("callee_path").alias("path"), "segment").distinct()
+    rest = sites.join(defined, ["repo", "path", "segment"], "left_anti")
     # A plain call uses the name it was imported by; a dotted one a name inside what was imported.
-    names = imported.withColumnRenamed("local", "head")
-    bound = rest.join(names, ["repo", "path", "head"])
+    bound = rest.join(imported.withColumnRenamed("local", "head"), ["repo", "path", "head"])
     bound = bound.withColumn("segment", F.when(F.col("dotted"), F.col("segment")).otherwise(F.coalesce("original", "segment")))
-    files = modules.withColumnRenamed("whole", "at_root")
-    bound = bound.join(files, ["repo", "module"]).filter(F.col("at_root") | ~F.col("whole"))
-    bound = bound.filter(F.col("module_path") != F.col("path")).select("repo", "path", "call", "segment", F.col("module_path").alias("callee_path")).distinct()
-    linked = bound.join(callee, ["repo", "callee_path", "segment"]).withColumn("way", F.lit("imported"))
-    linked = stored(limited(linked).select(*shown), "linked")
-    rest = left_of(rest, linked)
+    bound = bound.join(modules.withColumnRenamed("whole", "at_root"), ["repo", "module"]).filter(F.col("at_root") | ~F.col("whole"))
+    bound = bound.filter(F.col("module_path") != F.col("path"))
+    bound = bound.select(*site, "segment", F.col("module_path").alias("callee_path")).distinct()
+    linked = found(bound.join(callee, ["repo", "callee_path", "segment"]), "imported")
+    rest = rest.join(linked.select(*site).distinct(), site, "left_anti")
     named = _join_by_name(rest, callee.join(rest.select("repo", "segment").distinct(), ["repo", "segment"], "left_semi"), max_candidates)
-    return stored(local.unionByName(linked).unionByName(named.withColumn("way", F.lit("by name")).select(*shown)), "targets")
+    return local.unionByName(linked).unionByName(named.select(*linked.columns[:-1], F.lit("by name").alias("way")))
 
 
 def _join_by_name(calls: DataFrame, callee: DataFrame, max_candidates: int | None) -> DataFrame:
@@ -380,7 +377,7 @@ def _join_by_name(calls: DataFrame, callee: DataFrame, max_candidates: int | Non
         return calls.join(callee.withColumn("rank", rank).filter(F.col("rank") <= max_candidates), key)
     n = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count("*") / HOT_NAME).alias(name))
     hot = n(calls, "call_parts").join(n(callee, "defined_parts"), key).filter("call_parts > 1 or defined_parts > 1")
-    hot = F.broadcast(stored(hot, "hot"))
+    hot = F.broadcast(hot)
 
     def dealt(df: DataFrame, own: str, other: str, *by: str) -> DataFrame:
         parts = lambda name: F.coalesce(f"{name}_parts", F.lit(1))
@@ -501,8 +498,8 @@ def composed_flows(
     flows = _flows_of(start(sinks))
     if max_depth == 0:
         return flows
-    functions = stored(functions_of(facts).select("repo", "path", "qualname", "name", "start_line", "params"), "functions")
-    imported, modules = stored(symbols(facts), "symbols"), stored(module_files(facts), "modules")
+    functions = functions_of(facts).select("repo", "path", "qualname", "name", "start_line", "params")
+    imported, modules = symbols(facts), module_files(facts)
     delta, seen, depth = start(calls), None, 0
     while max_depth is None or depth < max_depth:
         depth += 1
@@ -517,7 +514,7 @@ def composed_flows(
             sinks, calls = summaries(facts.join(files, ["repo", "path"], "left_semi"), labels)
         inside = entries.select(*ENTRY, "prefix", "depth")
         met = inside.join(sinks, ENTRY).withColumn("taint", _joined(F.col("prefix"), F.col("taint")))
-        flows = flows.unionByName(_flows_of(stored(met.drop("prefix"), "met")))
+        flows = flows.unionByName(_flows_of(met.drop("prefix")))
         if depth != max_depth:
             delta = stored(inside.join(calls, ENTRY).withColumn("taint", _joined(F.col("prefix"), F.col("taint"))).drop("prefix"), "delta")
     return flows
@@ -539,7 +536,7 @@ def all_flows(
     facts: DataFrame | None = None,
 ) -> DataFrame:
     """Every flow of ``files``, or of their facts where those are stored already."""
-    return composed_flows(collect_facts(files, labels) if facts is None else facts, labels, max_depth, max_candidates)
+    return composed_flows(collect_facts(files, labels, with_logic=False) if facts is None else facts, labels, max_depth, max_candidates)
 
 
 def taint_intra(files: DataFrame, labels: LabelTables = DEFAULT_LABELS, facts: DataFrame | None = None) -> DataFrame:
@@ -619,7 +616,7 @@ def trace_dataflow(
 
     Only the sources of that file start, and only files that their taint enters are folded.
     """
-    facts = collect_facts(files, labels) if facts is None else facts
+    facts = collect_facts(files, labels, with_logic=False) if facts is None else facts
     flows = unique_flows(composed_flows(facts, labels, max_candidates=max_candidates, source_file=source_file))
     allowed = reachable_names(functions_of(facts), sink_function.rsplit(".", 1)[-1])
     names = allowed.withColumnRenamed("name", "sink_function")
