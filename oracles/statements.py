@@ -206,6 +206,9 @@ SQL: dict[str, str] = {
         from (select agent, count(*)::bigint findings, count(distinct file)::bigint files from domain group by agent)""",
     "stream_scan": """select d.repo, d.id, d.check_id, d.severity, d.file, d.line::int line, d.snippet, d.rule from domain d""",
     "stream_dedupe": """select d.repo, d.id, d.check_id, d.file, d.line::int line from domain d""",
+    "stream_changes": """select d.repo, d.file, 'appeared' as change, d.id, d.check_id, d.severity, d.line::int line from domain d
+        union all select d.repo, d.file, 'vanished', d.id, d.check_id, d.severity, d.line::int
+        from domain d join line_hits h on h.path = d.file and h.line_no = d.line and h.check_id = d.check_id where contains(h.line, 'password')""",
     "stream_severity": """select w::timestamp window_start, (w + interval 1 hour)::timestamp window_end, severity, count(*)::bigint findings from (
           select date_trunc('hour', a.arrived) w, severity from domain d join arrivals a on a.path = d.file)
         where w + interval 1 hour <= (select max(arrived) - interval 1 hour from arrivals a join domain d on d.file = a.path) group by all""",

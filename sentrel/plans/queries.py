@@ -19,6 +19,7 @@ from sentrel.operators import corpus, rollups, routes, scan, structure, supply,
 from sentrel.plans.audit import audit, collect_findings, unparsed_files
 from sentrel.session import cut_lineage, shared_folder
 from sentrel.sources import evidence, report, rules, tables, tree
+from sentrel.streaming import changes
 from sentrel.streaming import scan as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -526,6 +527,17 @@ def stream_dedupe(spark, sf):
     return _drained(spark, found.select("repo", "id", "check_id", "file", "line"), "stream-dedupe")
 
 
+@query
+def stream_changes(spark, sf):
+    """Every file arrives twice; lines that name a password are blank in its second version."""
+    files = _arriving(spark, sf)
+    blank = F.regexp_replace("text", "(?m)^.*password.*$", "")
+    later = F.col("arrived") + F.expr("interval 10 minutes")
+    versions = F.array(F.struct("arrived", "text"), F.struct(later.alias("arrived"), blank.alias("text")))
+    twice = files.select(*[c for c in files.columns if c not in ("arrived", "text")], F.inline(versions))
+    return _drained(spark, changes.stream_changes(twice).drop("arrived"), "stream-changes")
+
+
 @query
 def stream_severity(spark, sf):
     counts = _drained(spark, streaming.stream_severity(streaming.stream_scan(_arriving(spark, sf))), "stream-severity")

@@ -25,6 +25,8 @@ from sentrel.session import cut_lineage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BATCH_BYTES = 32 * 1024 * 1024
+#: File content that a task reads.
+TASK_BYTES = 128 * 1024 * 1024
 LISTED = "parent string, name string, is_dir boolean, size long"
 
 
@@ -99,12 +101,21 @@ def list_tree(spark: SparkSession, root: str, excluded: Iterable[str] = EXCLUDED
     return found.select("location", path.alias("path"), "size")
 
 
+def read_parts(listed: DataFrame, target: int = TASK_BYTES) -> DataFrame:
+    """``listed`` in as many partitions as its bytes ask for, a core each at least.
+
+    The number of parts follows the bytes, twice what they need, and files are dealt in turn, so a part holds half of the target
+    on average.
+    """
+    spark = listed.sparkSession
+    total = listed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("files")).first()
+    n = max(spark.sparkContext.defaultParallelism, -(-2 * total["bytes"] // target))
+    return listed.repartition(int(min(n, max(1, total["files"]))))
+
+
 def _contents(listed: DataFrame) -> DataFrame:
     """Read listed files; ``listed`` holds ``location, repo, path, size``."""
-    cores = listed.sparkSession.sparkContext.defaultParallelism
-    raw = listed.repartition(max(cores, listed.rdd.getNumPartitions())).mapInPandas(
-        _read_files, "repo string, path string, size long, content binary"
-    )
+    raw = read_parts(cut_lineage(listed)).mapInPandas(_read_files, "repo string, path string, size long, content binary")
     return raw.select(
         "repo", "path", "size", decode_utf8(F.col("content")).alias("text"), detect_language(F.col("path")).alias("language")
     )

@@ -159,7 +159,7 @@ def test_every_finding_has_a_verdict_by_default(files_of):
     done = audit(files_of({"a.py": text, "b.py": "def broken(:\n"}), with_taint=False, with_logic=False, with_blueprints=False)
     found = done.findings.collect()
     assert len(found) >= 150 and all(r["verification_verdict"] for r in found)
-    assert {r["status"] for r in done.tables["agents"].collect()} == {"completed_with_errors"}
+    assert {r["agent"] for r in done.tables["agents"].collect() if r["status"] == "completed_with_errors"} == {"injection"}
 
 
 def test_long_and_broken_parameter_lists_are_whole(files_of):
@@ -185,3 +185,14 @@ def test_names_with_a_dollar_are_one_word(spark):
     from sentrel.functions.labels import words
 
     assert spark.range(1).select(words(F.lit("'x' + user$id + b")).alias("w")).first()["w"] == ["x", "user$id", "b"]
+
+
+def test_read_tasks_follow_bytes(spark):
+    from sentrel.sources.tree import read_parts
+
+    listed = spark.range(4000).select(F.col("id").cast("string").alias("location"), (F.col("id") % 40 * 1000).alias("size"))
+    parts = read_parts(listed, target=1_000_000)
+    sizes = [r[0] for r in parts.groupBy(F.spark_partition_id()).agg(F.sum("size")).collect()]
+    assert len(sizes) == 156 and max(sizes) <= 2_000_000
+    assert read_parts(listed, target=1 << 40).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert read_parts(listed.filter("false")).count() == 0
