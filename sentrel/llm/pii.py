@@ -105,6 +105,9 @@ NAMES = "|".join(sorted(DIGIT, key=len, reverse=True))
 GLUE = r"[ ,\-]{1,3}"
 #: A word for a digit or a single digit, three or more with one word at least.
 RUN = re.compile(rf"(?<![^\W_])(?:(?:plus|\+)[ ]?)?(?:(?:{NAMES}|[0-9])(?:{GLUE}|(?: dot | point |\.))){{2,}}(?:{NAMES}|[0-9])(?![^\W_])", re.I)
+#: The sign of a number as a word, and words for digits that go on after a number's own digits.
+PLUS = re.compile(r"(?<![^\W_])plus[ ]?(?=[0-9])", re.I)
+TOUCHING = re.compile(rf"(?<=[0-9])(?:{GLUE}(?:{NAMES})){{2,}}(?![^\W_])", re.I)
 PIECE = re.compile(rf"plus[ ]?|{NAMES}| dot | point |{GLUE}", re.I)
 AT = r"[ ]{0,3}[(\[{<][ ]{0,3}(?:at|@)[ ]{0,3}[)\]}>][ ]{0,3}"
 DOT = r"[ ]{0,3}[(\[{<][ ]{0,3}(?:dot|point|punkt|\.)[ ]{0,3}[)\]}>][ ]{0,3}"
@@ -114,13 +117,13 @@ WORDED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?P<at>[ ]{{
 SPACED_DOT = re.compile(r"[ ]{1,3}dot[ ]{1,3}", re.I)
 BRACKET = re.compile(r"[(\[{<][ ]{0,3}(?:at|@|dot|point|punkt|\.)[ ]{0,3}[)\]}>]")
 COUNTED = frozenset(DIGIT) | frozenset("0123456789")
-BREAKS = str.maketrans(",-", "  ")
+BREAKS = str.maketrans(",-.", "   ")
 
 
 def disguised(text: str) -> bool:
-    """Whether the text may hold a disguise: a bracketed sign, a dot as a word, or two digits in words side by side."""
+    """Whether the text may hold a disguise: a bracketed sign, a dot or plus as a word, or two digits in words side by side."""
     low = text.lower()
-    if " dot " in low or " point " in low or BRACKET.search(low):
+    if " dot " in low or " point " in low or BRACKET.search(low) or "plus" in low and PLUS.search(low):
         return True
     return b"\x01\x01" in bytes(map(COUNTED.__contains__, low.translate(BREAKS).split()))
 
@@ -186,6 +189,15 @@ def _digit_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _plus_edits(text: str) -> list[tuple[int, int, str]]:
+    return [(*m.span(), "+") for m in PLUS.finditer(text)]
+
+
+def _touching_edits(text: str) -> list[tuple[int, int, str]]:
+    pieces = [p for m in TOUCHING.finditer(text) for p in PIECE.finditer(text, *m.span())]
+    return [(*p.span(), DIGIT.get(p.group().lower(), "")) for p in pieces]
+
+
 def _sign_edits(text: str) -> list[tuple[int, int, str]]:
     return [(*m.span(), "@" if m["at"] else ".") for m in BRACKETED.finditer(text)]
 
@@ -205,7 +217,7 @@ def rewritten(text: str, folds: Folds) -> Rewritten | None:
         return None
     out = Rewritten(text)
     out.apply([(i, i + 1, folds[c]) for i, c in enumerate(text) if c in odd] if odd else [])
-    for edits in (_digit_edits, _sign_edits, _word_edits):
+    for edits in (_plus_edits, _digit_edits, _touching_edits, _sign_edits, _word_edits):
         out.apply(edits(out.text))
     return out if len(out.text) != len(text) or out.changed.any() else None
 

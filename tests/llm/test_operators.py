@@ -159,6 +159,19 @@ def test_pieces_give_the_text_back(spark, odd, none):
     assert sentencepiece_codec.piece_digests(none, MODEL).count() == 0
 
 
+def test_disguises_do_not_depend_on_other_text():
+    folds = pii.Folds()
+    for text, kind, shown in (
+        ("at eight.eight.eight.eight now", "ip", "eight.eight.eight.eight"),
+        ("call plus 49 170 1234567 now", "phone", "plus 49 170 1234567"),
+        ("call +49 170 12345 six seven now", "phone", "+49 170 12345 six seven"),
+    ):
+        for whole in (text, text + " a [dot] b", "x [at] y " + text):
+            base, added = pii.spans(whole, folds)
+            assert (kind, whole.index(shown), whole.index(shown) + len(shown)) in added, (whole, base, added)
+    assert pii.spans("two plus 2 is four, 5 six and the rest", folds) == ([], [])
+
+
 def plain_identifiers(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
