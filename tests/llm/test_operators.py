@@ -567,3 +567,40 @@ def test_pipeline_stages(spark):
             assert kept.select("text").distinct().count() == kept.count()
         docs = kept
     assert docs.filter("not exact").isEmpty() and docs.count() > 0
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1), (4, 0), (4, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("q", "no id at all here"), (None, None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    wide = odd.withColumns({"__key": F.lit("mine"), "row": F.lit("own"), "node": F.lit(7)})
+    for name, stage in corpus_pipeline.STAGES:
+        kept = stage(spark, wide, str(tmp_path))
+        rows = kept.collect()
+        assert stage(spark, wide.filter("false"), str(tmp_path)).count() == 0 and rows
+        if name == "sentencepiece":
+            assert len(rows) == len(ODD) and all(r["exact"] for r in rows)
+            continue
+        assert kept.columns == wide.columns and all((r["__key"], r["row"], r["node"]) == ("mine", "own", 7) for r in rows)
+        texts = [r["text"] for r in rows]
+        if name == "exact_dedup":
+            assert len(texts) == len({t or "" for t in texts}) == len({t or "" for _, t, *_ in ODD})
+        if name == "decontamination":
+            assert "no id at all here" not in texts and len(texts) == len(ODD) - 1
+    assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_pipeline_run_keeps_what_its_stages_keep(spark):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, SF).collect()
+    texts = dict(connect(SF).execute("select doc_id, coalesce(text, '') from documents").fetchall())
+    kept = [r["doc_id"] for r in rows]
+    assert len(set(kept)) == len(kept) and len({texts[i] for i in kept}) == len(kept) and all(r["exact"] for r in rows)
+    contaminated = {r["doc_id"] for r in queries.QUERIES["op7_decontamination"](spark, SF).filter("contaminated").collect()}
+    bad = {r["doc_id"] for r in queries.QUERIES["op10_quality"](spark, SF).filter("predicted = 0").collect()}
+    classes = {r["doc_id"]: r["class_id"] for r in queries.QUERIES["op8_near_dedup"](spark, SF).collect()}
+    assert not set(kept) & (contaminated | bad) and len({classes[i] for i in kept}) == len(kept)
+    # Whoever goes is rejected, contaminated, or has a copy among those that stayed or went for such a reason.
+    assert all(i in bad or i in contaminated or sum(classes[j] == classes[i] for j in texts) > 1 for i in texts if i not in set(kept))
