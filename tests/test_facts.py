@@ -25,7 +25,7 @@ def sinks(files, **options):
 def test_facts_come_from_one_pass_without_a_shuffle(spark, files_of):
     files = files_of({"a.py": "import os\n\ndef f(x):\n    eval(x)\n", "b.js": "app.get('/x', (req, res) => {\n  res.send(1);\n});\n", "n.md": "# none\n"})
     plan = file_facts(files)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and plan.count("python_units(") == plan.count("ArrowEvalPython [python_units(") * 2 or "Exchange" not in plan
+    assert "Exchange" not in plan
     rows = {r.path: r for r in collect_facts(files).collect()}
     assert rows["a.py"].parsed and [e.line for e in rows["a.py"].events] == ["    eval(x)"]
     assert [f.qualname for f in rows["a.py"].functions] == ["f"] and [s is not None for s in rows["a.py"].steps] == [False, False, True, True]
