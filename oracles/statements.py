@@ -88,6 +88,7 @@ SQL: dict[str, str] = {
         from (select *, regexp_replace(regexp_replace(text, '(?s)/\*.*?\*/', ' ', 'g'), '(?m)//.*$', ' ', 'g') c from files)
         where language in ('javascript', 'typescript', 'php')""",
     "pattern_scan": "select repo, path, line_no, check_id, rule from matches",
+    "pattern_join": "select repo, path, line_no, check_id, rule from matches",
     "pattern_scan_exclude": """select repo, path, line_no, 'X1' check_id, '(?i)password' as rule from corpus
         where regexp_matches(line, '(?i)password') and not regexp_matches(line, '(?i)changeme|admin')""",
     "filename_scan": "select repo, path, line_no::int line_no, check_id, rule from name_hits",

@@ -10,8 +10,8 @@ from __future__ import annotations
 import ast
 import re
 import sys
-from bisect import bisect_right
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -48,6 +48,7 @@ JS_FUNCTIONS = (
     r"\((?:[^)]*)\)\s*=>\s*\{",
     r"[A-Za-z_$][\w$]*\s*=>\s*\{",
 )
+NAMED_FUNCTION = r"(?i)\bfunction\s+(\w+)\s*\("
 PHP_FUNCTIONS = (
     r"\bfunction\s*(?:&\s*)?([A-Za-z_][\w]*)\s*\(",
     r"\b([A-Za-z_$][\w$]*)\s*=\s*function\s*\(",
@@ -264,41 +265,91 @@ def function_spans(stripped: pd.Series, language: pd.Series) -> pd.Series:
     return pd.Series([brace_spans(t, lang) for t, lang in zip(stripped, language, strict=True)], dtype=object)
 
 
+class Blocks:
+    """Ends of brace blocks of one text, found for every opening brace in one walk from the end.
+
+    A block is read with no quote open at its opening brace, wherever earlier quotes leave off; a quote mark opens a
+    literal up to the next mark of its kind. A walk that starts outside literals and one that starts inside a kind of
+    them change places at each mark of that kind. So for each of the four states one pointer to the next brace read in
+    it is enough: a mark swaps two pointers, a brace is a node of the outside state.
+    """
+
+    def __init__(self, text: str):
+        self.size = len(text)
+        self.breaks = [m.start() for m in re.finditer("\n", text)]
+        self.arrows = [m.start() for m in re.finditer("=>", text)]
+        self.opens: list[int] = []
+        self.ends: dict[int, int] = {}  # opening brace -> its closing brace, the last character when none closes it
+        self._match_braces(text)
+        bodies = {m.start(): m.end() - 1 for m in re.finditer(r"\)\s*\{", text)}
+        parens = [m.start() for m in re.finditer(r"\)", text)]
+        self.functions: list[int] = []
+        self.bodies: list[int] = []  # per unnamed function with a body: its opening brace
+        for m in re.finditer(r"\bfunction\s*\(", text):
+            at = bisect_left(parens, m.end())
+            if at < len(parens) and parens[at] in bodies:
+                self.functions.append(m.start())
+                self.bodies.append(bodies[parens[at]])
+
+    def _match_braces(self, text: str) -> None:
+        following: dict[str, int] = dict.fromkeys(("", '"', "'", "`"), -1)  # state -> next brace read in it
+        closer: dict[int, int] = {-1: -1}  # brace -> first closing brace from there on that has no opening one
+        after: dict[int, int] = {}  # closing brace -> the brace read next
+        for token in reversed(list(re.finditer(r"[\"'`{}]", text))):
+            char, at = token.group(), token.start()
+            if char == "}":
+                closer[at], after[at], following[""] = at, following[""], at
+            elif char == "{":
+                end = closer[following[""]]
+                self.opens.append(at)
+                self.ends[at] = end if end >= 0 else self.size - 1
+                closer[at] = closer[after[end]] if end >= 0 else -1
+                following[""] = at
+            else:
+                following[""], following[char] = following[char], following[""]
+        self.opens.reverse()
+
+    def end_line(self, start_line: int) -> int | None:
+        """Last line of the handler block that opens at or after a line, null when none opens.
+
+        The block is the first brace after ``=>``, else that of the first unnamed ``function (...) {``.
+        """
+        begin = self.breaks[start_line - 2] + 1 if start_line > 1 else 0
+        opening = self._from(self.opens, self.opens, self._from(self.arrows, self.arrows, begin))
+        if opening is None:
+            opening = self._from(self.functions, self.bodies, begin)
+        if opening is None:
+            return None
+        return start_line + bisect_left(self.breaks, self.ends[opening]) - bisect_left(self.breaks, begin)
+
+    @staticmethod
+    def _from(places: list[int], values: list[int], begin: int | None) -> int | None:
+        at = len(places) if begin is None else bisect_left(places, begin)
+        return values[at] if at < len(places) else None
+
+
 def block_end(text: str, start_line: int) -> int | None:
-    """Last line of the handler block that opens at or after a line, null when none opens.
+    return Blocks(text).end_line(start_line)
+
 
-    The block is the first brace after ``=>``, else that of the first unnamed
-    ``function (...) {``. Braces inside quotes do not count.
+def handler_lines(text: str, starts: Sequence[int], names: Sequence[str | None]) -> list[int | None]:
+    """Per route the first line of the function it names, else the last line of the block that opens after it.
+
+    A name stands for the function of that name in any case, and gives null where the text has none.
     """
-    begin = 0
-    for _ in range(start_line - 1):
-        begin = text.find("\n", begin) + 1
-    arrow = text.find("=>", begin)
-    opening = text.find("{", arrow) if arrow >= 0 else -1
-    if opening < 0:
-        match = re.compile(r"\bfunction\s*\([^)]*\)\s*\{").search(text, begin)
-        opening = match.end() - 1 if match else -1
-    if opening < 0:
-        return None
-    depth, quote, end = 0, "", len(text) - 1
-    for token in re.compile(r"[\"'`{}]").finditer(text, opening):
-        char = token.group()
-        if quote:
-            quote = "" if char == quote else quote
-        elif char not in "{}":
-            quote = char
-        else:
-            depth += 1 if char == "{" else -1
-            if depth == 0:
-                end = token.start()
-                break
-    return start_line + text.count("\n", begin, end)
+    first: dict[str, int] = {}
+    if any(name is not None for name in names):
+        for number, line in enumerate(text.split("\n"), 1):
+            for found in re.finditer(NAMED_FUNCTION, line, re.ASCII):
+                first.setdefault(found.group(1).lower(), number)
+    blocks = Blocks(text) if any(name is None for name in names) else None
+    return [blocks.end_line(s) if n is None else first.get(n.lower()) for s, n in zip(starts, names, strict=True)]
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
-def block_ends(texts: pd.Series, starts: pd.Series) -> pd.Series:
-    """Handler block ends for the start lines of each text."""
+def lines_of_handlers(texts: pd.Series, starts: pd.Series, names: pd.Series) -> pd.Series:
+    """``handler_lines`` for the routes of each text; null for a null text."""
     return pd.Series(
-        [[block_end(t, int(s)) for s in lines] if t is not None and lines is not None else None for t, lines in zip(texts, starts, strict=True)],
+        [None if t is None else handler_lines(t, [int(s) for s in lines], n) for t, lines, n in zip(texts, starts, names, strict=True)],
         dtype=object,
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrel.functions.labels import let
-from sentrel.functions.parsing import block_ends
+from sentrel.functions.parsing import lines_of_handlers
 from sentrel.functions.rows import explode_once, inline_once, settle
 from sentrel.functions.text import finding_id, split_lines, strip
 from sentrel.operators.scan import ROUTE_EVIDENCE, SNIPPET, TAINT_STEP, as_findings
@@ -31,7 +31,6 @@ REGISTRATION = (
 ROUTE_PARAMETER = r"(:[A-Za-z_]\w*|\{[A-Za-z_]\w*\})"
 DEFINITION = r"(?i)\b(?:async\s+)?def\s+\w+\s*\("
 CONTROLLER = r"""(?i)\b([A-Za-z_]\w*)(?:Controller)?@(\w+)|\[[^\]]*::class\s*,\s*['"](\w+)['"]\]"""
-NAMED_FUNCTION = r"(?i)\bfunction\s+(\w+)\s*\("
 DEFINITION_REACH, BODY_REACH, EXPRESS_REACH = 40, 60, 40
 LOOKUP = (
     r"(?i)\b(?:query|execute|executemany|findById|findOne|find|where|first|get|all|select)\s*\("
@@ -133,9 +132,17 @@ def _first_index(array: Column, test) -> Column:
     return F.get(positions, F.lit(0))
 
 
-def _window(route: Column, block: Column, lines: Column, function_names: Column) -> Column:
+def _controller(route: Column) -> Column:
+    """The controller function that a Laravel route names (empty: none), null for other routes."""
+    found = [F.regexp_extract(route["text"], CONTROLLER, group) for group in (2, 3)]
+    return F.when(route["framework"] == "laravel", F.when(found[0] != "", found[0]).otherwise(found[1]))
+
+
+def _window(route: Column, handler: Column, lines: Column) -> Column:
     """``struct<body_start, window_start, window_end>`` of one route.
 
+    ``handler`` is what ``handler_lines`` gives for it.
+
     The window of a decorator route and of a Laravel controller is searched for
     authorization together with its registration line; ``body_start`` is where database
     lookups are searched from.
@@ -153,15 +160,10 @@ def _window(route: Column, block: Column, lines: Column, function_names: Column)
     decorated = span(body, at, F.coalesce(body + outdent - 2, body + BODY_REACH))
 
     # Laravel: the named controller function of this file, else 60 lines from here.
-    named = F.coalesce(
-        F.nullif(F.regexp_extract(route["text"], CONTROLLER, 2), F.lit("")),
-        F.nullif(F.regexp_extract(route["text"], CONTROLLER, 3), F.lit("")),
-    )
-    function_line = _first_index(function_names, lambda names: F.array_contains(names, F.lower(named)))
-    start = F.coalesce(function_line, at)
+    start = F.coalesce(handler, at)
     laravel = span(start, start, start + BODY_REACH)
 
-    express = span(at, at, F.coalesce(block, at + EXPRESS_REACH))
+    express = span(at, at, F.coalesce(handler, at + EXPRESS_REACH))
     return (
         F.when((route["framework"] == "fastapi") & body.isNotNull(), decorated)
         .when(route["framework"] == "laravel", laravel)
@@ -181,27 +183,29 @@ def handler_windows(files: DataFrame) -> DataFrame:
 def with_windows(rows: DataFrame) -> DataFrame:
     """``rows``, which hold ``text``, ``lines`` and ``routes``, with the ``windows`` of the routes."""
     has_routes = F.coalesce(F.size("routes") > 0, F.lit(False))
-    brace_based = has_routes & F.exists("routes", lambda r: r["framework"] != "laravel")
-    normal = F.array_join("lines", "\n")
-    ends = block_ends(F.when(brace_based, normal), F.when(brace_based, F.transform("routes", lambda r: r["line_no"])))
-    names = F.transform("lines", lambda line: F.transform(F.regexp_extract_all(line, F.lit(NAMED_FUNCTION), F.lit(1)), F.lower))
-    with_ends = settle(
-        rows.withColumn("ends", ends), *rows.columns, ends=F.col("ends"), function_names=F.when(has_routes, names)
-    )
+    of_routes = lambda read: F.when(has_routes, F.transform("routes", read))
+    normal = F.when(has_routes, F.array_join("lines", "\n"))
+    found = rows.withColumn("handlers", lines_of_handlers(normal, of_routes(lambda r: r["line_no"]), of_routes(_controller)))
+    matches = lambda pattern: F.when(has_routes, F.col("text").rlike(pattern))
+    # Whole texts are searched here, once, and not in the lambda below, once per route.
+    whole = settle(
+        found, *rows.columns, "handlers",
+        global_middleware=matches(GLOBAL_MIDDLEWARE), controller_middleware=matches(CONTROLLER_MIDDLEWARE),
+    )
 
     def windowed(route: Column, index: Column) -> Column:
         return let(
-            _window(route, F.get("ends", index), F.col("lines"), F.col("function_names")),
+            _window(route, F.get("handlers", index), F.col("lines")),
             lambda w: F.struct(
                 route.alias("r"),
                 w.alias("w"),
                 F.slice("lines", w["window_start"], F.greatest(F.lit(0), w["window_end"] - w["window_start"] + 1)).alias("window_lines"),
-                F.col("text").rlike(GLOBAL_MIDDLEWARE).alias("global_middleware"),
-                F.col("text").rlike(CONTROLLER_MIDDLEWARE).alias("controller_middleware"),
+                "global_middleware",
+                "controller_middleware",
             ),
         )
 
-    return settle(with_ends, *rows.columns, windows=F.when(has_routes, F.transform("routes", windowed)))
+    return settle(whole, *rows.columns, windows=F.when(has_routes, F.transform("routes", windowed)))
 
 
 def windows_of(rows: DataFrame) -> DataFrame:

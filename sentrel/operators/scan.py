@@ -13,6 +13,7 @@ from sentrel.functions.prefilter import line_gate, may_match
 from sentrel.functions.rows import explode_once, inline_once, settle
 from sentrel.functions.text import SNIPPET_CHARS, base_name, finding_id, redact, split_lines
 from sentrel.operators.corpus import explode_lines
+from sentrel.operators.dictionary import pattern_join
 from sentrel.session import stored
 from sentrel.sources.rules import rules_frame, to_rules, usable_patterns
 
@@ -22,6 +23,7 @@ FLOW_EVIDENCE = (
     "sink:struct<file:string,line:int,kind:string,function:string>,sanitized:boolean,sanitizer:string>"
 )
 SNIPPET = SNIPPET_CHARS
+PLAN_PATTERNS = 200  # more are joined as a table
 ROUTE_EVIDENCE = (
     "struct<check:string,route:string,method:string,framework:string,parameter:string,query_line:int,"
     "auth_signals:array<string>>"
@@ -71,15 +73,22 @@ def checked_rules(df: DataFrame, rules: DataFrame | Iterable[Rule]) -> list[Rule
     ]
 
 
-def pattern_scan(lines: DataFrame, rules: DataFrame | Iterable[Rule] = CHECKS) -> DataFrame:
+def pattern_scan(lines: DataFrame, rules: DataFrame | Iterable[Rule] = CHECKS, joined: bool | None = None) -> DataFrame:
     """``(repo, path, line_no, line, check_id, rule)``: one row per line and matching check.
 
     ``rule`` is the first matching pattern in list order. The patterns are literals of one
     projection, so each is compiled once and the scan needs no join and no shuffle. When
     the lines carry an ``events`` array (see ``audit_lines``) the last wanted code event of
     the line outranks the pattern, for checks that look at code events.
+
+    With more than ``PLAN_PATTERNS`` patterns, or as ``joined`` says, lines meet the patterns through a table of literals
+    (see ``pattern_join``) and the plan does not grow with the rules; the rows are the same.
     """
     rule_list = checked_rules(lines, rules)
+    if joined is None:
+        joined = sum(len(rule.patterns) for rule in rule_list) > PLAN_PATTERNS
+    if joined:
+        return pattern_join(lines, rule_list)
     gate = line_gate(F.col("lowered"), [pattern for rule in rule_list for pattern in rule.patterns])
     if "events" in lines.columns:
         gate = gate | (F.size("events") > 0)

@@ -173,6 +173,7 @@ over_files(
 
 MATCH = ["repo", "path", "line_no", "check_id", "rule"]
 over_lines("pattern_scan", lambda d: scan.pattern_scan(d).select(*MATCH))
+over_lines("pattern_join", lambda d: scan.pattern_scan(d, joined=True).select(*MATCH))
 
 
 @query

@@ -17,7 +17,7 @@ RULE_SCHEMA = (
     " description string, remediation string, patterns array<string>, exclude_patterns array<string>,"
     " filenames array<string>, code_events array<string>"
 )
-# A rule set is compiled into the plan as literals, so it has to stay small.
+# A rule set is held by the driver and broadcast, so its size has a bound.
 MAX_RULES = 5000
 
 
@@ -80,7 +80,7 @@ def select_checks(rules: DataFrame, agent: str | None = None, ids: Sequence[str]
 
 
 def to_rules(rules: DataFrame | Iterable[Rule]) -> list[Rule]:
-    """Rules on the driver, in id order, ready to become plan literals."""
+    """Rules on the driver, in id order."""
     if not isinstance(rules, DataFrame):
         return sorted(rules, key=lambda r: r.check_id)
     rows = rules.limit(MAX_RULES + 1).collect()

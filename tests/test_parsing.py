@@ -1,8 +1,12 @@
+import re
+
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sentrel.functions.calls import split_arguments, split_calls
-from sentrel.functions.parsing import block_end, brace_spans, events_of, python_unit
+from sentrel.functions.parsing import block_end, brace_spans, events_of, handler_lines, python_unit
 
 SOURCE = '''import os.path as p, sys
 from a.b import c as d, e
@@ -94,3 +98,48 @@ def test_block_end():
     assert block_end(text, 1) == 4
     assert block_end("plain();\nmore();", 1) is None
     assert block_end("a => {\n x\n y", 1) == 3
+
+
+def naive_block_end(text, start_line):
+    """Reads on from each route by itself, character by character."""
+    begin = sum(len(line) + 1 for line in text.split("\n")[: start_line - 1])
+    arrow = text.find("=>", begin)
+    opening = text.find("{", arrow) if arrow >= 0 else -1
+    if opening < 0:
+        found = re.compile(r"\bfunction\s*\([^)]*\)\s*\{").search(text, begin)
+        if not found:
+            return None
+        opening = found.end() - 1
+    depth, quote = 0, None
+    for at in range(opening, len(text)):
+        char = text[at]
+        if quote:
+            quote = None if char == quote else quote
+        elif char in "\"'`":
+            quote = char
+        elif char in "{}":
+            depth += 1 if char == "{" else -1
+            if not depth:
+                break
+    return start_line + text[begin:at].count("\n")
+
+
+@given(st.lists(st.sampled_from(["{", "}", "\n", "=>", "'", '"', "`", "x ", "function (", ")", "function(a) {", "(", " "]), max_size=40))
+def test_block_ends_equal_a_walk_per_route(parts):
+    text = "".join(parts)
+    for line in range(1, text.count("\n") + 2):
+        assert block_end(text, line) == naive_block_end(text, line)
+
+
+def test_many_routes_of_a_file():
+    n = 5000
+    text = "".join(f"app.get('/a{i}', (req, res) => {{\n  if (x) {{ y('q{{') }}\n}});\n" for i in range(n))
+    assert handler_lines(text, range(1, 3 * n, 3), [None] * n) == list(range(3, 3 * n + 1, 3))
+    # A block that nothing closes goes to the end; with one per route, a walk per route would read n * n / 2 braces.
+    open_ended = "app.get('/', (req) => {\n" * n
+    assert handler_lines(open_ended, range(1, n + 1), [None] * n) == [n] * n
+
+
+def test_named_controllers():
+    text = "function Show ($x) {\n}\npublic function store(){}\nfunction show() {}"
+    assert handler_lines(text, [1, 1, 1, 1], ["SHOW", "Store", "none", ""]) == [1, 3, None, None]

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from sentrel.catalogue import CHECKS, Rule
 from sentrel.operators.corpus import explode_lines
-from sentrel.operators.scan import audit_agent, filename_scan, pattern_scan
+from sentrel.operators.scan import PLAN_PATTERNS, audit_agent, audit_lines, filename_scan, pattern_scan
 from sentrel.operators.supply import audit_supply_chain
 from sentrel.sources.rules import load_rules, select_checks, usable_patterns
 
@@ -95,3 +95,44 @@ def test_manifests_with_bad_json(files_of):
     )
     rows = [(r.file, r.rule) for r in audit_supply_chain(files).collect()]
     assert rows == [("c/package.json", "package-script-download-execute")]
+
+
+def matches(df):
+    return sorted((r.path, r.line_no, r.check_id, r.line, r.rule) for r in df.collect())
+
+
+def test_joined_patterns_equal_plan_patterns(files_of):
+    odd = {"long.js": "x" * 100_000 + "eval(req.body)", "empty": "", "wide.py": "pässwörd = 'ä' # PASSWORD = 'geheimgeheim'\n\n"}
+    files = files_of({**CODE, **odd})
+    for lines in (explode_lines(files), audit_lines(files)):
+        assert matches(pattern_scan(lines, joined=True)) == matches(pattern_scan(lines, joined=False)) != []
+    rules = [
+        # No literal, a literal shorter than a gram, the order of patterns, exclusions, no pattern at all.
+        Rule("A", "n", "a", "regex", "r", None, None, "d", None, patterns=(r"\d\s*$", "y\\)"), exclude_patterns=("admin", "=1")),
+        Rule("B", "n", "a", "regex", "r", None, None, "d", None, patterns=("(?i)API", "api_key", "(", "zz")),
+        Rule("C", "n", "a", "ast_or_regex", "r", None, None, "d", None, patterns=("exec",)),
+        Rule("D", "n", "a", "ast_or_regex", "r", None, None, "d", None, code_events=("dynamic execution via eval", "shell execution via system")),
+    ]
+    for lines in (explode_lines(files), audit_lines(files)):
+        assert matches(pattern_scan(lines, rules, joined=True)) == matches(pattern_scan(lines, rules, joined=False)) != []
+    assert matches(pattern_scan(explode_lines(files), [], joined=True)) == []
+
+
+def test_thousands_of_rules_in_a_plan_of_fixed_size(files_of):
+    def rules(n):
+        return [
+            Rule(f"R{i:04}", "n", "a", "regex", "r", None, None, "d", None, patterns=(rf"needle_{i}\b", rf"(?i)pin{i}\s*=")) for i in range(n)
+        ]
+
+    numbers = [(i % 3000, (11 * i + 1) % 4000) for i in range(0, 6000, 7)]
+    lines = explode_lines(files_of({"a.py": "\n".join(f"x = needle_{a}; PIN{b}  = 1" for a, b in numbers)}))
+    found = pattern_scan(lines, rules(2000))
+    want = [(at, f"R{a:04}", rf"needle_{a}\b") for at, (a, _) in enumerate(numbers, 1) if a < 2000]
+    want += [(at, f"R{b:04}", rf"(?i)pin{b}\s*=") for at, (a, b) in enumerate(numbers, 1) if b < 2000 and a != b]
+    assert sorted((r.line_no, r.check_id, r.rule) for r in found.collect()) == sorted(want)
+
+    def size(df):
+        return len(df._jdf.queryExecution().optimizedPlan().numberedTreeString())
+
+    small = pattern_scan(lines, rules(PLAN_PATTERNS))
+    assert size(found) < 1.1 * size(small)
