@@ -8,8 +8,8 @@ the weights. A character outside the vocabulary is spelled by byte pieces. A tex
 and one end piece, in log10. ``base_score`` is an additively smoothed word unigram on the same training tokens.
 
 Words are counted over all rows (held-out words with count 0) and lattice and base scores are computed once per
-distinct word. The ``FREQUENT`` most frequent words go to all tasks as a table of that size; the others meet their
-documents in a join by word, where none of them is hot.
+distinct word. The ``FREQUENT`` most frequent words of up to ``FREQUENT_BYTES`` go to all tasks as a table, whose size has
+a bound by both; the others meet their documents in a join by word.
 
 Defined cases: null text is empty and has the end token alone; without training rows all counts are 0 and N is 0;
 repeated rows get equal scores; a null ``doc_id`` is training text. Other columns are not read.
@@ -32,6 +32,7 @@ from sentrel.llm.pieces import BULK, Vocabulary, by_length
 from sentrel.llm.sentencepiece_codec import long_edges, symbols
 
 FREQUENT = 1 << 16
+FREQUENT_BYTES = 256
 RANK_OFFSET = 3.0
 #: Training counts as many as this are added to the pieces in proportion to the vocabulary's weights.
 SMOOTHING = 1000.0
@@ -232,7 +233,7 @@ def score_documents(documents: DataFrame, model: str) -> DataFrame:
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     logs = piece_logs(Vocabulary(content), expected_pieces(counts, content))
     words = stored(scored_words(counts, content, logs, totals["n"], totals["v"]), "scored")
-    top = words.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
+    top = words.filter(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
     frequent = {bytes(r["word"]): i for i, r in enumerate(top)}
     values = np.array([(r["c"] > 0, r["base"], r["lattice"]) for r in top] + [(0, 0, 0)], float)
     shared = spark.sparkContext.broadcast((frequent, values))
