@@ -6,8 +6,9 @@ each list is moved back by the word's offset in the window, and the lists of a w
 compared with the window word for word, in the document. With ``slop``, the words may lie apart: in order, with at
 most ``slop`` other words between them.
 
-The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words, so what is broadcast has a bound; an item is never
-split. A window with a word that no document has is dropped before any list is read.
+The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words, so what is broadcast has a bound; a word of more than
+``WORD_BYTES`` counts as several, and a longer item is cut into pieces that share ``n - 1`` words, so that each of its windows
+is in one of them. A window with a word that no document has is dropped before any list is read.
 
 Defined cases: null text has no words; an empty item has no windows; items of one id count once; rows repeated in the
 documents all get the result; no benchmark or no documents give no matches. Only the columns named are read.
@@ -27,6 +28,7 @@ from sentrel.llm.batches import WORD_SPACES, WordHasher, slices, stored, text_of
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
+WORD_BYTES = 64
 EMPTY_SHA256 = sha256(b"").hexdigest()
 
 
@@ -44,12 +46,11 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 
 class Block:
-    """The windows of some items, on the driver and in tasks."""
+    """The windows of some items or pieces of items, on the driver and in tasks."""
 
-    def __init__(self, items: list[tuple[str, bytes]], n: int):
+    def __init__(self, items: list[tuple[str, list[bytes]]], n: int):
         self.items: dict[tuple, set[str]] = {}
-        for name, text in items:
-            words = words_of(text)
+        for name, words in items:
             for at in range(max(1, len(words) - n + 1) if words else 0):
                 self.items.setdefault(tuple(words[at : at + n]), set()).add(name)
         self.windows = list(self.items)
@@ -73,18 +74,35 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def size_of(words: list[bytes]) -> int:
+    return sum(1 + len(w) // WORD_BYTES for w in words)
+
+
+def pieces(words: list[bytes], n: int, block_words: int) -> Iterator[list[bytes]]:
+    """Pieces of ``block_words`` words, or of ``n`` if that is more, by the size of words; each window is in one of them."""
+    begin, held, size = 0, 0, 0
+    for end, word in enumerate(words):
+        own = size_of([word])
+        if size + own > block_words and held >= n:
+            yield words[begin:end]
+            begin = end - n + 1
+            held, size = n - 1, size_of(words[begin:end])
+        held, size = held + 1, size + own
+    yield words[begin:]
+
+
 def blocks(benchmark: DataFrame, n: int, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
     """The benchmark in blocks; items come to the driver one by one."""
     items, size = [], 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), text_of().alias("text"))
     for row in rows.toLocalIterator():
-        text = row["text"].encode()
-        words = len(words_of(text))
-        if items and size + words > block_words:
-            yield Block(items, n)
-            items, size = [], 0
-        items.append((row["item_id"], text))
-        size += words
+        for words in pieces(words_of(row["text"].encode()), n, block_words):
+            own = size_of(words)
+            if items and size + own > block_words:
+                yield Block(items, n)
+                items, size = [], 0
+            items.append((row["item_id"], words))
+            size += own
     if items:
         yield Block(items, n)
 
