@@ -320,6 +320,30 @@ def test_language_model_scores(spark, odd, none):
     assert lm_score.score_documents(none, MODEL).count() == 0
 
 
+def test_frequent_words_and_joined_words_score_alike(spark, odd, monkeypatch):
+    def scores():
+        rows = [*lm_score.score_documents(odd.drop("slot"), MODEL).collect()]
+        return sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in rows)
+
+    want = scores()
+    monkeypatch.setattr(lm_score, "FREQUENT_BYTES", 3)  # longer words take the join
+    assert scores() == want
+    monkeypatch.setattr(lm_score, "FREQUENT", 2)
+    assert scores() == want
+
+
+def test_long_items_are_cut_between_windows():
+    rng = np.random.default_rng(5)
+    for n, block_words in ((1, 1), (3, 4), (10, 3), (4, 25)):
+        words = [b"w%d" % i * int(rng.choice([1, 1, 40])) for i in range(60)]
+        parts = [*decontamination.pieces(words, n, block_words)]
+        assert len(parts) > 1
+        windows = lambda ws: [tuple(ws[i : i + n]) for i in range(max(1, len(ws) - n + 1))]
+        assert [w for p in parts for w in windows(p)] == windows(words)
+        assert all(len(p) == n or decontamination.size_of(p) <= block_words for p in parts)
+    assert [*decontamination.pieces([], 10, 3)] == [[]] and [*decontamination.pieces([b"a"], 10, 3)] == [[b"a"]]
+
+
 def test_decontamination_odd_rows_blocks_and_proximity(spark, odd, none):
     items = spark.createDataFrame([(1, "same words HERE"), (1, "id at"), (2, None), (None, "text same"), (3, "lorem ipsum dolor " * 5)], "item_id long, text string")
     want = {}
