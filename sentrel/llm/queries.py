@@ -64,6 +64,16 @@ def op5_sharding(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SHARDS)
 
 
+# The filled table is a list of the statement, which looks up each slot in it.
+SQL["op5_sharding"] = f"""
+select doc_id, slot, format('shard-{{:03d}}', holder[slot + 1]) as shard
+from (
+    select doc_id, cast('0x' || substr(md5(coalesce('=' || cast(doc_id as varchar), '/')), 1, 15) as bigint) % {sharding.SLOTS} as slot
+    from documents
+), (select {sharding.lookup_table(SHARDS)} as holder)
+"""
+
+
 @query
 def op6_lattice_score(spark, sf_dir):
     return lm_score.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_VOCABULARY))
