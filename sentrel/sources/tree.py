@@ -12,6 +12,7 @@ import fnmatch
 import os
 import sys
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -25,6 +26,8 @@ from sentrel.session import cut_lineage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BATCH_BYTES = 32 * 1024 * 1024
+#: Entries of a directory that a task holds at once.
+BATCH_NAMES = 10_000
 #: File content that a task reads.
 TASK_BYTES = 128 * 1024 * 1024
 LISTED = "parent string, name string, is_dir boolean, size long"
@@ -40,21 +43,34 @@ def open_filesystem(location: str):
 
 
 def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Children of each directory; symbolic links are left out."""
-    from pyarrow import fs
-
+    """Children of each directory in batches of bounded size; symbolic links are left out."""
     for batch in batches:
         for parent in batch["path"]:
-            system, inner = open_filesystem(parent)
-            local = isinstance(system, fs.LocalFileSystem)
-            rows = []
-            for child in system.get_file_info(fs.FileSelector(inner, recursive=False)):
-                if local and os.path.islink(child.path):
-                    continue
-                if child.type in (fs.FileType.File, fs.FileType.Directory):
-                    is_dir = child.type == fs.FileType.Directory
-                    rows.append((parent, child.base_name, is_dir, 0 if is_dir else child.size))
-            yield pd.DataFrame(rows, columns=["parent", "name", "is_dir", "size"])
+            children = _children(parent)
+            while rows := [(parent, *child) for child in islice(children, BATCH_NAMES)]:
+                yield pd.DataFrame(rows, columns=["parent", "name", "is_dir", "size"])
+
+
+def _children(location: str) -> Iterator[tuple[str, bool, int]]:
+    """Name, kind and size of what a directory holds; one on a local file system is read entry by entry.
+
+    Arrow's other file systems give the entries of a directory as one list.
+    """
+    from pyarrow import fs
+
+    system, inner = open_filesystem(location)
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(inner) as entries:
+            for entry in entries:
+                if entry.is_dir(follow_symlinks=False):
+                    yield entry.name, True, 0
+                elif entry.is_file(follow_symlinks=False):
+                    yield entry.name, False, entry.stat(follow_symlinks=False).st_size
+        return
+    for child in system.get_file_info(fs.FileSelector(inner, recursive=False)):
+        if child.type in (fs.FileType.File, fs.FileType.Directory):
+            is_dir = child.type == fs.FileType.Directory
+            yield child.base_name, is_dir, 0 if is_dir else child.size
 
 
 def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
